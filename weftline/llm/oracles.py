@@ -40,4 +40,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM b
 """
 
-ORACLES = {"op8_mix_sources": OP8, "op10_quality_rules": OP10}
+V = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{V}'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
+b AS (SELECT item_id, list_transform(regexp_extract_all(coalesce(text, ''), '{V}'), lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM benchmark),
+g AS (SELECT item_id, least(len(ws), 10) AS n, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0),
+p AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS t FROM g),
+lengths AS (SELECT DISTINCT n FROM p),
+x AS (SELECT rid, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, lengths WHERE len(ws) >= n),
+o AS (SELECT rid, i, n, array_to_string(ws[i : i + n - 1], ' ') AS t FROM x),
+h AS (SELECT rid, i, o.n, item_id FROM o JOIN p ON o.t = p.t AND o.n = p.n),
+c AS (SELECT rid, CAST(count(DISTINCT j) AS BIGINT) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS j FROM h) GROUP BY rid),
+e AS (SELECT rid, CAST(count(*) AS BIGINT) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS k FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (rid) LEFT JOIN e USING (rid)
+"""
+
+ORACLES = {"op7_decontaminate": OP7, "op8_mix_sources": OP8, "op10_quality_rules": OP10}
