@@ -22,7 +22,7 @@ from weftline.llm.common import SPACE_CHARS, WORD_RE
 
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and selectivities are measured.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 500
 WINDOW = 3
 
 
@@ -132,8 +132,13 @@ def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def measure(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Measured]:
-    """Seconds and rejected share of each rule on at most ``rows`` rows, best first."""
-    sample = _with_words(docs.select(text_col).limit(rows), text_col).repartition(1).persist()
+    """Seconds and rejected share of each rule on at most ``rows`` rows, best first.
+
+    The rows are fetched from the first partitions that have them, and no others are read.
+    """
+    fetched = docs.select(F.col(text_col).cast("string").alias(text_col)).limit(rows).collect()
+    sample = docs.sparkSession.createDataFrame(fetched, f"`{text_col}` string")
+    sample = _with_words(sample, text_col).coalesce(1).persist()
     try:
         total = sample.count()
         found = []
