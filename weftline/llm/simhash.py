@@ -63,12 +63,12 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """Rows of doc_id and fp (the fingerprint as a signed long)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
+            found = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -192,9 +192,9 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach)."""
-    marked = cut(fingerprints(docs, id_col, text_col))
+    marked = cut(fingerprints(docs, id_col, text_col, size))
     first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(first))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -204,11 +204,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The document with the smallest id of each component, all columns; repeated rows of that id become one row.
 
     Rows without an id belong to no component that could name them and stay.
     """
-    roots = classes(docs, id_col, text_col).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    roots = classes(docs, id_col, text_col, size).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
     kept = docs.join(roots, F.col(id_col) == F.col("__kept"), "left_semi")
     return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
