@@ -46,3 +46,12 @@ def word_count(text: Column) -> Column:
 def n_partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session: the unit in which keyed work is dealt out."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once.
+
+    The optimizer may copy a projected column into every place that uses it, lambdas included; a lambda's own
+    variable it leaves alone.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, maybe_broadcast
+from weftline.llm.common import cut, let, maybe_broadcast
 
 #: Replace it by a secret of your own: whoever has the key can test guesses.
 DEFAULT_KEY = "change-me"
@@ -234,8 +234,10 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     named = pairs.join(maybe_broadcast(spelled, spelled.count()), "match")
     maps = named.groupBy("__id", "__th").agg(F.map_from_entries(F.collect_list(F.struct("match", "surrogate"))).alias("__map")).withColumnRenamed("__th", "__th2")
     joined = dirty.join(maps, dirty["doc_id"].eqNullSafe(maps["__id"]) & (dirty["__th"] == maps["__th2"]), "left")
-    between = F.split(text, ANY, -1)
-    swapped = F.transform(F.col("__found"), lambda m, i: F.concat(F.get(F.col("__between"), i), F.element_at(F.col("__map"), m)))
-    changed = F.concat(F.array_join(swapped, ""), F.element_at(F.col("__between"), -1))
-    replaced = joined.withColumn("__between", between).withColumn(text_col, changed).withColumn("n_entities", F.size("__found").cast("long"))
+
+    def spliced(between: Column) -> Column:
+        swapped = F.transform(F.col("__found"), lambda m, i: F.concat(F.get(between, i), F.element_at(F.col("__map"), m)))
+        return F.concat(F.array_join(swapped, ""), F.element_at(between, -1))
+
+    replaced = joined.withColumn(text_col, let(F.split(text, ANY, -1), spliced)).withColumn("n_entities", F.size("__found").cast("long"))
     return clean.select(*columns, "n_entities").unionByName(replaced.select(*columns, "n_entities"))

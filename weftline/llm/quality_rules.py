@@ -13,12 +13,13 @@ columns of the same name.
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE_CHARS, WORD_RE
+from weftline.llm.common import SPACE_CHARS, WORD_RE, let
 
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and selectivities are measured.
@@ -28,10 +29,10 @@ WINDOW = 3
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is built over the columns ``__text`` (never null) and ``__words`` (its words)."""
+    """``rejects`` maps a text (never null) and the array of its words to a boolean column."""
 
     name: str
-    rejects: Column
+    rejects: Callable[[Column, Column], Column]
 
 
 @dataclass(frozen=True)
@@ -45,45 +46,35 @@ class Measured:
         return self.rejected / max(self.seconds, 1e-6)
 
 
-def _text() -> Column:
-    return F.col("__text")
+def n_words(text: Column, words: Column) -> Column:
+    return F.size(words).cast("long")
 
 
-def _words() -> Column:
-    return F.col("__words")
+def word_chars(text: Column, words: Column) -> Column:
+    return F.length(F.translate(text, SPACE_CHARS, "")).cast("long")
 
 
-def n_words() -> Column:
-    return F.size(_words()).cast("long")
+def n_symbols(text: Column, words: Column) -> Column:
+    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
 
 
-def word_chars() -> Column:
-    return F.length(F.translate(_text(), SPACE_CHARS, "")).cast("long")
+def _worded_lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD_RE))
 
 
-def n_symbols() -> Column:
-    return (F.length(_text()) - F.length(F.translate(_text(), SYMBOLS, ""))).cast("long")
+def n_dup_lines(text: Column, words: Column) -> Column:
+    return let(_worded_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def _worded_lines() -> Column:
-    return F.filter(F.split(_text(), "\n"), lambda line: line.rlike(WORD_RE))
-
-
-def n_dup_lines() -> Column:
-    lines = _worded_lines()
-    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
-
-
-def n_repeat_words() -> Column:
+def n_repeat_words(text: Column, words: Column) -> Column:
     """Words inside windows of three words that occur at least twice in the text.
 
     Windows are hashed and sorted with their positions, so that equal ones become neighbours; the covered
     words follow from the sorted positions.  Time is n log n in the words of a text, whatever repeats.
     """
-    words = _words()
     count = F.size(words)
     hashes = F.transform(
-        F.slice(words, 1, F.greatest(count - (WINDOW - 1), F.lit(0))),
+        F.slice(words, F.lit(1), F.greatest(count - (WINDOW - 1), F.lit(0))),
         lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
     )
 
@@ -100,35 +91,41 @@ def n_repeat_words() -> Column:
             lambda acc: acc["n"],
         )
 
-    # a one-element transform binds the sorted array to a name, so that it is sorted once
-    once = F.get(F.transform(F.array(F.sort_array(hashes)), covered), F.lit(0))
-    return F.when(count >= WINDOW + 1, F.coalesce(once, F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return F.when(count > WINDOW, let(F.sort_array(hashes), covered)).otherwise(F.lit(0)).cast("long")
+
 
+COUNTS = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
 
-def base_rules(words: Column | None = None, repeats: Column | None = None) -> list[Rule]:
+
+def _letters(text: Column, kind: str) -> Column:
+    return F.length(F.regexp_replace(text, rf"[^\p{{{kind}}}]+", ""))
+
+
+def base_rules() -> list[Rule]:
     """The two rules that every text must pass."""
-    n, again = words if words is not None else n_words(), repeats if repeats is not None else n_repeat_words()
-    return [Rule("too_short", n < 50), Rule("repeats_itself", 100 * again > 50 * n)]
+    return [
+        Rule("too_short", lambda t, w: n_words(t, w) < 50),
+        Rule("repeats_itself", lambda t, w: 100 * n_repeat_words(t, w) > 50 * n_words(t, w)),
+    ]
 
 
 def default_rules() -> list[Rule]:
     """Lenient limits: a rule rejects only what no prose comes near."""
-    n = n_words()
-    lines = _worded_lines()
-    letters = F.length(F.regexp_replace(_text(), r"[^\p{L}]+", ""))
-    capitals = F.length(F.regexp_replace(_text(), r"[^\p{Lu}]+", ""))
+
+    def duplicate_lines(t: Column, w: Column) -> Column:
+        return let(_worded_lines(t), lambda lines: (F.size(lines) >= 4) & (10 * (F.size(lines) - F.size(F.array_distinct(lines))) > 3 * F.size(lines)))
+
     return [
-        Rule("symbols", 5 * n_symbols() > n),
-        Rule("duplicate_lines", (F.size(lines) >= 4) & (10 * n_dup_lines() > 3 * F.size(lines))),
-        Rule("word_length", (word_chars() < 2 * n) | (word_chars() > 15 * n)),
-        Rule("few_letters", 2 * letters < word_chars()),
-        Rule("capitals", 2 * capitals > letters),
+        Rule("symbols", lambda t, w: 5 * n_symbols(t, w) > n_words(t, w)),
+        Rule("duplicate_lines", duplicate_lines),
+        Rule("word_length", lambda t, w: let(word_chars(t, w), lambda n: (n < 2 * F.size(w)) | (n > 15 * F.size(w)))),
+        Rule("few_letters", lambda t, w: 2 * _letters(t, "L") < word_chars(t, w)),
+        Rule("capitals", lambda t, w: 2 * _letters(t, "Lu") > _letters(t, "L")),
     ]
 
 
-def _with_words(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.withColumn("__text", text).withColumn("__words", F.regexp_extract_all("__text", F.lit(WORD_RE), F.lit(0)))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0))
 
 
 def measure(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Measured]:
@@ -136,26 +133,25 @@ def measure(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: in
 
     The rows are fetched from the first partitions that have them, and no others are read.
     """
-    fetched = docs.select(F.col(text_col).cast("string").alias(text_col)).limit(rows).collect()
-    sample = docs.sparkSession.createDataFrame(fetched, f"`{text_col}` string")
-    sample = _with_words(sample, text_col).coalesce(1).persist()
+    fetched = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).limit(rows).collect()
+    sample = docs.sparkSession.createDataFrame(fetched, "t string").withColumn("w", _words(F.col("t"))).coalesce(1).persist()
     try:
         total = sample.count()
         found = []
         for rule in rules:
             began = time.perf_counter()
-            rejected = sample.filter(rule.rejects).count()
+            rejected = sample.filter(rule.rejects(F.col("t"), F.col("w"))).count()
             found.append(Measured(rule, time.perf_counter() - began, rejected / max(total, 1)))
     finally:
         sample.unpersist()
     return sorted(found, key=lambda m: (-m.worth, m.seconds))
 
 
-def cascade(ordered: list[Rule]) -> Column:
+def cascade(ordered: list[Rule], text: Column, words: Column) -> Column:
     """Name of the first rule that rejects the text, else null; branches after it are not evaluated."""
     out = F.lit(None).cast("string")
     for rule in reversed(ordered):
-        out = F.when(F.coalesce(rule.rejects, F.lit(False)), F.lit(rule.name)).otherwise(out)
+        out = F.when(F.coalesce(rule.rejects(text, words), F.lit(False)), F.lit(rule.name)).otherwise(out)
     return out
 
 
@@ -163,15 +159,21 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str
     """The rows of ``docs`` that no rule rejects, with their columns as they were."""
     rules = base_rules() + default_rules() if rules is None else rules
     ordered = [m.rule for m in measure(docs, rules, text_col, sample_rows)]
-    return _with_words(docs, text_col).filter(cascade(ordered).isNull()).drop("__text", "__words")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.filter(let(_words(text), lambda words: cascade(ordered, text, words)).isNull())
 
 
 def rule_report(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Counts and verdict of every row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept."""
     ordered = [m.rule for m in measure(docs, default_rules(), text_col, sample_rows)]
-    counts = {"n_words": n_words(), "word_chars": word_chars(), "n_symbols": n_symbols(), "n_dup_lines": n_dup_lines(), "n_repeat_words": n_repeat_words()}
-    judged = _with_words(docs, text_col).withColumns(counts)
-    base = cascade(base_rules(F.col("n_words"), F.col("n_repeat_words"))).isNotNull()
-    judged = judged.withColumn("base_failed", base)
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(ordered).isNull())
-    return judged.withColumn("kept", kept).drop("__text", "__words")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+
+    def judged(words: Column) -> Column:
+        counts = F.struct(*[count(text, words).alias(name) for name, count in COUNTS.items()])
+        failed = lambda c: (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+        kept = lambda c: F.when(failed(c), F.lit(False)).otherwise(cascade(ordered, text, words).isNull())
+        return let(counts, lambda c: F.struct(*[c[name].alias(name) for name in COUNTS], failed(c).alias("base_failed"), kept(c).alias("kept")))
+
+    results = [*COUNTS, "base_failed", "kept"]
+    passed = [c for c in docs.columns if c.lower() not in results]
+    return docs.withColumn("__judged", let(_words(text), judged)).select(*passed, *[F.col(f"__judged.{name}").alias(name) for name in results])
