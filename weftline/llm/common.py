@@ -55,3 +55,22 @@ def let(value: Column, body) -> Column:
     variable it leaves alone.
     """
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int, salt: str) -> DataFrame:
+    """About ``per_class`` rows of each class, chosen by a hash of the id: the same rows each time.
+
+    Classes are collected with their counts; there must be few of them.
+    """
+    counts = rows.groupBy(class_col).count().collect()
+    place = F.xxhash64(F.lit(salt), F.col(id_col).cast("string")).bitwiseAND(F.lit((1 << 40) - 1))
+    chosen = F.lit(False)
+    for value, n in counts:
+        share = min(1.0, per_class / n)
+        chosen = chosen | (F.col(class_col).eqNullSafe(F.lit(value)) & (place < int(share * (1 << 40))))
+    return rows.filter(chosen)
+
+
+def crc_mod(id_col: Column, n: int) -> Column:
+    """crc32 of an id written as text, modulo n; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(n))
