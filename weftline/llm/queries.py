@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, html_text, language_id, mixing, pii, quality_model, quality_rules, simhash, token_counts
+from weftline.llm import decontaminate, html_text, language_id, mixing, pii, quality_model, quality_rules, repeats, simhash, token_counts
 from weftline.llm.common import crc_mod, table
 
 
+def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
 
@@ -69,6 +73,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_bytes": op1_repeated_bytes,
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_quality_scores": op3_quality_scores,
     "op4_simhash": op4_simhash,
