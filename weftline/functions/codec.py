@@ -93,24 +93,22 @@ def canonical_json(value: object) -> str:
     return number_text(float(value))
 
 
-@F.pandas_udf("string")
 def _canonical(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else canonical_json(json.loads(t)))
 
 
-@F.pandas_udf("string")
 def _number(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if pd.isna(x) else number_text(x))
 
 
 def canonical(text: Column) -> Column:
     """Canonical form of JSON text."""
-    return _canonical(text)
+    return F.pandas_udf(_canonical, "string")(text)
 
 
 def real_text(x: Column) -> Column:
     """Canonical text of a double."""
-    return _number(x)
+    return F.pandas_udf(_number, "string")(x)
 
 
 def sha256_hex(text: Column) -> Column:

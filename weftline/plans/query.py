@@ -47,20 +47,27 @@ def _nested(spec: dict) -> Nested:
 
 
 def bind(value: Any, kind: str, name: str) -> Any:
-    """A Python value as an argument of the given Spark type; a value of another type is an error."""
+    """A Python value as an argument of the given Spark type; a value of another type is an error.
+
+    Spark takes plain values and array constructors as arguments; a column's type widens what is compared with it.
+    """
     if kind.startswith("array<"):
         inner = kind[len("array<") : -1]
-        return F.array(*[F.lit(bind(v, inner, name)).cast(inner) for v in value or []]).cast(kind)
+        values = [bind(v, inner, name) for v in value or []]
+        # an empty list of a type: one null, which no comparison matches
+        return F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values or [None]])
     if value is None:
-        return F.lit(None).cast(kind)
-    if kind == "boolean":
+        return F.lit(None)
+    if kind == "boolean" and isinstance(value, int):
         value = bool(value)
-    elif kind in ("long", "int", "double") and isinstance(value, (int, float)) and not isinstance(value, bool):
-        value = _PYTHON[kind](value) if kind == "double" or value == int(value) else value
+    elif kind in ("long", "int") and isinstance(value, float) and value == int(value):
+        value = int(value)
+    elif kind == "double" and isinstance(value, int) and not isinstance(value, bool):
+        value = float(value)
     expected = _PYTHON.get(kind)
-    if expected is not None and not isinstance(value, expected):
+    if expected is not None and (not isinstance(value, expected) or (expected is int and isinstance(value, bool))):
         raise TypeError(f"parameter {name} must be {kind}, not {type(value).__name__}")
-    return value if kind in ("string", "boolean") else F.lit(value).cast(kind)
+    return value
 
 
 @dataclass(frozen=True)
