@@ -1 +1,201 @@
-"""To be filled."""
+"""Change capture, push, replay, conflicts, pull and snapshots on logs made from orders and events."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.operators import changes
+from weftline.operators.ordinals import check_contiguous, settled
+from weftline.queries.registry import QUERIES, ORACLES, query
+from weftline.streaming.reactive import follow
+
+# Events as a change log of users: an error deletes the user's row, a sign-up of an odd event moves it to a new key.
+LOG = """
+log AS (SELECT event_id AS ord, '{"id":"' || user_id || '"}' AS key_json, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'UPDATE' END AS op,
+        CASE WHEN event_type = 'error' THEN NULL ELSE '{"last":"' || event_id || '","type":"' || event_type || '"}' END AS payload, user_id FROM events),
+state AS (SELECT '{"id":"' || c_custkey || '"}' AS key_json, c_custkey % 9 + 1 AS row_version, CAST(c_custkey % 4 = 0 AS integer) AS deleted FROM customer WHERE c_custkey % 2 = 0)
+"""
+
+
+def _key(column: str):
+    return F.format_string('{"id":"%s"}', F.col(column))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("schema_name", F.lit("main")).withColumn("table_name", F.lit("users"))
+
+
+def _log(t) -> DataFrame:
+    gone = F.col("event_type") == "error"
+    payload = F.when(~gone, F.format_string('{"last":"%s","type":"%s"}', F.col("event_id"), F.col("event_type")))
+    log = t["events"].select(F.col("event_id").alias("ord"), _key("user_id").alias("key_json"), F.when(gone, "DELETE").otherwise("UPDATE").alias("op"), payload.alias("payload"))
+    return _named(log.withColumn("old_key_json", F.lit(None).cast("string")))
+
+
+def _state(t) -> DataFrame:
+    c = t["customer"].filter("c_custkey % 2 = 0")
+    return _named(c.select(_key("c_custkey").alias("key_json"), (F.col("c_custkey") % 9 + 1).alias("row_version"), (F.col("c_custkey") % 4 == 0).cast("int").alias("deleted")))
+
+
+def _nothing_dirty(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "schema_name string, table_name string, key_json string, op string, base_row_version long, payload string, dirty_ordinal long")
+
+
+def _dirty(spark, t) -> DataFrame:
+    return settled(changes.fold(_log(t), _state(t), _nothing_dirty(spark)))
+
+
+FOLDED = f"""WITH {LOG},
+last AS (SELECT key_json, arg_max(coalesce(payload, '-'), ord) AS p, arg_max(op, ord) AS last_op, min(ord) AS first FROM log GROUP BY key_json),
+dirty AS (SELECT l.key_json, CASE WHEN last_op = 'DELETE' THEN 'DELETE' WHEN deleted = 0 THEN 'UPDATE' ELSE 'INSERT' END AS op, CAST(coalesce(row_version, 0) AS bigint) AS base_row_version, nullif(p, '-') AS payload,
+                 row_number() OVER (ORDER BY first) AS dirty_ordinal, deleted FROM last l LEFT JOIN state s ON s.key_json = l.key_json)"""
+
+
+@query("y1_capture", FOLDED + " SELECT key_json, op, base_row_version, payload, dirty_ordinal FROM dirty")
+def y1_capture(spark, t):
+    return _dirty(spark, t).drop("schema_name", "table_name")
+
+
+@query("y3_adopt", "SELECT table_name, key_json, row_number() OVER (ORDER BY place, key_json) AS dirty_ordinal FROM (SELECT 'region' AS table_name, 0 AS place, '{\"id\":\"' || r_regionkey || '\"}' AS key_json FROM region UNION ALL SELECT 'nation', 1, '{\"id\":\"' || n_nationkey || '\"}' FROM nation)")
+def y3_adopt(spark, t):
+    rows = [t[name].select(F.lit("main").alias("schema_name"), F.lit(name).alias("table_name"), _key(key).alias("key_json"), F.lit("{}").alias("payload")) for name, key in (("nation", "n_nationkey"), ("region", "r_regionkey"))]
+    return changes.adopt(rows[0].unionByName(rows[1]), ["region", "nation"]).select("table_name", "key_json", "dirty_ordinal")
+
+
+PREPARED = FOLDED + """,
+kept AS (SELECT *, CASE WHEN payload IS NULL THEN 'DELETE' WHEN deleted = 0 THEN 'UPDATE' ELSE 'INSERT' END AS push_op FROM dirty WHERE NOT (payload IS NULL AND coalesce(deleted, 1) <> 0)),
+prepared AS (SELECT key_json, push_op AS op, base_row_version, payload, dirty_ordinal, row_number() OVER (ORDER BY push_op = 'DELETE', dirty_ordinal) - 1 AS row_ordinal FROM kept)"""
+
+
+@query("y5_prepare_push", PREPARED + " SELECT key_json, op, base_row_version, dirty_ordinal, row_ordinal, row_ordinal // 200 AS chunk FROM prepared")
+def y5_prepare_push(spark, t):
+    send, _ = changes.prepare_push(_dirty(spark, t), _state(t), ["users"])
+    return changes.chunks(send, "row_ordinal", 200).select("key_json", "op", "base_row_version", "dirty_ordinal", "row_ordinal", "chunk")
+
+
+@query("y5_discarded", FOLDED + " SELECT key_json FROM dirty WHERE payload IS NULL AND coalesce(deleted, 1) <> 0")
+def y5_discarded(spark, t):
+    return changes.prepare_push(_dirty(spark, t), _state(t), ["users"])[1].select("key_json")
+
+
+@query(
+    "y6_request_hash",
+    PREPARED
+    + """, rows AS (SELECT row_ordinal, '{"base_row_version":"' || base_row_version || '","key":' || key_json || ',"op":"' || op || '","payload":' || coalesce(payload, 'null') || ',"schema":"main","table":"users"}' AS j FROM prepared)
+SELECT count(*) AS n_rows, sha256('[' || string_agg(j, ',' ORDER BY row_ordinal) || ']') AS request_hash, true AS verified FROM rows""",
+)
+def y6_request_hash(spark, t):
+    send, _ = changes.prepare_push(_dirty(spark, t), _state(t), ["users"])
+    frozen = settled(changes.freeze(send))
+    check_contiguous(frozen, "row_ordinal")
+    return changes.verify_committed(frozen, frozen.orderBy(F.rand(3))).select("n_rows", "request_hash", "verified")
+
+
+@query(
+    "y9_replay",
+    f"""WITH {LOG},
+up AS (SELECT key_json, arg_max(coalesce(payload, '-'), ord) AS p, arg_max(op, ord) AS o FROM log WHERE ord % 2 = 0 GROUP BY key_json),
+live AS (SELECT key_json, arg_max(coalesce(payload, '-'), ord) AS p FROM log GROUP BY key_json),
+j AS (SELECT up.key_json, CASE WHEN up.o = 'DELETE' THEN 'DELETE' ELSE 'UPDATE' END AS op, nullif(up.p, '-') AS sent, nullif(live.p, '-') AS now FROM up LEFT JOIN live USING (key_json)),
+q AS (SELECT *, CASE WHEN op = 'DELETE' THEN CASE WHEN now IS NOT NULL THEN 'INSERT' END WHEN now IS NULL THEN 'DELETE' WHEN now <> sent THEN 'UPDATE' END AS requeue_op FROM j)
+SELECT key_json, CASE WHEN requeue_op IS NULL THEN 'AcceptAuthoritative' ELSE 'PreserveLocal' END AS action, requeue_op, CASE WHEN requeue_op IN ('INSERT', 'UPDATE') THEN now END AS requeue_payload FROM q""",
+)
+def y9_replay(spark, t):
+    """Rows of even events were uploaded; odd ones happened meanwhile."""
+    last = lambda log: changes.latest_rows(log, changes.KEY, ["ord"])
+    sent = last(_log(t).filter("ord % 2 = 0"))
+    live = last(_log(t)).filter("payload is not null")
+    return changes.replay_plan(sent, _nothing_dirty(spark), live).drop("schema_name", "table_name")
+
+
+CELLS = ["INSERT", "UPDATE", "DELETE"]
+
+
+@query(
+    "y10_conflicts",
+    """WITH c AS (SELECT o.op, s.state, r.result FROM (VALUES ('INSERT'), ('UPDATE'), ('DELETE')) o(op), (VALUES ('Missing'), ('Deleted'), ('Present')) s(state), (VALUES ('AcceptServer'), ('KeepLocal'), ('KeepMerged')) r(result)),
+e AS (SELECT *, CASE WHEN result = 'KeepMerged' AND op = 'DELETE' THEN 'bad' WHEN result <> 'AcceptServer' AND op = 'INSERT' AND state = 'Missing' THEN 'bad' WHEN result <> 'AcceptServer' AND op = 'UPDATE' AND state <> 'Present' THEN 'bad' END AS bad FROM c)
+SELECT op || '/' || state || '/' || result AS cell, CASE WHEN bad IS NULL THEN CASE WHEN result <> 'AcceptServer' AND op <> 'DELETE' THEN 'Upsert' WHEN result = 'AcceptServer' AND state = 'Present' THEN 'Upsert' ELSE 'Delete' END END AS local_action,
+CASE WHEN bad IS NULL THEN CASE WHEN result = 'KeepMerged' THEN '{"id":"m"}' WHEN result = 'KeepLocal' AND op <> 'DELETE' THEN '{"id":"l"}' WHEN result = 'AcceptServer' AND state = 'Present' THEN '{"id":"s"}' END END AS new_payload,
+CASE WHEN bad IS NULL THEN CASE WHEN result <> 'AcceptServer' AND op <> 'DELETE' THEN CASE WHEN state = 'Present' THEN 'UPDATE' ELSE 'INSERT' END WHEN result <> 'AcceptServer' AND state = 'Present' THEN 'DELETE' END END AS requeue_op,
+CASE WHEN bad IS NULL AND state <> 'Missing' THEN CAST(5 AS bigint) END AS state_version, bad IS NOT NULL AS invalid FROM e""",
+)
+def y10_conflicts(spark, t):
+    """All cells of the decision table."""
+    cells = [("main", "users", f"{op}/{state}/{result}", op, '{"id":"l"}' if op != "DELETE" else None, state, 5, '{"id":"s"}', result, '{"id":"m"}') for op in CELLS for state in ("Missing", "Deleted", "Present") for result in ("AcceptServer", "KeepLocal", "KeepMerged")]
+    df = spark.createDataFrame(cells, "schema_name string, table_name string, key_json string, local_op string, local_payload string, server_state string, server_version long, server_payload string, result string, merged_payload string")
+    found = changes.resolve_conflicts(df, ["ID"])
+    return found.select(F.col("key_json").alias("cell"), "local_action", "new_payload", "requeue_op", "state_version", F.col("error").isNotNull().alias("invalid"))
+
+
+def _bundles(t) -> DataFrame:
+    """Ten events a bundle; the version of a row is the number of its event."""
+    log = _log(t).filter("ord < 3000")
+    return log.select("schema_name", "table_name", "key_json", F.when(F.col("op") == "DELETE", "DELETE").otherwise("UPDATE").alias("op"), (F.col("ord") + 1).alias("row_version"), "payload", F.floor(F.col("ord") / 10 + 1).alias("bundle_seq"), (F.col("ord") % 10).alias("row_ordinal"))
+
+
+PULLED = f"""WITH {LOG},
+last AS (SELECT key_json, arg_max(op, ord) AS op, max(ord) + 1 AS v, arg_max(coalesce(payload, '-'), ord) AS p FROM log WHERE ord < 3000 GROUP BY key_json),
+held AS (SELECT key_json, row_version * 300 AS row_version, deleted FROM state),
+fresh AS (SELECT l.* FROM last l LEFT JOIN held h USING (key_json) WHERE h.row_version IS NULL OR h.row_version < l.v),
+live AS (SELECT key_json, 'old' AS payload FROM held WHERE deleted = 0)"""
+
+
+@query("y11_pull_rows", PULLED + " SELECT key_json, payload FROM live WHERE key_json NOT IN (SELECT key_json FROM fresh) UNION ALL SELECT key_json, p FROM fresh WHERE op <> 'DELETE'")
+def y11_pull_rows(spark, t):
+    state = _state(t).withColumn("row_version", F.col("row_version") * 300)
+    live = state.filter("deleted = 0").withColumn("payload", F.lit("old"))
+    return changes.pull(live, state, _nothing_dirty(spark), _bundles(t))[0].select("key_json", "payload")
+
+
+@query("y11_pull_state", PULLED + " SELECT key_json, CAST(row_version AS bigint) AS row_version, deleted FROM held WHERE key_json NOT IN (SELECT key_json FROM fresh) UNION ALL SELECT key_json, v, CAST(op = 'DELETE' AS integer) FROM fresh")
+def y11_pull_state(spark, t):
+    state = _state(t).withColumn("row_version", F.col("row_version") * 300)
+    live = state.filter("deleted = 0").withColumn("payload", F.lit("old"))
+    return changes.pull(live, state, _nothing_dirty(spark), _bundles(t))[1].select("key_json", "row_version", "deleted")
+
+
+@query("y11_bundle_problems", "SELECT event_id // 10 + 1 AS bundle_seq, 'bundle_seq is not above the last one applied' AS problem FROM events WHERE event_id < 50 UNION ALL SELECT event_id // 10 + 1, 'bundle_seq is above the stable one' FROM events WHERE event_id >= 2900 AND event_id < 3000")
+def y11_bundle_problems(spark, t):
+    return changes.check_bundles(_bundles(t), 5, 290)
+
+
+@query("y12_snapshot", "SELECT '{\"id\":\"' || c_custkey || '\"}' AS key_json, c_name AS payload, CAST(c_custkey + 1 AS bigint) AS row_version FROM customer")
+def y12_snapshot(spark, t):
+    stage = _named(t["customer"].select(_key("c_custkey").alias("key_json"), F.col("c_name").alias("payload"), (F.col("c_custkey") + 1).alias("row_version")))
+    live, state = changes.rebuild(stage, t["customer"].count())
+    return live.join(state, changes.KEY).select("key_json", "payload", "row_version")
+
+
+@query("o9_contract_diff", "SELECT * FROM (VALUES ('main.nation', 'client only'), ('main.part', 'server only'), ('main.region', 'key differs')) v(\"table\", problem)")
+def o9_contract_diff(spark, t):
+    kind = "schema_name string, table_name string, key_columns string"
+    client = spark.createDataFrame([("main", "Nation", "n_nationkey"), ("main", "region", "r_regionkey"), ("main", "customer", "C_CUSTKEY")], kind)
+    server = spark.createDataFrame([("main", "region", "id"), ("MAIN", "customer", "c_custkey"), ("main", "part", "p_partkey")], kind)
+    return changes.contract_diff(client, server)
+
+
+def r3_stream_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream: each batch folds into the state before it, and the last state is the result."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+
+    def apply(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type"), "event_id").alias("x"), F.count("*").alias("n")).select("user_id", "x.*", "n")
+        if number:
+            last = last.unionByName(batch.sparkSession.read.parquet(f"{base}/state/{number - 1}"))
+        folded = last.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"), F.max("event_id").alias("event_id"), F.sum("n").alias("n"))
+        folded.write.mode("overwrite").parquet(f"{base}/state/{number}")
+
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    running = follow(events.select("event_id", "user_id", "event_type"), apply, f"{base}/checkpoint")
+    running.awaitTermination()
+    return spark.read.parquet(f"{base}/state/{running.lastProgress['batchId']}").select("user_id", "event_type", "event_id", "n")
+
+
+QUERIES["r3_stream_of_changes"] = r3_stream_of_changes
+ORACLES["r3_stream_of_changes"] = "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id"

@@ -1 +1,130 @@
-"""To be filled."""
+"""Changes to tables: new versions, returned rows, cascades, constraints, migrations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weftline.operators import dml
+from weftline.operators.tables import migrate
+from weftline.queries.registry import query
+
+
+@query("u1_insert", "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 100, 'ATLANTIS', 0 UNION ALL SELECT 101, 'LEMURIA', NULL")
+def u1_insert(spark, t):
+    rows = spark.createDataFrame([(100, "ATLANTIS")], "n_nationkey int, n_name string")
+    first = dml.insert(t["nation"], rows, {"n_regionkey": F.lit(0)})
+    rest = spark.createDataFrame([(101, "LEMURIA", None)], "n_nationkey int, n_name string, n_regionkey int")
+    return dml.insert(first.table, rest, {"n_regionkey": F.lit(0)}).table
+
+
+@query("u2_insert_select", "SELECT c_custkey AS k, c_name AS name, 'customer' AS kind FROM customer UNION ALL SELECT s_suppkey, s_name, 'supplier' FROM supplier WHERE s_acctbal > 5000")
+def u2_insert_select(spark, t):
+    base = t["customer"].select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.lit("customer").alias("kind"))
+    rich = t["supplier"].filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
+    return dml.insert(base, rich, {"kind": F.lit("supplier")}).table
+
+
+UPSERTED = """
+WITH new AS (SELECT o_custkey AS c_custkey, 'VIP' AS c_mktsegment, CAST(max(o_totalprice) AS double) AS c_acctbal FROM orders WHERE o_totalprice > 400000 GROUP BY o_custkey
+             UNION ALL SELECT 90000000, 'NEW', 1.5)
+SELECT coalesce(c.c_custkey, n.c_custkey) AS c_custkey, CASE WHEN c.c_custkey IS NULL THEN 'unknown' ELSE c.c_name END AS c_name, c.c_nationkey AS c_nationkey,
+       CASE WHEN c.c_custkey IS NULL THEN n.c_acctbal WHEN n.c_custkey IS NULL THEN c.c_acctbal ELSE greatest(c.c_acctbal, n.c_acctbal) END AS c_acctbal,
+       coalesce(n.c_mktsegment, c.c_mktsegment) AS c_mktsegment
+FROM customer c {join} JOIN new n ON n.c_custkey = c.c_custkey
+"""
+
+
+def _upserted(t):
+    new = t["orders"].filter("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal")).withColumn("c_mktsegment", F.lit("VIP"))
+    extra = new.sparkSession.range(1).select(F.lit(90000000).cast("long").alias("c_custkey"), F.lit(1.5).alias("c_acctbal"), F.lit("NEW").alias("c_mktsegment"))
+    rules = {"c_acctbal": F.greatest, "c_mktsegment": lambda old, given: given}
+    return dml.upsert(t["customer"], new.unionByName(extra), ["c_custkey"], rules, {"c_name": F.lit("unknown")})
+
+
+@query("u3_upsert", UPSERTED.format(join="FULL"))
+def u3_upsert(spark, t):
+    return _upserted(t).table
+
+
+@query("u6_upsert_returning", UPSERTED.format(join="RIGHT"))
+def u6_upsert_returning(spark, t):
+    return _upserted(t).columns()
+
+
+@query("u3_do_nothing", "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 77, 'NOWHERE'")
+def u3_do_nothing(spark, t):
+    rows = spark.createDataFrame([(1, "OTHER"), (77, "NOWHERE")], "r_regionkey int, r_name string")
+    return dml.insert_or_ignore(t["region"], rows, ["r_regionkey"]).table
+
+
+@query("u4_update", "SELECT o_orderkey, o_custkey, CASE WHEN o_totalprice > 300000 AND o_orderstatus = 'O' THEN 'F' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_totalprice > 300000 AND o_orderstatus = 'O' THEN NULL ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders")
+def u4_update(spark, t):
+    orders = t["orders"].drop("o_orderdate")
+    return dml.update(orders, (F.col("o_totalprice") > 300000) & (F.col("o_orderstatus") == "O"), {"o_orderstatus": F.lit("F"), "o_totalprice": F.lit(None)}).table
+
+
+@query("u6_update_returning", "SELECT s_suppkey, s_acctbal + 100 AS s_acctbal FROM supplier WHERE s_nationkey = 3")
+def u6_update_returning(spark, t):
+    return dml.update(t["supplier"], F.col("s_nationkey") == 3, {"s_acctbal": F.col("s_acctbal") + 100}).columns("s_suppkey", "s_acctbal")
+
+
+@query("u5_delete", "SELECT p_partkey, p_brand FROM part WHERE NOT coalesce(nullif(p_size, 10) > 25, false)")
+def u5_delete(spark, t):
+    return dml.delete(t["part"].select("p_partkey", "p_brand", "p_size"), F.nullif("p_size", F.lit(10)) > 25).table.drop("p_size")
+
+
+@query("u5_delete_returning", "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+def u5_delete_returning(spark, t):
+    keys = t["orders"].filter("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
+    return dml.delete_matching(t["customer"], keys, ["c_custkey"]).columns("c_custkey", "c_name")
+
+
+@query(
+    "u8_cascade",
+    "WITH c AS (SELECT c_custkey FROM customer WHERE c_nationkey = 7), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c))"
+    " SELECT 'customer' AS name, (SELECT count(*) FROM c) AS lost, (SELECT count(*) FROM customer) - (SELECT count(*) FROM c) AS kept"
+    " UNION ALL SELECT 'orders', (SELECT count(*) FROM o), (SELECT count(*) FROM orders) - (SELECT count(*) FROM o)"
+    " UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)), (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o))",
+)
+def u8_cascade(spark, t):
+    keys = [dml.ForeignKey("orders", "o_custkey", "customer", "c_custkey"), dml.ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey")]
+    found = dml.cascade_delete(t, "customer", F.col("c_nationkey") == 7, keys)
+    parts = []
+    for name, changed in found.items():
+        lost, kept = changed.returning.agg(F.count("*").alias("lost")), changed.table.agg(F.count("*").alias("kept"))
+        parts.append(lost.crossJoin(kept).select(F.lit(name).alias("name"), "lost", "kept"))  # one row each
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(
+    "u9_constraints",
+    "SELECT 'lineitem' AS \"table\", 'check:small' AS rule, count(*) AS n FROM lineitem WHERE l_quantity > 49 UNION ALL SELECT 'lineitem', 'unique:l_orderkey,l_linenumber', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)"
+    " UNION ALL SELECT 'lineitem', 'foreign:l_partkey', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3)",
+)
+def u9_constraints(spark, t):
+    return dml.violations(
+        t["lineitem"],
+        "lineitem",
+        not_null=["l_orderkey", "l_partkey"],
+        unique=[["l_orderkey", "l_linenumber"]],
+        checks={"small": F.col("l_quantity") <= 49, "positive": F.col("l_extendedprice") > 0},
+        foreign={"l_partkey": (t["part"].filter("p_size > 3"), "p_partkey")},
+    )
+
+
+@query("u11_migrations", "SELECT r_regionkey, r_name, CAST(NULL AS varchar) AS nickname, 'migrated' AS created_at FROM region UNION ALL SELECT 99, 'ADDED', 'x', 'migrated'")
+def u11_migrations(spark, t):
+    def nickname(tables):
+        return tables | {"region": tables["region"].withColumn("nickname", F.lit(None).cast("string"))}
+
+    def created(tables):
+        added = spark.range(1).select(F.lit(99).alias("r_regionkey"), F.lit("ADDED").alias("r_name"), F.lit("x").alias("nickname"))
+        changed = dml.insert(tables["region"], added).table
+        return tables | {"region": changed.withColumn("created_at", F.lit("migrated"))}
+
+    def never(tables):
+        raise AssertionError("already applied")
+
+    tables, version = migrate({"region": t["region"]}, 1, {"0003_created": created, "0002": nickname, "0001_start": never})
+    assert version == 3
+    return tables["region"]
