@@ -66,8 +66,8 @@ def _normed(flags: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
-def _vector(text: str) -> np.ndarray:
-    return _normed(presence(*bytesplit.utf8(pa.array([text], pa.large_string()))))
+def _vectors(texts: list[str]) -> np.ndarray:
+    return _normed(presence(*bytesplit.utf8(pa.array(texts, pa.large_string()))))
 
 
 @dataclass(frozen=True)
@@ -88,12 +88,13 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     y = np.array([[1.0 if lang == name else -1.0 for name in names] for lang in languages])
     each = max(2, MAX_LANDMARKS // len(names))
     chosen = [i for name in names for i in [i for i, lang in enumerate(languages) if lang == name][:each]]
-    landmarks = np.concatenate([_vector(texts[i]) for i in chosen])
+    landmarks = _vectors([texts[i] for i in chosen])
     among = (landmarks @ landmarks.T).astype(np.float64)
     value, vector = np.linalg.eigh(among)
     value = np.maximum(value, 1e-8)
     root = (vector / np.sqrt(value)) @ vector.T
-    z = np.concatenate([_vector(t) @ landmarks.T for t in texts]).astype(np.float64) @ root
+    turned = np.ascontiguousarray(landmarks.T)
+    z = np.concatenate([_vectors(texts[at : at + 64]) @ turned for at in range(0, len(texts), 64)]).astype(np.float64) @ root
     centre, mean = z.mean(0), y.mean(0)
     gram = (z - centre).T @ (z - centre) / len(z)
     w = np.linalg.solve(gram + RIDGE * np.eye(len(gram)), (z - centre).T @ (y - mean) / len(z))
