@@ -164,8 +164,9 @@ def search(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> tuple
     sent = _send(windows.select(F.explode("terms").alias("term")))
     scanned = cut(_scan_counts(keyed, sent))
     counted = scanned.filter("term is null").select("doc_id", "th", "n_words")
-    tf = scanned.filter("term is not null").groupBy("term").agg(F.sum("tf").alias("tf"))
-    placed = windows.select("wid", "terms", F.posexplode("terms").alias("at", "term")).join(tf, "term", "left")
+    tf = cut(scanned.filter("term is not null").groupBy("term").agg(F.sum("tf").alias("tf")))
+    # a frequent term stands in very many windows; its count is one row
+    placed = windows.select("wid", "terms", F.posexplode("terms").alias("at", "term")).join(maybe_broadcast(tf, tf.count()), "term", "left")
     rare = placed.groupBy("wid").agg(
         F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), F.col("at").cast("long").alias("at"), "term"))), 1, RAREST).alias("rare")
     )
