@@ -50,8 +50,9 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no match; the test is cheap.
-HINT = rf"[0-9@]|(?:{_TITLES})"
+#: A text with none of these characters or parts of titles has no match; a search for fixed parts is cheap.
+_HINT_CHARS = r"[0-9@]"
+_HINT_PARTS = ["Mr", "Ms", "Mi", "Mons", "Mad", "Herr", "Frau", "Señor", "Госп", "Dr", "Prof"]
 
 # Alphabets and syllables from which surrogates are made.
 _ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзиклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "other": "一二三四五六七八九十百千万"}
@@ -69,7 +70,10 @@ _ENDINGS = {
 
 def matches(text: Column) -> Column:
     """All matches in a text, in order; null for a null text."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
+    hint = text.rlike(_HINT_CHARS)
+    for part in _HINT_PARTS:
+        hint = hint | text.contains(part)
+    return F.when(hint, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def _kind(match: Column) -> Column:
