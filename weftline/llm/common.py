@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 SPACE_CHARS = " \t\n\x0b\f\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
-#: A side of at most this many rows of a few dozen bytes may be broadcast.
-BROADCAST_ROWS = 100_000
+#: A side may be broadcast if it measures at most this much.
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,9 +34,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a side whose counted rows stay under the bound; beyond it Spark shuffles both sides."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def maybe_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose measured bytes stay under the bound; beyond it Spark shuffles both sides.
+
+    ``df`` is read to be measured: it should be materialised or cheap.
+    """
+    size = F.lit(16)
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith("array<struct"):
+            size = size + 64 * F.greatest(F.size(column), F.lit(0))
+        elif kind == "array<string>":
+            size = size + F.coalesce(F.aggregate(column, F.lit(0), lambda n, x: n + 16 + F.coalesce(F.octet_length(x), F.lit(0))), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 16 * F.greatest(F.size(column), F.lit(0))
+        else:
+            size = size + 8
+    total = df.agg(F.sum(size.cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
 
 
 def word_count(text: Column) -> Column:

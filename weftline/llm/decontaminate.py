@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import bytesplit
-from weftline.llm.common import BROADCAST_ROWS, cut, maybe_broadcast
+from weftline.llm.common import cut, maybe_broadcast
 
 WINDOW = 10
 #: Rarest terms whose lists are intersected before documents are read again.
@@ -166,26 +166,25 @@ def search(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> tuple
     counted = scanned.filter("term is null").select("doc_id", "th", "n_words")
     tf = cut(scanned.filter("term is not null").groupBy("term").agg(F.sum("tf").alias("tf")))
     # a frequent term stands in very many windows; its count is one row
-    placed = windows.select("wid", "terms", F.posexplode("terms").alias("at", "term")).join(maybe_broadcast(tf, tf.count()), "term", "left")
+    placed = windows.select("wid", "terms", F.posexplode("terms").alias("at", "term")).join(maybe_broadcast(tf), "term", "left")
     rare = placed.groupBy("wid").agg(
         F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), F.col("at").cast("long").alias("at"), "term"))), 1, RAREST).alias("rare")
     )
     rare = cut(rare.filter(F.get("rare", F.lit(0))["tf"] > 0))
-    n_windows = rare.count()
     rare_terms = _send(rare.select(F.explode("rare.term").alias("term")))
     index = cut(postings(keyed, rare_terms))
     first = rare.withColumn("term", F.get("rare", F.lit(0))["term"])
-    found = index.join(maybe_broadcast(first, n_windows), "term").select("doc_id", "th", "wid", "rare", (F.col("pos") - F.get("rare", F.lit(0))["at"]).alias("start")).filter("start >= 0")
+    found = index.join(maybe_broadcast(first), "term").select("doc_id", "th", "wid", "rare", (F.col("pos") - F.get("rare", F.lit(0))["at"]).alias("start")).filter("start >= 0")
     for which in range(1, RAREST):
         found = _meet(found, index, which)
     found = cut(found.select("doc_id", "th", "wid", "start"))
 
     # what is left is read again, with all terms
-    left = found.select("doc_id", "th").distinct()
-    again = keyed.join(maybe_broadcast(left, left.count()), _same_doc(keyed, left), "left_semi")
+    left = cut(found.select("doc_id", "th").distinct())
+    again = keyed.join(maybe_broadcast(left), _same_doc(keyed, left), "left_semi")
     hit_windows = cut(windows.join(found.select("wid").distinct(), "wid", "left_semi").select("wid", "terms"))
     full = postings(again, _send(hit_windows.select(F.explode("terms").alias("term")))).distinct()
-    wanted = found.join(maybe_broadcast(hit_windows, n_windows), "wid").select("doc_id", "th", "wid", "start", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
+    wanted = found.join(maybe_broadcast(hit_windows), "wid").select("doc_id", "th", "wid", "start", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
     on = (wanted["term"] == full["term"]) & (wanted["start"] + wanted["at"] == full["pos"]) & _same_doc(wanted, full)
     # grouping by the place alone, within a document's rows, spreads even a passage that a third of the documents hold
     agreed = wanted.join(full, on, "left_semi").groupBy("doc_id", "th", "wid", "start", "n").agg(F.count("*").alias("k"))
@@ -204,7 +203,7 @@ def near(docs: DataFrame, items: DataFrame, slop: int, text_col: str = "text", i
     distinct = whole.select("item", F.explode(F.array_distinct("terms")).alias("term")).join(tf, "term", "left")
     rare = distinct.groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term"))), 1, RAREST).alias("rare"))
     rare = cut(rare.filter(F.get("rare", F.lit(0))["tf"] > 0).withColumn("term", F.get("rare", F.lit(0))["term"]))
-    found = index.join(maybe_broadcast(rare, rare.count()), "term").select("doc_id", "th", "item", "pos", "rare")
+    found = index.join(maybe_broadcast(rare), "term").select("doc_id", "th", "item", "pos", "rare")
     stretch = F.floor(F.col("pos") / slop)
     others = index.select("term", F.col("doc_id").alias("d2"), F.col("th").alias("h2"), F.col("pos").alias("p2"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("s2"))
     for which in range(1, RAREST):
@@ -225,7 +224,7 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
     reached = F.greatest(F.coalesce(F.max(end).over(own), F.lit(0)), F.col("start"))
     covered = places.withColumn("fresh", F.greatest(end - reached, F.lit(0))).groupBy("doc_id", "th").agg(F.sum("fresh").alias("n_hit"))
     sources = windows.select("wid", "items")
-    named = places.select("doc_id", "th", "wid").distinct().join(maybe_broadcast(sources, sources.count()), "wid")
+    named = places.select("doc_id", "th", "wid").distinct().join(maybe_broadcast(sources), "wid")
     named = named.select("doc_id", "th", F.explode(F.col("items").cast("array<string>")).alias("item")).distinct()
     listed = named.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("item")).alias("items"))
     on = covered["doc_id"].eqNullSafe(listed["doc_id"]) & covered["th"].eqNullSafe(listed["th"])
@@ -245,4 +244,4 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, t
     found, _ = hits(docs, items, window, text_col)
     bad = cut(found.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")))
     on = docs["doc_id"].eqNullSafe(bad["__id"]) & F.xxhash64(docs[text_col]).eqNullSafe(bad["__th"])
-    return docs.join(maybe_broadcast(bad, bad.count()), on, "left_anti")
+    return docs.join(maybe_broadcast(bad), on, "left_anti")

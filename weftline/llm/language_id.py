@@ -30,6 +30,8 @@ from weftline.llm import bytesplit
 from weftline.llm.common import bounded_sample
 
 PER_LANGUAGE = 600
+#: Longer texts are not learned from, so that the sample stays small; all are scored.
+LEARNED_TEXT_BYTES = 200_000
 #: Landmarks of all languages together: 64 MB on the driver while fitting.
 MAX_LANDMARKS = 256
 RIDGE = 1e-3
@@ -104,7 +106,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
 
 def training_texts(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled rows of (doc_id, text, lang), fetched to the driver in order of their hash."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= LEARNED_TEXT_BYTES))
     rows = bounded_sample(known.select("doc_id", "text", "lang"), "lang", "doc_id", per_language, "language").collect()
     rows.sort(key=lambda r: (r.lang, str(r.doc_id), r.text))
     return [r.text for r in rows], [r.lang for r in rows]

@@ -83,10 +83,9 @@ def plan(sized: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, total_sha
     """
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = cut(source_targets(totals, weights, total_share, max_repeats).withColumnRenamed("source", "__source"))
-    n_sources = targets.count()
-    placed = _placed(sized.withColumn("__u", _uniform(F.col("doc_id"), seed)), maybe_broadcast(targets, n_sources))
+    placed = _placed(sized.withColumn("__u", _uniform(F.col("doc_id"), seed)), maybe_broadcast(targets))
     placed = placed.filter((F.col("__pi") > 0) & (F.col("size") > 0)).withColumn("__bucket", F.floor(F.col("__v") * BUCKETS))
-    certain = _placed(sized.withColumn("__u", F.lit(0.5)), maybe_broadcast(targets, n_sources)).groupBy("source").agg(F.sum(F.col("__whole") * F.col("size")).alias("__sure"))
+    certain = _placed(sized.withColumn("__u", F.lit(0.5)), maybe_broadcast(targets)).groupBy("source").agg(F.sum(F.col("__whole") * F.col("size")).alias("__sure"))
     certain = certain.withColumnRenamed("source", "__of")
     wanted = targets.join(certain, F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of")
     wanted = cut(wanted.withColumn("__rest", F.col("target") - F.coalesce("__sure", F.lit(0))))
@@ -95,14 +94,14 @@ def plan(sized: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, total_sha
     filled = placed.groupBy("source", "__bucket").agg(F.sum("size").alias("__words"))
     upto = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     filled = filled.withColumn("__before", F.coalesce(F.sum("__words").over(upto), F.lit(0)))
-    rest = maybe_broadcast(wanted.select("__source", "__rest"), n_sources)
+    rest = maybe_broadcast(wanted.select("__source", "__rest"))
     reached = filled.join(rest, F.col("source").eqNullSafe(F.col("__source"))).filter(F.col("__before") < F.col("__rest"))
     edge = reached.groupBy("__source").agg(F.max_by(F.struct("__bucket", "__before", "__rest"), "__bucket").alias("__edge"))
     edge = cut(edge.select("__source", "__edge.*").withColumnRenamed("__bucket", "__edge_bucket"))
 
     # rows of that bucket alone are ordered
     on = placed["source"].eqNullSafe(edge["__source"]) & (placed["__bucket"] == edge["__edge_bucket"])
-    inside = placed.select("source", "doc_id", "size", "__v", "__bucket").join(maybe_broadcast(edge, n_sources), on)
+    inside = placed.select("source", "doc_id", "size", "__v", "__bucket").join(maybe_broadcast(edge), on)
     order = Window.partitionBy("__source").orderBy("__v", "doc_id")
     ahead = F.coalesce(F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)) - F.sum("size").over(Window.partitionBy("__source", "__v", "doc_id"))
     own = F.sum("size").over(Window.partitionBy("__source", "__v", "doc_id"))
@@ -116,7 +115,7 @@ def plan(sized: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, total_sha
 
 def _take(docs: DataFrame, planned: DataFrame, seed: str) -> DataFrame:
     """Adds source_size, target and copies; needs source, doc_id and __weight."""
-    placed = _placed(docs.withColumn("__u", _uniform(F.col("doc_id"), seed)), maybe_broadcast(planned, planned.count()))
+    placed = _placed(docs.withColumn("__u", _uniform(F.col("doc_id"), seed)), maybe_broadcast(planned))
     placed = placed.withColumn("__bucket", F.floor(F.col("__v") * BUCKETS))
     at_edge = F.struct(F.col("__v"), F.col("doc_id").alias("id")) <= F.struct(F.col("__last_v"), F.col("__last_id").alias("id"))
     extra = (F.col("__pi") > 0) & ((F.col("__bucket") < F.col("__edge_bucket")) | ((F.col("__bucket") == F.col("__edge_bucket")) & F.col("__last_v").isNotNull() & at_edge))

@@ -235,7 +235,7 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     dirty = marked.filter(F.size("__found") > 0).withColumn("__th", F.xxhash64(text))
     pairs = cut(dirty.select(F.col("doc_id").alias("__id"), "__th", F.explode(F.array_distinct("__found")).alias("match")).distinct())
     spelled = cut(replacements(pairs.select("match").distinct(), key))
-    named = pairs.join(maybe_broadcast(spelled, spelled.count()), "match")
+    named = pairs.join(maybe_broadcast(spelled), "match")
     maps = named.groupBy("__id", "__th").agg(F.map_from_entries(F.collect_list(F.struct("match", "surrogate"))).alias("__map")).withColumnRenamed("__th", "__th2")
     joined = dirty.join(maps, dirty["doc_id"].eqNullSafe(maps["__id"]) & (dirty["__th"] == maps["__th2"]), "left")
 

@@ -24,6 +24,8 @@ from weftline.llm.common import SPACE_CHARS, WORD_RE, let
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample on which costs and selectivities are measured.
 SAMPLE_ROWS = 500
+#: Longer texts are left out of the sample (and of nothing else), so that it stays small.
+SAMPLE_TEXT_BYTES = 100_000
 WINDOW = 3
 
 
@@ -133,7 +135,8 @@ def measure(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: in
 
     The rows are fetched from the first partitions that have them, and no others are read.
     """
-    fetched = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).limit(rows).collect()
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    fetched = texts.filter(F.octet_length("t") <= SAMPLE_TEXT_BYTES).limit(rows).collect()
     sample = docs.sparkSession.createDataFrame(fetched, "t string").withColumn("w", _words(F.col("t"))).coalesce(1).persist()
     try:
         total = sample.count()
