@@ -245,3 +245,26 @@ def latest_rows(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 def key_hash() -> Column:
     return sha256_hex(F.concat_ws("|", *KEY))
+
+
+def check_synced(table: DataFrame, name: str, key: list[str]) -> str:
+    """A table that takes part has one key column, of text or bytes, and not the name of the scope column."""
+    if len(key) != 1:
+        raise ValueError(f"{name} must have one key column, not {len(key)}")
+    kinds = {c.lower(): k for c, k in table.dtypes}
+    column = key[0].lower()
+    if kinds.get(column) not in ("string", "binary"):
+        raise ValueError(f"{name}.{column} must be string or binary, not {kinds.get(column)}")
+    if column == "_sync_scope_id":
+        raise ValueError(f"{name}: {column} is reserved")
+    return column
+
+
+def push_batches(frozen: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
+    """Adds ``batch``: rows in order, closed by number of rows or by bytes of their canonical JSON.
+
+    A running sum by bundle; a bundle has a bounded number of rows.
+    """
+    upto = Window.partitionBy(F.lit(0)).orderBy("row_ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("row_json")).over(upto), F.lit(0))
+    return frozen.withColumn("batch", F.greatest(F.floor(F.col("row_ordinal") / max_rows), F.floor(before / max_bytes)).cast("long"))

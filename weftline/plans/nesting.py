@@ -14,7 +14,7 @@ place the rows of a parent without ties.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +48,21 @@ class Nested:
         return set(self.columns.values()).union(*(c.used() for c in self.children))
 
 
+def inherit(of_view: list[Nested], own: list[Nested]) -> list[Nested]:
+    """Nested fields of a query over a view that has some already.
+
+    A field that the query declares itself replaces the view's of that name, but takes over its key if it names
+    none; fields of the view that stand inside a field of the query, or that lost all their columns, go.
+    """
+    known = {n.name: n for n in of_view}
+    merged = [replace(n, key=n.key or known[n.name].key) if n.name in known else n for n in own]
+    inside = {c.name for n in own for c in n.children}
+    taken = set().union(*(n.used() for n in own)) if own else set()
+    names = {n.name for n in own} | inside
+    rest = [n for n in of_view if n.name not in names and (n.mapping == DEFAULT or not n.used() <= taken)]
+    return rest + merged
+
+
 def prefixed(df: DataFrame, prefix: str) -> dict[str, str]:
     """Columns that begin with a prefix, by the rest of their name; longer prefixes inside (``a__b__``) are left out."""
     rest = {c[len(prefix) :]: c for c in df.columns if c.lower().startswith(prefix.lower())}

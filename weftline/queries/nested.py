@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans.nesting import Nested, nest, nest_children, nest_rows, prefixed
+from weftline.plans.nesting import Nested, inherit, nest, nest_children, nest_rows, prefixed
 from weftline.plans.query import Query
 from weftline.queries.registry import query
 from weftline.sources.tables import register
@@ -159,6 +159,21 @@ def m17_many_to_many(spark, t):
     return found.select("s_suppkey", F.size("parts").alias("n_parts"), F.when(keys != "", keys).alias("parts"))
 
 
+@query(
+    "m13_inherited_fields",
+    "SELECT c_custkey, n_name AS nation_name, r_name AS region_name, CAST(count(o_orderkey) AS integer) AS n_orders FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 200000 GROUP BY 1, 2, 3",
+)
+def m13_inherited_fields(spark, t):
+    """A query over a view takes over the view's nested fields; its own collection brings the orders."""
+    view = t["customer"].select("c_custkey", "c_nationkey").join(t["nation"].select("n_nationkey", "n_name", "n_regionkey"), F.col("n_nationkey") == F.col("c_nationkey")).join(t["region"].select("r_regionkey", "r_name"), F.col("r_regionkey") == F.col("n_regionkey"))
+    of_view = [Nested("nation", "per_row", {"name": "n_name"}), Nested("region", "per_row", {"name": "r_name"}), Nested("orders", "collection", {"key": "o_orderkey"}, key="o_orderkey")]
+    large = t["orders"].filter("o_totalprice > 200000").select("o_custkey", "o_orderkey", "o_totalprice")
+    joined = view.select("c_custkey", "n_name", "r_name").join(large, F.col("o_custkey") == F.col("c_custkey"), "left").drop("o_custkey")
+    fields = inherit(of_view, [Nested("orders", "collection", {"key": "o_orderkey", "price": "o_totalprice"})])
+    found = nest(joined, "c_custkey", fields, [F.col("o_orderkey")], sort=False)
+    return found.select("c_custkey", F.col("nation.name").alias("nation_name"), F.col("region.name").alias("region_name"), F.size("orders").alias("n_orders"))
+
+
 @query("flagship_customers", "SELECT c_custkey AS id, c_name AS name, CAST(count(o_orderkey) AS integer) AS n_orders, any_value(n_name) AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey <= 5000 GROUP BY c_custkey, c_name")
 def flagship_customers(spark, t):
     found = Query.load("customer.with_orders").run(spark, max_key=5000)

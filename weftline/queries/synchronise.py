@@ -199,3 +199,47 @@ def r3_stream_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["r3_stream_of_changes"] = r3_stream_of_changes
 ORACLES["r3_stream_of_changes"] = "SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY user_id"
+
+
+def r6_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by hour and type from a stream with a watermark; each batch replaces the table of totals."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
+    counted = events.withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    flat = counted.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("hour"), "event_type", "n", "last")
+    writer = flat.writeStream.outputMode("complete").foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/hours"))
+    writer.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/hours")
+
+
+QUERIES["r6_windowed_stream"] = r6_windowed_stream
+ORACLES["r6_windowed_stream"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2"
+
+
+@query(
+    "y6_push_batches",
+    PREPARED
+    + """, rows AS (SELECT row_ordinal, '{"base_row_version":"' || base_row_version || '","key":' || key_json || ',"op":"' || op || '","payload":' || coalesce(payload, 'null') || ',"schema":"main","table":"users"}' AS j FROM prepared),
+s AS (SELECT row_ordinal, greatest(row_ordinal // 50, CAST(floor(coalesce(sum(strlen(j)) OVER (ORDER BY row_ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 4096) AS bigint)) AS batch FROM rows)
+SELECT batch, count(*) AS n, min(row_ordinal) AS first FROM s GROUP BY batch""",
+)
+def y6_push_batches(spark, t):
+    send, _ = changes.prepare_push(_dirty(spark, t), _state(t), ["users"])
+    batches = changes.push_batches(changes.freeze(send), 50, 4096)
+    return batches.groupBy("batch").agg(F.count("*").alias("n"), F.min("row_ordinal").alias("first"))
+
+
+@query(
+    "y17_synced_tables",
+    "SELECT * FROM (VALUES ('customer', 'c_name'), ('nation', 'n_name'), ('region', 'r_name')) v(name, key_column)",
+)
+def y17_synced_tables(spark, t):
+    found = []
+    for name, key in (("region", ["R_NAME"]), ("nation", ["n_name"]), ("customer", ["c_name"]), ("orders", ["o_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"])):
+        try:
+            found.append((name, changes.check_synced(t[name], name, key)))
+        except ValueError:
+            continue
+    return spark.createDataFrame(found, "name string, key_column string")
