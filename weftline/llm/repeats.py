@@ -5,8 +5,8 @@ together without sorting the corpus in one place:
 
 1. Each window is led by the least hashed ``GRAM``-byte gram in it (the leftmost of equals), so equal windows
    have the same leader at the same offset.  Windows that follow each other with one leader form a piece, about
-   one in a hundred bytes.  Pieces are counted by (leader, content): what stands there twice is repeated as a
-   whole; a leader with one piece that occurs once has nothing repeated.
+   one in a hundred bytes.  Pieces are counted by leader, and where its contents differ by (leader, content):
+   what stands there twice is repeated as a whole; a leader that occurs once has nothing repeated.
 2. Pieces that occur once but share their leader with others (and one copy of each of those others) are cut
    by the offset of the leader into stretches of ``STEP`` windows.  The windows of a stretch share a core of
    LENGTH - STEP + 1 bytes, and a stretch is written as left bytes, core as one symbol, right bytes.  Stretches
@@ -47,6 +47,8 @@ HOT = 4000
 #: Symbols that are sorted as one string.
 SORTED_AT_ONCE = 1 << 18
 _PLACE_BITS = np.uint64(20)
+#: A piece's windows and leader offset are below this; with its start they are kept as one number.
+_PACK = 1024
 
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -184,17 +186,27 @@ def _same_doc(a: DataFrame, b: DataFrame) -> Column:
 
 def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP, hot: int = HOT) -> DataFrame:
     """(doc_id, th, start, end) of repeated stretches, overlapping as they come."""
+    if not (gram <= length - step + 1 and length - gram + 1 < _PACK):
+        raise ValueError("the core must hold the gram, and a piece at most 1023 windows")
     found = _all_pieces(keyed, length, gram)
-    # one row for each content: copies collapse before the shuffle
-    counted = found.groupBy("h", "p").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "start")).alias("one"))
-    leaders = counted.groupBy("h").agg(F.sum("c").alias("all"), F.count("*").alias("contents")).filter(F.col("all") > 1)
-    live = cut(counted.join(leaders, "h").select("h", "p", "c", (F.col("contents") > 1).alias("mixed"), "one"))
-    seen = found.join(live, ["h", "p"])
-    first = F.struct("doc_id", "th", "start") == F.col("one")
-    needed = cut(seen.select("doc_id", "th", "start", "n", "off", "h", (F.col("c") > 1).alias("whole"), (F.col("mixed") & ((F.col("c") == 1) | F.coalesce(first, F.lit(True)))).alias("open")))
-    copies = needed.filter("whole").select("doc_id", "th", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))
-
-    wanted = needed.filter("open").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "start", "n", "off")).alias("wanted"))
+    # one row for each leader and task goes into the shuffle; contents differ if the least is not the greatest
+    leaders = found.groupBy("h").agg(F.count("*").alias("c"), F.min("p").alias("low"), F.max("p").alias("high")).filter("c > 1")
+    live = cut(leaders.select("h", (F.col("low") != F.col("high")).alias("mixed")))
+    place = F.col("start") * _PACK * _PACK + F.col("n") * _PACK + F.col("off")
+    seen = found.join(live, "h").select("doc_id", "th", place.alias("place"), F.when(F.col("mixed"), F.col("h")).alias("h"), F.when(F.col("mixed"), F.col("p")).alias("p"))
+    needed = cut(seen)
+    # leaders with several contents: what occurs once is open, and one copy of each other content to compare with
+    mixed = needed.filter("h is not null")
+    one = F.struct("doc_id", "th", "place")
+    counted = mixed.groupBy("h", "p").agg(F.count("*").alias("c"), F.min(one).alias("one"))
+    judged = mixed.join(counted, ["h", "p"])
+    copies = needed.filter("h is null").select("doc_id", "th", "place").unionByName(judged.filter("c > 1").select("doc_id", "th", "place"))
+    start, n, off = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(_PACK - 1), F.col("place").bitwiseAND(_PACK - 1)
+    copies = copies.select("doc_id", "th", start.alias("start"), (start + n + (length - 1)).alias("end"))
+
+    opened = judged.filter((F.col("c") == 1) | F.coalesce(one == F.col("one"), F.lit(True)))
+    opened = opened.select("doc_id", "th", start.alias("start"), n.alias("n"), off.alias("off"), "h")
+    wanted = opened.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "start", "n", "off")).alias("wanted"))
     joined = keyed.join(wanted, _same_doc(keyed, wanted)).select(keyed["doc_id"], keyed["th"], "data", "wanted")
     parts = cut(_stretches(joined, length, step))
     alike = parts.groupBy("k", "left", "right").agg(F.count("*").alias("c"))
