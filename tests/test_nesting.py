@@ -65,6 +65,20 @@ def test_against_row_mapper(spark, seed):
     assert [plain(r) for r in found.collect()] == mapped(rows)
 
 
+@pytest.mark.parametrize("seed", range(10, 14))
+def test_only_collection_against_row_mapper(spark, seed):
+    """Without a sibling collection the joined rows are read once; the result is the same."""
+    rng = random.Random(seed)
+    maybe = lambda values: rng.choice([None, *values])
+    rows = [{"id": rng.choice([1, 2, 3, None]), "name": f"n{i}", "a_id": maybe([1, 2, 3]), "a_city": maybe(["x", "y"]), "n_id": maybe([1, 2]), "n_text": maybe(["t", "u"]), "c_id": None, "p_name": maybe(["p", "q"]), "ord": i} for i in range(rng.randint(1, 60))]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).orderBy(F.rand(seed))
+    found = nest(df, "id", [ADDRESSES, PROFILE, Nested("categories", "default", default=None)], [F.col("ord")])
+    got = [(r.id, r.name, [(a.id, a.city, [tuple(n) for n in a.notes]) for a in r.addresses], [], tuple(r.profile) if r.profile is not None else None) for r in found.collect()]
+    assert got == mapped(rows)
+    plan = nest(df, "id", [ADDRESSES, PROFILE], [F.col("ord")], sort=False)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_empty_table(spark):
     assert nest(spark.createDataFrame([], SCHEMA), "id", [ADDRESSES, CATEGORIES, PROFILE], [F.col("ord")]).count() == 0
 

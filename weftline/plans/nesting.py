@@ -134,8 +134,69 @@ def _collected(node: Nested, element: Column, present: Column) -> Column:
     return F.collect_list(F.when(present, F.struct(key.alias("k"), F.col(_ORD).alias("o"), element.alias("e"))))
 
 
+def _place(n: Nested) -> Column:
+    """Where a single related row may come from: null in rows that do not have it."""
+    always = n.mapping == ENTITY and n.not_null and not n.children
+    return F.col(_ORD) if always else F.when(_present(n), F.col(_ORD))
+
+
+def _only_deep(nested: tuple[Nested, ...]) -> Nested | None:
+    """The collection with collections inside, if it is the only collection here and nothing goes deeper."""
+    found = [n for n in nested if n.mapping == COLLECTION]
+    if len(found) != 1 or not any(c.mapping == COLLECTION for c in found[0].children):
+        return None
+    deeper = any(g.mapping == COLLECTION for c in found[0].children for g in c.children)
+    return None if deeper else found[0]
+
+
+def _two_levels(df: DataFrame, keys: list[str], scalars: list[str], nested: tuple[Nested, ...], n: Nested) -> DataFrame:
+    """``_level`` with the joined rows read once: elements first, then their parents from the elements."""
+    singles = [m for m in nested if m.mapping in (PER_ROW, ENTITY)]
+    here = F.when(_present(n), F.col(_ORD))
+    own = [c for c in dict.fromkeys(n.columns.values()) if c not in keys and c != n.key]
+    aggregates = [
+        F.min(_ORD).alias("__first"),
+        F.min_by(F.struct(F.lit(0).alias("__"), *scalars), F.col(_ORD)).alias("__root"),
+        F.min(here).alias("__at"),
+        F.min_by(F.struct(F.lit(0).alias("__"), *own), here).alias("__own"),
+    ]
+    aggregates += [F.min_by(F.struct(_place(m).alias("o"), _flat_element(m).alias("e")), _place(m)).alias(f"__n_{m.name}") for m in singles]
+    for c in n.children:
+        if c.mapping == COLLECTION:
+            aggregates.append(_collected(c, _flat_element(c), _present(c)).alias(f"__c_{c.name}"))
+        elif c.mapping != DEFAULT:
+            always = c.mapping == ENTITY and c.not_null and not c.children
+            aggregates.append(F.min_by(_flat_element(c), here if always else _place(c)).alias(f"__c_{c.name}"))
+    elements = df.groupBy(*keys, n.key).agg(*aggregates)
+
+    def inside(c: Nested) -> Column:
+        if c.mapping == COLLECTION:
+            return _keep_first(F.col(f"__c_{c.name}"), c.key is not None)
+        return F.lit(c.default) if c.mapping == DEFAULT else F.col(f"__c_{c.name}")
+
+    fields = [(F.col("__own")[c] if c in own else F.col(c)).alias(name) for name, c in n.columns.items()]
+    element = F.struct(*fields, *[inside(c).alias(c.name) for c in n.children])
+    parents = elements.groupBy(*keys).agg(
+        F.min("__first").alias(_ORD),
+        F.min_by("__root", "__first").alias("__root"),
+        F.collect_list(F.when(F.col("__at").isNotNull(), F.struct(F.col("__at").alias("o"), element.alias("e")))).alias("__list"),
+        *[F.min_by(f"__n_{m.name}", F.col(f"__n_{m.name}")["o"]).alias(f"__n_{m.name}") for m in singles],
+    )
+    columns = [F.col(k) for k in keys] + [F.col("__root")[c].alias(c) for c in scalars]
+    for m in nested:
+        if m is n:
+            value = F.transform(F.sort_array("__list"), lambda p: p["e"])
+        else:
+            value = F.lit(m.default) if m.mapping == DEFAULT else _required(m, F.col(f"__n_{m.name}")["e"])
+        columns.append(value.alias(m.name))
+    return parents.select(*columns, _ORD)
+
+
 def _level(df: DataFrame, keys: list[str], scalars: list[str], nested: tuple[Nested, ...]) -> DataFrame:
     """One row per key: the scalars, the nested fields, and the first place (__ord)."""
+    only = _only_deep(nested)
+    if only is not None and not any(c.not_null for c in only.children):
+        return _two_levels(df, keys, scalars, nested, only)
     aggregates = [F.min(_ORD).alias("__first")]
     aggregates += [F.min_by(F.col(c), F.col(_ORD)).alias(f"__s_{c}") for c in scalars]
     deep = [n for n in nested if n.mapping == COLLECTION and any(c.mapping == COLLECTION for c in n.children)]
@@ -143,9 +204,7 @@ def _level(df: DataFrame, keys: list[str], scalars: list[str], nested: tuple[Nes
         if n.mapping == COLLECTION and n not in deep:
             aggregates.append(_collected(n, _flat_element(n), _present(n)).alias(f"__n_{n.name}"))
         elif n.mapping in (PER_ROW, ENTITY):
-            always = n.mapping == ENTITY and n.not_null and not n.children
-            place = F.col(_ORD) if always else F.when(_present(n), F.col(_ORD))
-            aggregates.append(F.min_by(_flat_element(n), place).alias(f"__n_{n.name}"))
+            aggregates.append(F.min_by(_flat_element(n), _place(n)).alias(f"__n_{n.name}"))
     out = df.groupBy(*keys).agg(*aggregates)
     for n in deep:
         inside = _level(df.filter(_present(n)), [*keys, n.key], [c for c in n.columns.values() if c not in (*keys, n.key)], n.children)
