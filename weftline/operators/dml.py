@@ -88,8 +88,8 @@ def update(table: DataFrame, where: Column, values: dict[str, Column]) -> Change
 
 def delete(table: DataFrame, where: Column) -> Changed:
     """DELETE ... WHERE."""
-    hit = F.coalesce(where, F.lit(False))
-    return Changed(table.filter(~hit), table.filter(hit))
+    # the condition as it is can be pushed into the scan; rows for which it is null stay
+    return Changed(table.filter(~F.coalesce(where, F.lit(False))), table.filter(where))
 
 
 def delete_matching(table: DataFrame, keys: DataFrame, on: list[str]) -> Changed:
