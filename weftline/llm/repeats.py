@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +91,20 @@ def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytesplit.utf8(column)
 
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The texts compressed one by one: they are shuffled twice, and are most of what is shuffled."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            data, offsets = _binary(batch.column(2))
+            view = memoryview(np.ascontiguousarray(data))
+            packed = [pack(view[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc_id", "th", "data"])
+
+    return keyed.mapInArrow(each, f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, th long, data binary")
+
+
 def _all_pieces(keyed: DataFrame, length: int, gram: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,11 +128,11 @@ def _stretches(joined: DataFrame, length: int, step: int) -> DataFrame:
     core = length - step + 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            data, offsets = _binary(batch.column(2))
             out: dict[str, list] = {k: [] for k in ("k", "left", "right", "row", "start", "n")}
             for r, wanted in enumerate(batch.column(3)):
-                own = data[offsets[r] : offsets[r + 1]].tobytes()
+                own = unpack(batch.column(2)[r].as_py())
                 for piece in wanted.as_py():
                     h, start, n, off = piece["h"], piece["start"], piece["n"], piece["off"]
                     leader = start + off
@@ -207,7 +222,8 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int =
     opened = judged.filter((F.col("c") == 1) | F.coalesce(one == F.col("one"), F.lit(True)))
     opened = opened.select("doc_id", "th", start.alias("start"), n.alias("n"), off.alias("off"), "h")
     wanted = opened.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "start", "n", "off")).alias("wanted"))
-    joined = keyed.join(wanted, _same_doc(keyed, wanted)).select(keyed["doc_id"], keyed["th"], "data", "wanted")
+    packed = _packed(keyed)
+    joined = packed.join(wanted, _same_doc(packed, wanted)).select(packed["doc_id"], packed["th"], "data", "wanted")
     parts = cut(_stretches(joined, length, step))
     alike = parts.groupBy("k", "left", "right").agg(F.count("*").alias("c"))
     cores = alike.groupBy("k").agg(F.count("*").alias("m"))
@@ -226,15 +242,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, text_col, id_col)
     found = spans(keyed, length, gram, step, hot)
     by_doc = found.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
-    joined = keyed.join(by_doc, _same_doc(keyed, by_doc), "left").select(keyed["doc_id"], "data", "starts", "ends")
+    packed = _packed(keyed)
+    joined = packed.join(by_doc, _same_doc(packed, by_doc), "left").select(packed["doc_id"], "data", "starts", "ends")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            data, offsets = _binary(batch.column(1))
-            n_bytes, removed, n_spans = np.diff(offsets), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n_bytes, removed, n_spans = np.zeros((3, batch.num_rows), np.int64)
             digests, kept = [], []
             for r in range(batch.num_rows):
-                own = data[offsets[r] : offsets[r + 1]]
+                own = np.frombuffer(unpack(batch.column(1)[r].as_py()), np.uint8)
+                n_bytes[r] = len(own)
                 if batch.column(2)[r].is_valid and len(batch.column(2)[r]):
                     depth = np.zeros(len(own) + 1, np.int64)
                     np.add.at(depth, batch.column(2)[r].values.to_numpy(), 1)
