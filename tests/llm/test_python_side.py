@@ -62,6 +62,19 @@ def test_decontamination_against_brute_force(spark):
     assert {r.n_hit for r in decontaminate.report(docs, bench.limit(0)).collect()} == {0}
 
 
+def test_repeated_rows_keep_their_hits(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    hit, short = f"x {item} y", "alpha beta"
+    rows = [(1, hit), (2, hit), (2, hit), (3, hit), (3, hit), (3, hit), (None, hit), (None, hit), (None, hit), (4, f"q {short}"), (4, f"q {short}"), (5, "clean"), (5, "clean"), (None, "clean"), (None, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    got = sorted(((r.doc_id or 0), r.n_words, r.n_hit, list(r["items"])) for r in decontaminate.report(docs, bench).collect())
+    want = [((i or 0), len(t.split()), 11 if t == hit else 2 if short in t else 0, ["1"] if t == hit else ["2"] if short in t else []) for i, t in rows]
+    assert got == sorted(want)
+    left = decontaminate.drop_contaminated(docs, bench).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "clean"), (0, "clean"), (5, "clean"), (5, "clean")]
+
+
 def test_too_many_terms_to_send(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "MAX_SENT_TERMS", 2)
     items = [(1, "alpha beta gamma delta"), (2, "one two three four five six seven eight nine ten eleven")]

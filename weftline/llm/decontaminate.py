@@ -177,7 +177,8 @@ def search(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> tuple
     found = index.join(maybe_broadcast(first), "term").select("doc_id", "th", "wid", "rare", (F.col("pos") - F.get("rare", F.lit(0))["at"]).alias("start")).filter("start >= 0")
     for which in range(1, RAREST):
         found = _meet(found, index, which)
-    found = cut(found.select("doc_id", "th", "wid", "start"))
+    # equal rows give equal postings: each place once, or the terms below would be counted once for each row
+    found = cut(found.select("doc_id", "th", "wid", "start").distinct())
 
     # what is left is read again, with all terms
     left = cut(found.select("doc_id", "th").distinct())
