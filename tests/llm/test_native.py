@@ -118,6 +118,39 @@ def test_surrogates(spark):
     assert pii.pseudonymize(docs.limit(0)).count() == 0
 
 
+NAMES = {
+    "Mr John Paul Smith left": r"Mr (\w+) (\w+) (\w+) left",
+    "Dr Jean-Luc Picard left": r"Dr (\w+)-(\w+) (\w+) left",
+    "Dr McDonald left": r"Dr (\w+) left",
+    "Mr O'Brien left": r"Mr (\w+) left",
+    "Mr SMITH left": r"Mr ([A-Z]+) left",
+    "Mr O’Brien’s car": r"Mr (\w+)’s car",
+    "Mrs Anna Smith-McDonald": r"Mrs (\w+) (\w+)-(\w+)",
+    "Dr Anna Smith. The end": r"Dr (\w+) (\w+)\. The end",
+    "Herr Dr. J. R. von der Leyen came": r"Herr Dr\. (\w+)\. (\w+)\. von der (\w+) came",
+    "Mr Smith I think": r"Mr (\w+) I think",
+    "Ms Kim Lee": r"Ms (\w+) (\w+)",
+    "Mr Kim Lee": r"Mr (\w+) (\w+)",
+}
+
+
+def test_whole_names(spark):
+    docs = spark.createDataFrame(list(enumerate(NAMES)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymize(docs, key="k").collect()}
+    found = {}
+    for i, (text, shape) in enumerate(NAMES.items()):
+        m = re.fullmatch(shape, got[i].text)
+        assert m and got[i].n_entities == 1, (text, got[i].text)
+        assert not set(re.findall(r"John|Paul|SMITH|Smith|Jean|Luc|Picard|Donald|Brien|Anna|Leyen|Kim|Lee", text)) & set(re.findall(r"\w+", got[i].text)), got[i].text
+        found[text] = m.groups()
+    smith = found["Mr John Paul Smith left"][2]
+    assert found["Mr SMITH left"] == (smith.upper(),) and found["Mr Smith I think"] == (smith,)
+    assert found["Dr Anna Smith. The end"] == (found["Mrs Anna Smith-McDonald"][0], smith)
+    assert found["Mrs Anna Smith-McDonald"][1:] == (smith, found["Dr McDonald left"][0])
+    assert found["Mr O'Brien left"] == found["Mr O’Brien’s car"]
+    assert found["Ms Kim Lee"] == found["Mr Kim Lee"]
+
+
 def test_surrogates_stay_distinct_in_small_spaces(spark):
     keys = spark.createDataFrame([("local", c) for c in "abcdefghijklmnopqrstuvwxyz"] + [("ip", f"{a}.{b}.1.1") for a in range(1, 9) for b in range(1, 9)], "kind string, norm string")
     got = pii.surrogates(keys, "k").collect()

@@ -8,7 +8,8 @@ wherever they stand: coreference holds across documents, spellings in capitals a
 A surrogate follows from HMAC-like SHA-256 digests of the secret key, the kind and the normalised value.  It
 keeps kind and format: digits become digits, letters become letters of their script in the same case,
 separators stay, country codes stay, card numbers that pass the Luhn check get surrogates that pass it, octets
-keep their number of digits, given names keep the gender that the title tells.  Distinct keys get distinct
+keep their number of digits, given names keep the gender that titles tell anywhere in the corpus (neutral if they
+differ).  Names have any number of words, of which the last is the family name; hyphened pieces are keyed apart.  Distinct keys get distinct
 surrogates, and no surrogate equals a value that occurs in the corpus: candidates that collide are drawn again
 until none does (after ``LONGER_FROM`` tries the surrogate may grow by a few characters, so that small spaces
 cannot run out).
@@ -36,8 +37,20 @@ MAX_TRIES = 40
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Mister", "Господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Госпожа"]
 NEUTRAL_TITLES = ["Dr", "Prof"]
+GIVEN = ["given_m", "given_f", "given_n"]
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES)
 
+# A name is any number of words in a row: capitals inside, apostrophes and hyphens (not a contraction), all
+# capitals, initials, and the small words between them.  The last word is the family name.
+PARTICLES = ["van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "ten", "ter", "zu", "zur", "bin", "ibn", "al", "el"]
+_GAP = r"[ \t\u00A0\u202F]+"
+_TITLE = rf"(?:{_TITLES})\.?"
+_SHORT = r"(?:[sdmSDM]|ll|re|ve|LL|RE|VE)(?!\p{L})"
+_WORD = rf"\p{{Lu}}[\p{{L}}\p{{M}}]++(?:['’](?!{_SHORT})\p{{L}}[\p{{L}}\p{{M}}]*+|-(?:\p{{Ll}}{{1,3}}-)?\p{{Lu}}[\p{{L}}\p{{M}}]*+)*+|\p{{Lu}}['’]\p{{L}}[\p{{L}}\p{{M}}]++(?:-\p{{Lu}}[\p{{L}}\p{{M}}]*+)*+"
+_SMALL = rf"(?:(?:{'|'.join(PARTICLES)}){_GAP})*"
+_INITIAL = rf"(?:\p{{Lu}}\.)+(?={_GAP}{_SMALL}\p{{Lu}}|\p{{Lu}}\p{{Ll}})|\p{{Lu}}(?={_GAP}{_SMALL}\p{{Lu}}[\p{{L}}'’])"
+_NAMED = rf"(?:{_WORD}|{_INITIAL})"
+
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 PATTERNS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)*\.\p{{L}}{{2,}}+",
@@ -47,7 +60,7 @@ PATTERNS = {
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "secret": r"(?<![\p{L}\p{N}])[0-9A-Fa-f]{32,128}(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    "name": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}}){_TITLE}{_GAP}(?:{_TITLE}{_GAP})*{_SMALL}{_NAMED}(?:(?:{_GAP}{_SMALL}|(?<=\.)){_NAMED})*",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text with none of these characters or parts of titles has no match; a search for fixed parts is cheap.
@@ -95,17 +108,23 @@ def _parts(found: DataFrame) -> DataFrame:
     def part(kind, raw):
         return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), raw.alias("raw"))
 
-    title = F.regexp_extract(m, rf"^({_TITLES})", 1)
-    gender = F.when(title.isin(MALE_TITLES), "given_m").when(title.isin(FEMALE_TITLES), "given_f").otherwise("given_n")
-    names = F.split(F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", ""), " ")
-    lead = F.regexp_extract(m, rf"^(?:{_TITLES})\.? ", 0)
+    # titles, then words and what stands between them; a given name's kind is settled over all matches, see _settle
+    lead = F.regexp_extract(m, rf"^{_TITLE}{_GAP}(?:{_TITLE}{_GAP})*", 0)
+    titles = F.regexp_extract_all(lead, F.lit(rf"({_TITLES})"), F.lit(1))
+    male, female = F.arrays_overlap(titles, F.array(*map(F.lit, MALE_TITLES))), F.arrays_overlap(titles, F.array(*map(F.lit, FEMALE_TITLES)))
+    gender = F.when(male & ~female, "given_m").when(female & ~male, "given_f").otherwise("given_n")
+    words = F.regexp_extract_all(F.substr(m, F.length(lead) + 1), F.lit(r"[^ \t\u00A0\u202F.-]+|[ \t\u00A0\u202F.-]+"), F.lit(0))
+    is_name = lambda w: w.rlike(r"^\p{L}") & ~w.isin(PARTICLES)
+    # the last word with all of its hyphened pieces is the family name
+    before_last = F.length(F.regexp_extract(m, rf"^(.*[ \t\u00A0\u202F.])[^ \t\u00A0\u202F.]+$", 1)) - F.length(lead)
+    reached = lambda i: F.length(F.array_join(F.slice(words, F.lit(1), i), ""))
+    named = F.concat(F.array(part(stays, lead)), F.transform(words, lambda w, i: part(F.when(is_name(w), F.when(reached(i) >= before_last, "family").otherwise(gender)), w)))
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=\D)", 0)
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     stem, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.[^.]+$", 0)
     parts = (
         F.when(_is("email"), F.array(part("local", local), part(stays, F.lit("@")), part("domain", stem), part(stays, top)))
-        .when(_is("name") & (F.size(names) > 1), F.array(part(stays, lead), part(gender, F.get(names, F.lit(0))), part(stays, F.lit(" ")), part("family", F.get(names, F.lit(1)))))
-        .when(_is("name"), F.array(part(stays, lead), part("family", F.get(names, F.lit(0)))))
+        .when(_is("name"), named)
         .when(_is("phone"), F.array(part(stays, code), part("phone", F.substr(m, F.length(code) + 1))))
         .when(_is("iban"), F.array(part(stays, F.substr(m, F.lit(1), F.lit(2))), part("iban", F.substr(m, F.lit(3)))))
         .otherwise(F.array(part(F.col("kind"), m)))
@@ -116,7 +135,21 @@ def _parts(found: DataFrame) -> DataFrame:
 
 def _norm(kind: Column, raw: Column) -> Column:
     """What makes two spellings the same entity."""
-    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, r"\D", "")).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).otherwise(F.lower(raw))
+    return F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(raw, r"\D", "")).when(kind == "iban", F.replace(raw, F.lit(" "), F.lit(""))).when(kind.isin(GIVEN + ["family"]), F.lower(F.replace(raw, F.lit("’"), F.lit("'")))).otherwise(F.lower(raw))
+
+
+def _settle(parts: DataFrame) -> DataFrame:
+    """One kind for each given name: the gender that titles tell anywhere in the corpus, neutral if they differ or tell none."""
+    given = parts.filter(F.col("kind").isin(GIVEN))
+    told = given.groupBy("norm").agg(F.max((F.col("kind") == "given_m").cast("int")).alias("m"), F.max((F.col("kind") == "given_f").cast("int")).alias("f"))
+    settled = told.select("norm", F.when(F.col("m") > F.col("f"), "given_m").when(F.col("f") > F.col("m"), "given_f").otherwise("given_n").alias("__kind"))
+    kind = F.when(F.col("kind").isin(GIVEN), F.col("__kind")).otherwise(F.col("kind"))
+    return parts.join(settled, "norm", "left").withColumn("kind", kind).drop("__kind")
+
+
+def _space(kind: Column) -> Column:
+    """Kinds within which surrogates differ: given names of all genders are one."""
+    return F.when(kind.isin(GIVEN), "given").otherwise(kind)
 
 
 def _script(c: Column) -> Column:
@@ -186,15 +219,15 @@ def _candidate(key: str) -> Column:
 def surrogates(keys: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(kind, norm) to (kind, norm, core): distinct cores within a kind, none of them a norm of that kind."""
     keys = cut(keys.distinct())
-    taken = keys.select("kind", F.col("norm").alias("core"))
+    taken = keys.select(_space(F.col("kind")).alias("space"), F.col("norm").alias("core"))
     open_keys, done = keys, None
     for attempt in range(MAX_TRIES):
-        tried = cut(open_keys.withColumn("attempt", F.lit(attempt)).withColumn("core", _candidate(key)))
-        first = F.row_number().over(Window.partitionBy("kind", "core").orderBy("norm")) == 1
-        won = tried.withColumn("first", first).filter("first").join(taken, ["kind", "core"], "left_anti").select("kind", "norm", "core")
+        tried = cut(open_keys.withColumn("attempt", F.lit(attempt)).withColumn("core", _candidate(key)).withColumn("space", _space(F.col("kind"))))
+        first = F.row_number().over(Window.partitionBy("space", "core").orderBy("norm", "kind")) == 1
+        won = tried.withColumn("first", first).filter("first").join(taken, ["space", "core"], "left_anti").select("kind", "norm", "core")
         won = cut(won)
         done = won if done is None else done.unionByName(won)
-        taken = taken.unionByName(won.select("kind", "core"))
+        taken = taken.unionByName(won.select(_space(F.col("kind")).alias("space"), "core"))
         open_keys = cut(open_keys.join(won, ["kind", "norm"], "left_anti"))
         if open_keys.isEmpty():
             return done
@@ -217,7 +250,7 @@ def _render(kind: Column, raw: Column, core: Column) -> Column:
 
 def replacements(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """Distinct matches (column match) to (match, surrogate)."""
-    parts = cut(_parts(found).withColumn("norm", _norm(F.col("kind"), F.col("raw"))))
+    parts = cut(_settle(cut(_parts(found).withColumn("norm", _norm(F.col("kind"), F.col("raw"))))))
     cores = surrogates(parts.filter("kind is not null").select("kind", "norm"), key)
     # one part (a mail domain) may stand in a third of all matches: its side is one row, and AQE splits the other
     joined = parts.join(cores, ["kind", "norm"], "left")
