@@ -143,8 +143,8 @@ def _settle(parts: DataFrame) -> DataFrame:
     given = parts.filter(F.col("kind").isin(GIVEN))
     told = given.groupBy("norm").agg(F.max((F.col("kind") == "given_m").cast("int")).alias("m"), F.max((F.col("kind") == "given_f").cast("int")).alias("f"))
     settled = told.select("norm", F.when(F.col("m") > F.col("f"), "given_m").when(F.col("f") > F.col("m"), "given_f").otherwise("given_n").alias("__kind"))
-    kind = F.when(F.col("kind").isin(GIVEN), F.col("__kind")).otherwise(F.col("kind"))
-    return parts.join(settled, "norm", "left").withColumn("kind", kind).drop("__kind")
+    joined = given.join(settled, "norm").withColumn("kind", F.col("__kind")).select(*parts.columns)
+    return joined.unionByName(parts.filter(~F.coalesce(F.col("kind").isin(GIVEN), F.lit(False))))
 
 
 def _space(kind: Column) -> Column:
