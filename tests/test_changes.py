@@ -185,3 +185,21 @@ def test_tables_and_watches(spark, tmp_path):
     assert watch.poll() is None
     versions.changed(["ORDERS"])
     assert watch.poll() is not None
+
+
+def test_push_batches_are_summed_in_many_tasks(spark):
+    sizes = [(i * 37) % 90 + 1 for i in range(3000)]
+    frozen = spark.createDataFrame([(i, "é" + "x" * n) for i, n in enumerate(sizes)], "row_ordinal long, row_json string").repartition(4)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    try:
+        rows = changes.push_batches(frozen, 50, 1000).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(name)
+    before, want = 0, {}
+    for i, n in enumerate(sizes):
+        want[i] = max(i // 50, before // 1000)
+        before += n + 2
+    assert {r.row_ordinal: r.batch for r in rows} == want
+    assert len({r.task for r in rows}) > 1
+    assert changes.push_batches(frozen.limit(0), 50, 1000).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.codec import canonical, rows_hash, sha256_hex
-from weftline.operators.ordinals import chunks, with_ordinals
+from weftline.operators.ordinals import chunks, settled, with_ordinals
 
 KEY = ["schema_name", "table_name", "key_json"]
 DIRTY = [*KEY, "op", "base_row_version", "payload", "dirty_ordinal"]
@@ -263,8 +263,14 @@ def check_synced(table: DataFrame, name: str, key: list[str]) -> str:
 def push_batches(frozen: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
     """Adds ``batch``: rows in order, closed by number of rows or by bytes of their canonical JSON.
 
-    A running sum by bundle; a bundle has a bounded number of rows.
+    Ranges of rows are summed side by side, then shifted by the bytes of the ranges before them.
     """
-    upto = Window.partitionBy(F.lit(0)).orderBy("row_ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("row_json")).over(upto), F.lit(0))
-    return frozen.withColumn("batch", F.greatest(F.floor(F.col("row_ordinal") / max_rows), F.floor(before / max_bytes)).cast("long"))
+    ranged = settled(frozen.repartitionByRange("row_ordinal").withColumn("__part", F.spark_partition_id()).withColumn("__bytes", F.octet_length("row_json")))
+    sizes = ranged.groupBy("__part").agg(F.sum("__bytes").alias("__sum"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    shifts = sizes.select("__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__shift"))
+    upto = Window.partitionBy("__part").orderBy("row_ordinal").rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("__own", F.coalesce(F.sum("__bytes").over(upto), F.lit(0))).join(F.broadcast(shifts), "__part")
+    before = F.col("__own") + F.col("__shift")
+    batch = F.greatest(F.floor(F.col("row_ordinal") / max_rows), F.floor(before / max_bytes)).cast("long")
+    return own.withColumn("batch", batch).drop("__part", "__bytes", "__own", "__shift")
