@@ -1,24 +1,26 @@
-"""Main text of web pages by wrapper inference (operator 6).
-
-Pages of a host come from few templates.  A page is reduced to a stream of tokens: containers opened and
-closed, blocks, and text slots (in a link or not).  Within a stream, adjacent equal runs of tokens fold into
-repeated groups.  The folded streams of a host are then aligned one after another with the wrapper found so
-far: what agrees stays, what only one side has becomes an optional group, so the wrapper is a union-free
-regular expression with text slots, such as ``body (div.ad # /div)? article h1 # (p #)+ /article``.
-
-The wrapper's slots are then labelled.  A slot is main text if it lies inside the article (an article or main
-element, else the deepest container with most of the text outside links), not in a menu, header, footer,
-sidebar, advert, form, notice or comment part, and (outside a marked article) does not carry the same short
-text on all sampled pages.
-Each page is read with its host's labels, whole.
-
-Streams are counted over all pages; the wrapper of a host is fitted on its ``MAX_STREAMS`` most frequent
-streams, one row each, so a host with a third of all pages is no larger than another.  A page whose stream was
-not among them is read by the labels of the containers that it shares.
+"""Main text of web pages by union-free wrapper inference (operator 6).
+
+Pages of a host come from few templates.  A page is read as a stream of tokens: elements opened and closed, and
+text slots.  Adjacent equal runs of elements fold into repeated groups.  The folded streams of a host are then
+aligned one after another with the wrapper found so far: what agrees stays, what only one side has becomes optional,
+so the wrapper is a union-free regular expression with text slots, such as
+``body(div.ad(#)? article(h1(#) p(#)+))``.  Alignment goes element by element, so mismatches end at their
+element's end; elements without a name are told apart by what they hold.  Each slot of the wrapper gathers facts over
+all pages: how often it occurs, its text inside and
+outside links, and whether its text is the same everywhere.
+
+The slots of the wrapper are then labelled.  A slot is main text if it lies in the main part: a marked article, else
+the deepest section with most of the varying text outside links; if it is not in a menu (an element with more link
+text than other text, or named so), header, footer, sidebar, advert, form, notice or comment part; and, outside a
+marked article, if its text is not one that the template repeats on page after page.  Every page is read by
+aligning its stream with the wrapper of its host: a text is kept if its slot is main text.
+
+All pages count.  Streams with one structure are added up, distinct ones are merged in two steps, first within
+``BUCKETS`` parts of a host and then over them, so a host with a third of all pages is shared among tasks.
 
 Defined cases: a null or empty html, or one without text, gives an empty text; a null or odd url counts as one
-host of its own; truncated pages are read to their end; repeated rows get equal texts; an empty table gives no
-rows; other columns are ignored.
+host of its own; truncated pages are read to their end; a page without a text in its host's main part is read by
+itself; repeated rows get equal texts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,23 +29,27 @@ import difflib
 import html as html_lib
 import json
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, maybe_broadcast
+from weftline.llm.common import cut, maybe_broadcast, n_partitions
 
-#: Streams of a host on which its wrapper is fitted.
-MAX_STREAMS = 48
-#: Longest run of tokens that folds into a repeated group.
-MAX_GROUP = 8
-#: A slot with the same text on at least so many sampled pages, and no longer, is part of the template.
+#: Longest run of elements that folds into a repeated group.
+MAX_GROUP = 4
+#: A slot with the same text on at least so many pages, and no longer, is part of the template.
 CONSTANT_PAGES, CONSTANT_CHARS = 4, 200
+#: Share of the text that the main part holds at least.
+MAIN_SHARE = 0.6
+#: Parts of a host whose structures are merged side by side.
+BUCKETS = 16
+#: Structures that a task holds before it passes them on.
+HELD = 20_000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,12 +58,13 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _LABEL = re.compile(r"[^a-z0-9]+")
 
 # What elements and their class, id or role names mean.
 CONTAINERS = frozenset("html body div section article main nav header footer aside form ul ol dl table figure blockquote details dialog menu fieldset center".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption figcaption pre br hr address summary head option legend".split())
+SECTIONS = frozenset("html body div section article main center".split())
 NOT_MAIN = frozenset("nav header footer aside form menu dialog fieldset".split())
 NOT_MAIN_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar header masthead footer sidebar aside breadcrumb breadcrumbs"
@@ -66,31 +73,43 @@ NOT_MAIN_NAMES = frozenset(
 MAIN_TAGS = frozenset(("article", "main"))
 MAIN_NAMES = frozenset(("articlebody", "main", "article"))
 
+# A slot is ["#", bits, facts, places]; an element [label, bits, children]; a group of several elements is an element
+# whose label is "(" and the keys inside.  Facts: pages, characters outside links and in links, least and greatest
+# hash, longest text.  Places are those of the texts in the page itself.
+SLOT = "#"
+OPTIONAL, REPEATED = 1, 2
 
-def _names(attrs: str) -> list[str]:
-    found = [w for m in _ATTR.finditer(attrs) for w in _LABEL.split((m[2] or m[3] or m[4] or "").lower()) if w and not w.isdigit()]
-    return found[:6]
 
+@lru_cache(maxsize=1 << 13)
+def _label(name: str, attrs: str) -> str:
+    names = [w for m in _ATTR.finditer(attrs) for w in _LABEL.split((m[2] or m[3] or m[4] or "").lower()) if w and not w.isdigit()]
+    return ".".join([name, *names])
 
-@lru_cache(maxsize=4096)
-def _opened(name: str, attrs: str) -> tuple[str, bool, bool]:
-    """Label of a container, whether it is outside the main text, whether it is the article."""
-    names = _names(attrs)
-    label = ".".join([name, *names])
-    return label, name in NOT_MAIN or not NOT_MAIN_NAMES.isdisjoint(names), name in MAIN_TAGS or not MAIN_NAMES.isdisjoint(names)
+
+@lru_cache(maxsize=1 << 16)
+def _meaning(label: str) -> tuple[bool, bool, bool]:
+    """Whether an element is outside the main text, whether it is the article, whether it is a section."""
+    if label[:1] == "(":
+        return False, False, True
+    tag, *names = label.split(".")
+    if tag not in CONTAINERS:
+        heading = tag[:1] == "h" and tag[1:].isdigit()
+        return not heading and not NOT_MAIN_NAMES.isdisjoint(n for n in names if n != "header"), False, False
+    return tag in NOT_MAIN or not NOT_MAIN_NAMES.isdisjoint(names), tag in MAIN_TAGS or not MAIN_NAMES.isdisjoint(names), tag in SECTIONS
 
 
 class Page:
-    """Slots of a page in order: (path, in a link, begins a block, raw text); and its token stream."""
+    """A page as a tree of elements and slots, and its texts: runs between the ends of blocks, as pieces (raw, in a link)."""
 
     def __init__(self, page: str):
-        self.slots: list[tuple[str, bool, bool, str]] = []
-        self.stream: list[str] = []
-        stack: list[tuple[str, str, bool, bool]] = []  # tag, label, outside, article
-        block, link, fresh, at, path = "", False, True, 0, ""
+        self.texts: list[list[tuple[str, bool]]] = []
+        self.root: list = ["", 0, []]
+        open_: list[tuple[str, list]] = [("", self.root)]  # containers: tag, element
+        self._into, self._fresh = self.root, True
+        link, at = False, 0
         for m in _TOKEN.finditer(page):
             if m.start() > at:
-                fresh = self._text(page[at : m.start()], path, block, link, fresh)
+                self._text(page[at : m.start()], link)
             at = m.end()
             name = m["name"]
             if name is None:
@@ -100,139 +119,409 @@ class Page:
                 link = not m["close"]
             if name not in BLOCKS:
                 continue
-            fresh = True
+            self._fresh = True
             if name in CONTAINERS:
                 link = False
                 if not m["close"]:
-                    label, outside, main = _opened(name, m["attrs"] if len(m["attrs"]) < 500 else m["attrs"][:500])
-                    outside = outside or bool(stack and stack[-1][2])
-                    stack.append((name, label, outside, main or bool(stack and stack[-1][3])))
-                    self.stream.append(label)
-                elif any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
+                    element = [_label(name, m["attrs"]), 0, []]
+                    open_[-1][1][2].append(element)
+                    open_.append((name, element))
+                elif any(tag == name for tag, _ in open_):
+                    while open_.pop()[0] != name:
                         pass
-                    self.stream.append("/" + name)
-                flags = ("-" if stack[-1][2] else "") + ("+" if stack[-1][3] else "") if stack else ""
-                path, block = flags + " ".join(s[1] for s in stack), ""
-            elif not m["close"] and name not in ("br", "hr"):
-                block = name
-                self.stream.append(name)
+                self._into = open_[-1][1]
             elif m["close"]:
-                block = ""
+                self._into = open_[-1][1]
+            elif name not in ("br", "hr"):
+                self._into = [_label(name, m["attrs"]), 0, []]
+                open_[-1][1][2].append(self._into)
         if at < len(page):
-            self._text(page[at:], path, block, link, fresh)
+            self._text(page[at:], link)
+        self._finish()
 
-    def _text(self, raw: str, path: str, block: str, link: bool, fresh: bool) -> bool:
+    def _text(self, raw: str, link: bool) -> None:
         if raw.isspace():
-            if self.slots and not fresh:  # white space between inline elements counts
-                self.slots.append((path, link, False, " "))
-            return fresh
-        self.slots.append((f"{path}|{block}", link, fresh, raw))
-        token = "a#" if link else "#"
-        if not self.stream or self.stream[-1] != token:
-            self.stream.append(token)
-        return False
-
-
-def fold(stream: list[str]) -> list[str]:
-    """Adjacent equal runs of tokens become one run, marked as a repeated group: tokens "(", ")+"."""
-    out: list[str] = []
-    for token in stream:
-        out.append(token)
+            if self.texts and not self._fresh:  # white space between inline elements counts
+                self.texts[-1].append((" ", link))
+            return
+        if self._fresh:
+            self._into[2].append([SLOT, 0, None, [len(self.texts)]])
+            self.texts.append([])
+            self._fresh = False
+        self.texts[-1].append((raw, link))
+
+    def _finish(self) -> None:
+        """Facts of the slots, then repeated groups, from the leaves up."""
+        stack, order = [self.root], []
+        while stack:
+            element = stack.pop()
+            order.append(element)
+            for child in element[2]:
+                if child[0] != SLOT:
+                    stack.append(child)
+                else:
+                    pieces = self.texts[child[3][0]]
+                    in_links = sum(len(raw) for raw, link in pieces if link)
+                    whole = "".join(raw for raw, _ in pieces)
+                    mark = xxhash.xxh32_intdigest(whole.encode("utf-8", "replace"))
+                    child[2] = [1, len(whole) - in_links, in_links, mark, mark, len(whole)]
+        for element in reversed(order):
+            element[2] = fold(element[2])
+
+
+def _keys(items: list) -> list[str]:
+    return [x[0] for x in items]
+
+
+#: Elements that tell nothing by name: what they hold tells whether two of them are one.
+_PLAIN = frozenset(("div", "section"))
+
+
+def _profile(item: list) -> frozenset[str]:
+    """Keys inside an element, two levels deep."""
+    found = set()
+    for child in item[2]:
+        found.add(child[0])
+        if child[0] != SLOT:
+            found.update(f"{child[0]}/{x[0]}" for x in child[2])
+    return frozenset(found)
+
+
+def _likeness(a: list, b: list) -> float:
+    """How much speaks for aligning two items: 0 if they cannot be one."""
+    if a[0] != b[0]:
+        return 0.0
+    if a[0] not in _PLAIN:
+        return 4.0
+    x, y = _profile(a), _profile(b)
+    if not x or not y:
+        return 1.0
+    common = len(x & y) / len(x | y)
+    return 1.0 + 3.0 * common if common else 0.0
+
+
+def _runs_equal(a: list, b: list) -> bool:
+    for x, y in zip(a, b):
+        if x[0] != y[0] or (x[0] in _PLAIN and _profile(x) != _profile(y)):
+            return False
+    return True
+
+
+def _group_label(items: list) -> str:
+    return "(" + " ".join(_keys(items)) + ")"
+
+
+def fold(items: list) -> list:
+    """Adjacent equal runs become one, marked as repeated; a run of several elements becomes a group."""
+    out: list = []
+    for item in items:
+        out.append(item)
         for k in range(1, MAX_GROUP + 1):
-            if len(out) >= 2 * k + 2 and out[-k - 1] == ")+" and out[-2 * k - 2] == "(" and out[-2 * k - 1 : -k - 1] == out[-k:]:
+            if k > 1 and len(out) > k and out[-k - 1][0] == _group_label(out[-k:]):
+                out[-k - 1] = [out[-k - 1][0], REPEATED, merged(out[-k - 1][2], out[-k:])]
                 del out[-k:]
                 break
-            if len(out) >= 2 * k and out[-2 * k : -k] == out[-k:] and not {"(", ")+"} & set(out[-k:]) and any("#" in t for t in out[-k:]):
-                del out[-k:]
-                out[-k:] = ["(", *out[-k:], ")+"]
+            if len(out) < 2 * k or not _runs_equal(out[-2 * k : -k], out[-k:]):
+                continue
+            if k == 1:
+                out[-2:] = [joined(out[-2], out[-1], REPEATED)]
+            else:
+                out[-2 * k :] = [[_group_label(out[-k:]), REPEATED, merged(out[-2 * k : -k], out[-k:])]]
+            break
+    return out
+
+
+def _grouped(items: list, labels: set[str]) -> list:
+    """Runs that form one of the groups named become that group, even where they stand once."""
+    out: list = []
+    for item in items:
+        out.append(item)
+        for k in range(2, MAX_GROUP + 1):
+            if len(out) < k:
+                break
+            label = _group_label(out[-k:])
+            if label in labels:
+                if len(out) > k and out[-k - 1][0] == label:
+                    out[-k - 1 :] = [[label, out[-k - 1][1] | REPEATED, merged(out[-k - 1][2], out[-k:])]]
+                else:
+                    out[-k:] = [[label, REPEATED, out[-k:]]]
                 break
     return out
 
 
-def merge(wrapper: list[str], stream: list[str]) -> list[str]:
-    """The wrapper after alignment with one more stream: what one of them lacks becomes an optional group."""
-    plain = [t for t in wrapper if t not in ("[", "]?")]
-    # positions of the wrapper's tokens that are optional already
-    depth, optional = 0, []
-    for t in wrapper:
-        depth += (t == "[") - (t == "]?")
-        if t not in ("[", "]?"):
-            optional.append(depth > 0)
-    merged: list[tuple[str, bool]] = []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, plain, stream, autojunk=False).get_opcodes():
-        if op == "equal":
-            merged += zip(plain[a:b], optional[a:b])
+def _groups_in(items: list) -> set[str]:
+    return {x[0] for x in items if x[0][:1] == "("}
+
+
+def aligned(a: list, b: list) -> list[tuple[int | None, int | None]]:
+    """The alignment of two lists of items with most likeness, as pairs of positions; what only one has is paired with None."""
+    head, shorter = 0, min(len(a), len(b))
+    while head < shorter and _runs_equal(a[head : head + 1], b[head : head + 1]):
+        head += 1
+    tail = 0
+    while tail < shorter - head and _runs_equal(a[len(a) - 1 - tail : len(a) - tail], b[len(b) - 1 - tail : len(b) - tail]):
+        tail += 1
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    out: list[tuple[int | None, int | None]] = [(i, i) for i in range(head)]
+    if len(x) * len(y) > 250_000:
+        spelled = [[f"{i[0]} {sorted(_profile(i))}" if i[0] in _PLAIN else i[0] for i in items] for items in (x, y)]
+        for op, i, i2, j, j2 in difflib.SequenceMatcher(None, *spelled, autojunk=False).get_opcodes():
+            if op == "equal":
+                out += [(head + i + k, head + j + k) for k in range(i2 - i)]
+            else:
+                out += [(head + k, None) for k in range(i, i2)] + [(None, head + k) for k in range(j, j2)]
+    else:
+        alike = [[_likeness(i, j) for j in y] for i in x]
+        best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            row, below = best[i], best[i + 1]
+            for j in range(len(y) - 1, -1, -1):
+                skip = max(below[j], row[j + 1])
+                row[j] = max(skip, below[j + 1] + alike[i][j]) if alike[i][j] else skip
+        i = j = 0
+        while i < len(x) or j < len(y):
+            if i < len(x) and j < len(y) and alike[i][j] and best[i][j] == best[i + 1][j + 1] + alike[i][j]:
+                out.append((head + i, head + j))
+                i, j = i + 1, j + 1
+            elif j == len(y) or (i < len(x) and best[i][j] == best[i + 1][j]):
+                out.append((head + i, None))
+                i += 1
+            else:
+                out.append((None, head + j))
+                j += 1
+    return out + [(len(a) - tail + k, len(b) - tail + k) for k in range(tail)]
+
+
+def joined(a: list, b: list, bits: int = 0) -> list:
+    """Two items with one key as one."""
+    bits |= a[1] | b[1]
+    if a[0] != SLOT:
+        return [a[0], bits, merged(a[2], b[2])]
+    x, y = a[2], b[2]
+    return [SLOT, bits, [x[0] + y[0], x[1] + y[1], x[2] + y[2], min(x[3], y[3]), max(x[4], y[4]), max(x[5], y[5])], a[3] + b[3]]
+
+
+def merged(a: list, b: list) -> list:
+    """Two lists of items aligned: what only one has becomes optional."""
+    labels = _groups_in(a) | _groups_in(b)
+    if labels:
+        a, b = _grouped(a, labels), _grouped(b, labels)
+    out = []
+    for i, j in aligned(a, b):
+        if i is None or j is None:
+            one = b[j] if i is None else a[i]
+            out.append([one[0], one[1] | OPTIONAL, *one[2:]])
         else:
-            merged += [(t, True) for t in plain[a:b] + stream[c:d]]
-    out, inside = [], False
-    for token, loose in merged:
-        if loose != inside:
-            out.append("[" if loose else "]?")
-            inside = loose
-        out.append(token)
-    return out + ["]?"] * inside
-
-
-def infer(streams: list[list[str]]) -> list[str]:
-    """Wrapper of a host's folded streams, the most frequent first."""
-    wrapper = streams[0]
-    for stream in streams[1:]:
-        wrapper = merge(wrapper, stream)
+            out.append(joined(a[i], b[j]))
+    return out
+
+
+def infer(trees: list[list]) -> list:
+    """Wrapper of a host's pages: their trees aligned one after another."""
+    wrapper = trees[0]
+    for tree in trees[1:]:
+        wrapper = joined(wrapper, tree)
     return wrapper
 
 
-def label(samples: list[list[tuple[str, bool, int, int]]]) -> dict:
-    """Paths of main text and of template text, from the slots (path, link, hash, length) of sampled pages."""
-    mass: dict[str, int] = {}
-    seen: dict[str, list[int]] = {}
-    length: dict[str, int] = {}
-    for slots in samples:
-        for path, link, _, n in slots:
-            mass[path] = mass.get(path, 0) + (0 if link else n)
-            length[path] = max(length.get(path, 0), n)
-        own: dict[str, int] = {}
-        for path, _, h, _ in slots:
-            own[path] = (own.get(path, 0) * 31 + h) & 0xFFFFFFFF
-        for path, h in own.items():
-            seen.setdefault(path, []).append(h)
-    usable = [p for p in mass if not p.startswith("-")]
-    inside = [p for p in usable if p.startswith("+")]
-    if not inside:
-        whole, best = sum(mass[p] for p in usable), ""
-        for p in usable:
-            parts = p.split("|")[0].split(" ")
-            for k in range(1, len(parts) + 1):
-                stem = " ".join(parts[:k])
-                if len(stem) > len(best) and 10 * sum(mass[q] for q in usable if (q.split("|")[0] + " ").startswith(stem + " ")) >= 6 * whole:
-                    best = stem
-        inside = [p for p in usable if (p.split("|")[0] + " ").startswith(best + " ")] if best else usable
-    # a page that marks its article is trusted: a heading may well repeat
-    constant = [p for p, h in seen.items() if not p.startswith("+") and len(h) >= CONSTANT_PAGES and len(set(h)) == 1 and length[p] <= CONSTANT_CHARS and len(seen) > 1]
-    return {"main": sorted(set(inside) - set(constant)), "other": sorted((set(mass) - set(inside)) | set(constant))}
-
-
-def main_text(page: Page, labels: dict | None) -> str:
-    """Blocks of the slots that are main text, joined by one space."""
-    main, other = (labels["main"], labels["other"]) if labels else (frozenset(), frozenset())
-    has_article = any(p.startswith("+") for p, *_ in page.slots) or any(p.startswith("+") for p in main)
-    known_here = any(p in main for p, *_ in page.slots)
-    chosen: list[str] = []
-    keep = False
-    for path, _, fresh, raw in page.slots:
-        if raw != " ":
-            if path in main:
-                keep = True
-            elif path in other or path.startswith("-"):
-                keep = False
-            elif has_article:
-                keep = path.startswith("+")
-            else:  # a path the wrapper has not seen: as the nearest container that it knows
-                stem = path.split("|")[0]
-                keep = not known_here or any(m.split("|")[0] == stem for m in main)
-        if keep:
-            chosen.append((" " if fresh else "") + raw)
-    return " ".join(html_lib.unescape("".join(chosen)).split())
+def expression(item: list) -> str:
+    """The wrapper as a regular expression."""
+    if item[0] == SLOT:
+        body = SLOT
+    else:
+        inside = []
+        for child in item[2]:
+            inside.append(expression(child))
+        body = f"({' '.join(inside)})" if item[0][:1] in ("", "(") else f"{item[0]}({' '.join(inside)})"
+    return body + ("+" if item[1] & REPEATED else "") + ("?" if item[1] & OPTIONAL else "")
+
+
+def _dump(item: list, out: list, facts: bool = True) -> list:
+    """A tree as a flat list; without facts, what makes two structures equal."""
+    if item[0] == SLOT:
+        out.append([item[1], *item[2]] if facts else item[1])
+    else:
+        out.append(item[0])
+        out.append(item[1])
+        for child in item[2]:
+            _dump(child, out, facts)
+        out.append(None)
+    return out
+
+
+def _load(flat: list) -> list:
+    root = top = None
+    stack: list[list] = []
+    at = 0
+    while at < len(flat):
+        token = flat[at]
+        if token is None:
+            top = stack.pop()
+        elif isinstance(token, list):
+            stack[-1][2].append([SLOT, token[0], token[1:], []])
+        else:
+            at += 1
+            top = [token, flat[at], []]
+            if stack:
+                stack[-1][2].append(top)
+            else:
+                root = top
+            stack.append(top)
+        at += 1
+    return root
+
+
+def _constant(slot: list) -> bool:
+    pages, _, _, low, high, longest = slot[2]
+    return pages >= CONSTANT_PAGES and low == high and longest <= CONSTANT_CHARS
+
+
+def label(wrapper: list) -> list:
+    """The wrapper's structure with labels as bits: of elements, whether they are in the main part; of slots, whether they are main text."""
+    mass: dict[int, int] = {}
+    marks: list[tuple[list, int]] = []  # articles, with their place in the order of the walk
+
+    def weigh(item: list, outside: bool, variable: bool) -> tuple[int, int]:
+        """Usable characters and characters in links below an element."""
+        if item[0] == SLOT:
+            return (0 if outside or (variable and _constant(item)) else item[2][1]), item[2][2]
+        away, article, _ = _meaning(item[0])
+        outside = outside or away
+        if article and not outside and not variable:
+            marks.append((item, len(marks)))
+        chars = links = 0
+        for child in item[2]:
+            c, n = weigh(child, outside, variable)
+            chars, links = chars + c, links + n
+        menu = variable and item[0].split(".")[0] in CONTAINERS and links > chars
+        mass[id(item)] = 0 if menu else chars
+        return mass[id(item)], links
+
+    weigh(wrapper, False, False)
+    regions = set()
+    found = [m for m, _ in marks if mass[id(m)] > 0]
+    inner = {id(m): False for m in found}
+    for m in found:
+        # an article inside another one with most of its text is the article
+        if not inner[id(m)]:
+            below = [x for x in found if x is not m and _holds(m, x)]
+            chosen = max(below, key=lambda x: mass[id(x)], default=None)
+            if chosen is not None and mass[id(chosen)] >= MAIN_SHARE * mass[id(m)]:
+                continue
+            regions.add(id(m))
+            for x in below:
+                inner[id(x)] = True
+    marked = bool(regions)
+    if not marked:
+        whole, _ = weigh(wrapper, False, True)
+        best = wrapper
+        while True:
+            below = [c for c in best[2] if c[0] != SLOT and _meaning(c[0])[2]]
+            heavy = max(below, key=lambda c: mass[id(c)], default=None)
+            if heavy is None or whole == 0 or mass[id(heavy)] < MAIN_SHARE * whole:
+                break
+            best = heavy
+        regions.add(id(best))
+
+    def labelled(item: list, outside: bool, inside: bool, template: bool) -> list:
+        if item[0] == SLOT:
+            return [SLOT, int(inside and not outside and not (template and _constant(item))), [0, item[2][1] + item[2][2], 0, 0, 0, 0], []]
+        outside = outside or _meaning(item[0])[0]
+        inside = inside or id(item) in regions
+        menu = not marked and template and id(item) not in regions and inside and item[0].split(".")[0] in CONTAINERS and _links(item) > _chars(item)
+        children = []
+        for child in item[2]:
+            children.append(labelled(child, outside or menu, inside, template))
+        return [item[0], int(inside and not outside and not menu), children]
+
+    out = labelled(wrapper, False, False, not marked)
+    return out if marked or _kept(out) else labelled(wrapper, False, False, False)
+
+
+def _holds(outer: list, inner: list) -> bool:
+    stack = list(outer[2])
+    while stack:
+        item = stack.pop()
+        if item is inner:
+            return True
+        if item[0] != SLOT:
+            stack += item[2]
+    return False
+
+
+def _sum(item: list, which: int) -> int:
+    total, stack = 0, [item]
+    while stack:
+        one = stack.pop()
+        if one[0] == SLOT:
+            total += one[2][which]
+        else:
+            stack += one[2]
+    return total
+
+
+def _chars(item: list) -> int:
+    return _sum(item, 1)
+
+
+def _links(item: list) -> int:
+    return _sum(item, 2)
+
+
+def _kept(item: list) -> bool:
+    stack = [item]
+    while stack:
+        one = stack.pop()
+        if one[0] != SLOT:
+            stack += one[2]
+        elif one[1]:
+            return True
+    return False
+
+
+def read(page: list, known: list, keep: list[bool]) -> None:
+    """Marks the texts of a page whose slots are main text, by aligning the page's tree with the labelled wrapper.
+
+    What the wrapper lacks counts as the element around it.
+    """
+    inside = bool(known[1])
+    a, b = page[2], known[2]
+    labels = _groups_in(a) | _groups_in(b)
+    if labels:
+        a, b = _grouped(a, labels), _grouped(b, labels)
+    for i, j in aligned(a, b):
+        if i is None:
+            continue
+        if a[i][0] == SLOT:
+            for place in a[i][3]:
+                keep[place] = bool(b[j][1]) if j is not None else inside
+        elif j is not None:
+            read(a[i], b[j], keep)
+        else:
+            _unknown(a[i], inside, keep)
+
+
+def _unknown(item: list, inside: bool, keep: list[bool]) -> None:
+    stack = [(item, inside)]
+    while stack:
+        one, inside = stack.pop()
+        if one[0] == SLOT:
+            for place in one[3]:
+                keep[place] = inside
+        else:
+            inside = inside and not _meaning(one[0])[0]
+            stack += [(child, inside) for child in one[2]]
+
+
+def main_text(page: Page, labels: list | None) -> str:
+    """Texts of the slots that are main text, joined by one space."""
+    keep = [False] * len(page.texts)
+    if labels is not None:
+        read(page.root, labels, keep)
+    if not any(keep) and page.texts:
+        read(page.root, label(page.root), keep)
+    whole = " ".join("".join(html_lib.unescape(raw) for raw, _ in pieces) for pieces, kept in zip(page.texts, keep) if kept)
+    return " ".join(whole.split())
 
 
 HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)"
@@ -242,60 +531,112 @@ def _with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", "html", F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))).alias("host"))
 
 
-def streams(pages: DataFrame) -> DataFrame:
-    """Per page: host, folded stream, its slots as JSON (paths, link flags, hashes, lengths)."""
+def _deep() -> None:
+    """Elements nest as deep as a page has them."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+
+
+def structures(pages: DataFrame) -> DataFrame:
+    """Rows (host, bucket, shape, tree): each structure of a host with the facts of its pages, added up in each task."""
+
+    def flushed(held: dict[tuple[str, str], list]) -> pa.RecordBatch:
+        hosts, shapes = [h for h, _ in held], [s for _, s in held]
+        buckets = [int(s[:8], 16) % BUCKETS for s in shapes]
+        trees = [json.dumps(_dump(t, [])) for t in held.values()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(buckets, pa.int32()), pa.array(shapes, pa.string()), pa.array(trees, pa.string())], names=["host", "bucket", "shape", "tree"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
+        held: dict[tuple[str, str], list] = {}
         for batch in batches:
-            folded, slots, marks = [], [], []
-            for text in batch.column(1):
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 page = Page(text.as_py() or "")
-                folded.append("\n".join(fold(page.stream)))
-                own: dict[tuple[str, bool], list[int]] = {}
-                for path, link, _, raw in page.slots:
-                    if raw != " ":
-                        entry = own.setdefault((path, link), [0, 0])
-                        entry[0] = xxhash.xxh32_intdigest(raw.encode("utf-8", "replace"), entry[0])
-                        entry[1] += len(raw)
-                slots.append(json.dumps([[p, link, h, n] for (p, link), (h, n) in own.items()]))
-                marks.append(xxhash.xxh64_intdigest(slots[-1].encode("utf-8", "replace")) >> 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded, pa.string()), pa.array(slots, pa.string()), pa.array(marks, pa.int64())], names=["host", "stream", "slots", "mark"])
+                shape = xxhash.xxh3_128_hexdigest(json.dumps(_dump(page.root, [], False)).encode("utf-8", "replace"))
+                known = held.get((host, shape))
+                _forget_places(page.root)
+                held[host, shape] = page.root if known is None else joined(known, page.root)
+                if len(held) >= HELD:
+                    yield flushed(held)
+        if held:
+            yield flushed(held)
+
+    return _with_host(pages).select("host", "html").mapInArrow(each, "host string, bucket int, shape string, tree string")
+
+
+def _forget_places(root: list) -> None:
+    stack = [root]
+    while stack:
+        one = stack.pop()
+        if one[0] == SLOT:
+            one[3] = []
+        else:
+            stack += one[2]
 
-    return _with_host(pages).select("host", "html").mapInArrow(each, "host string, stream string, slots string, mark long")
 
+def _merged_by(n_keys: int, finish: Callable[[list], list[str]]):
+    """Rows (keys..., shape, tree) sorted by the keys and the shape: one row for each combination of the keys."""
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """One row per host: its wrapper as text and its labels as JSON."""
-    found = streams(pages)
-    # up to eight different pages of each stream tell template text from slots
-    parts = found.groupBy("host", "stream", F.pmod("mark", F.lit(4)).alias("part")).agg(F.count("*").alias("n"), F.min_by("slots", "mark").alias("low"), F.max_by("slots", "mark").alias("high"))
-    counted = parts.groupBy("host", "stream").agg(F.sum("n").alias("n"), F.sort_array(F.flatten(F.collect_list(F.array("low", "high")))).alias("samples"))
-    most = Window.partitionBy("host").orderBy(F.col("n").desc(), "stream")
-    bounded = counted.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= MAX_STREAMS)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
+        held, shapes = None, {}
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("place")
-        wrapper = infer([s.split("\n") if s else [] for s in group["stream"]])
-        samples = [json.loads(s) for s in dict.fromkeys(s for some in group["samples"] for s in some)]
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [" ".join(wrapper)], "labels": [json.dumps(label(samples))]})
+        def done() -> pa.RecordBatch:
+            # the most frequent structure first
+            trees = [shapes[s] for s in sorted(shapes, key=lambda s: (-_pages(shapes[s]), s))]
+            values = [*held, *finish(infer(trees))]
+            kinds = [pa.int32() if isinstance(v, int) else pa.string() for v in values]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[f"c{i}" for i in range(len(values))])
 
-    return bounded.groupBy("host").applyInPandas(one, "host string, wrapper string, labels string")
+        for batch in batches:
+            for *keys, shape, tree in zip(*(c.to_pylist() for c in batch.columns)):
+                if held is not None and keys != held:
+                    yield done()
+                    shapes = {}
+                held = keys
+                tree = _load(json.loads(tree))
+                shapes[shape] = joined(shapes[shape], tree) if shape in shapes else tree
+        if shapes:
+            yield done()
+
+    return each
+
+
+def _pages(root: list) -> int:
+    stack, most = [root], 0
+    while stack:
+        one = stack.pop()
+        if one[0] == SLOT:
+            most = max(most, one[2][0])
+        else:
+            stack += one[2]
+    return most
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """One row per host: its wrapper as an expression, and the labelled wrapper as JSON."""
+    n = n_partitions(pages)
+    parts = structures(pages).repartition(n, "host", "bucket").sortWithinPartitions("host", "bucket", "shape")
+    partial = parts.mapInArrow(_merged_by(2, lambda w: [json.dumps(_dump(w, []))]), "host string, bucket int, tree string")
+    whole = partial.select("host", F.format_string("%04d", "bucket").alias("shape"), "tree").repartition(n, "host").sortWithinPartitions("host", "shape")
+    return whole.mapInArrow(_merged_by(1, lambda w: [expression(w), json.dumps(_dump(label(w), []))]), "host string, wrapper string, labels string")
 
 
 @lru_cache(maxsize=2048)
-def _labels(text: str | None) -> dict | None:
-    return {k: frozenset(v) for k, v in json.loads(text).items()} if text else None
+def _labels(text: str | None) -> list | None:
+    return _load(json.loads(text)) if text else None
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text."""
     found = cut(wrappers(pages)).select("host", "labels")
-    joined = _with_host(pages).join(maybe_broadcast(found), "host", "left")
+    known = _with_host(pages).join(maybe_broadcast(found), "host", "left")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _deep()
         for batch in batches:
-            texts = [main_text(Page(h.as_py() or ""), _labels(known.as_py())) for h, known in zip(batch.column(2), batch.column(3))]
+            texts = [main_text(Page(h.as_py() or ""), _labels(of_host.as_py())) for h, of_host in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "labels").mapInArrow(each, f"page_id {kind}, url string, text string")
+    return known.select("page_id", "url", "html", "labels").mapInArrow(each, f"page_id {kind}, url string, text string")
