@@ -91,3 +91,19 @@ def bounded_sample(rows: DataFrame, class_col: str, id_col: str, per_class: int,
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of an id written as text, modulo n; a null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))), F.lit(n))
+
+
+#: Bits of the map of ``possible``: 2 MB, whatever is joined.
+_MAP_BITS = 24
+
+
+def possible(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, name: str = "__maybe") -> DataFrame:
+    """Adds ``name``: false where no row of ``wanted`` has the key (a 64-bit hash), true where one has, and for some others.
+
+    The map behind it has a fixed size, so a scan can tell most rows that a join cannot need before they are shuffled.
+    """
+    place = wanted.select(F.pmod(wanted_key, F.lit(1 << _MAP_BITS)).alias("p"))
+    marks = place.groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, int(p & 63))")).alias("__marks"))
+    # at most 2^18 rows: a proven bound
+    met = rows.withColumn("__p", F.pmod(key, F.lit(1 << _MAP_BITS))).join(F.broadcast(marks), F.shiftright("__p", 6) == F.col("__word"), "left")
+    return met.withColumn(name, F.coalesce(F.expr("shiftrightunsigned(__marks, int(__p & 63)) & 1 = 1"), F.lit(False))).drop("__p", "__word", "__marks")

@@ -2,17 +2,21 @@
 
 One regular expression finds e-mail addresses, phone numbers, card numbers, social security numbers, IP
 addresses, bank account numbers, secrets and titled names.  Each match is taken apart into keys (an address
-into local part and domain, a name into given and family name), so that equal parts get equal surrogates
-wherever they stand: coreference holds across documents, spellings in capitals and separators.
+into local part and domain, a name into given and family name, a phone number into country code and the rest), so
+that equal parts get equal surrogates wherever they stand: coreference holds across documents, spellings in
+capitals and separators.  In a document with a titled name, later mentions without the title (given and family name, or
+the family name alone) are replaced too.
 
 A surrogate follows from HMAC-like SHA-256 digests of the secret key, the kind and the normalised value.  It
 keeps kind and format: digits become digits, letters become letters of their script in the same case,
 separators stay, country codes stay, card numbers that pass the Luhn check get surrogates that pass it, octets
 keep their number of digits, given names keep the gender that titles tell anywhere in the corpus (neutral if they
-differ).  Names have any number of words, of which the last is the family name; hyphened pieces are keyed apart.  Distinct keys get distinct
-surrogates, and no surrogate equals a value that occurs in the corpus: candidates that collide are drawn again
-until none does (after ``LONGER_FROM`` tries the surrogate may grow by a few characters, so that small spaces
-cannot run out).
+differ).  Names have any number of words, of which the last is the family name; hyphened pieces are keyed apart.
+
+Distinct keys get distinct surrogates, and no surrogate equals a detected value of its kind: candidates that collide
+are drawn again.  Names, addresses and secrets may grow by a few characters after ``LONGER_FROM`` tries.  Numbers do
+not: if their space is nearly used up, the keys left after ``NUMBER_TRIES`` tries, which share a format, take each
+other's values in a keyed order, so that they stay distinct and none keeps its own.
 
 Only texts with a match are shuffled.  Rows are addressed by doc_id and a hash of the text.
 
@@ -26,12 +30,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, let, maybe_broadcast
+from weftline.llm.common import cut, let, maybe_broadcast, possible
 
 #: Replace it by a secret of your own: whoever has the key can test guesses.
 DEFAULT_KEY = "change-me"
 LONGER_FROM = 4
+NUMBER_TRIES = 6
 MAX_TRIES = 40
+#: Kinds whose surrogates keep their length.
+NUMBERS = ["phone", "card", "ssn", "ip", "iban"]
 
 # Titles, by the gender they tell.
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Mister", "Господин"]
@@ -51,10 +58,13 @@ _SMALL = rf"(?:(?:{'|'.join(PARTICLES)}){_GAP})*"
 _INITIAL = rf"(?:\p{{Lu}}\.)+(?={_GAP}{_SMALL}\p{{Lu}}|\p{{Lu}}\p{{Ll}})|\p{{Lu}}(?={_GAP}{_SMALL}\p{{Lu}}[\p{{L}}'’])"
 _NAMED = rf"(?:{_WORD}|{_INITIAL})"
 
+# Country calling codes of one and two digits; all others have three.
+CALLING = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 _LOCAL = r"[\p{L}\p{N}._%+-]"
 PATTERNS = {
     "email": rf"(?<!{_LOCAL}){_LOCAL}++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)*\.\p{{L}}{{2,}}+",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\p{L}\p{N}+.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![\p{N}-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\p{L}\p{N}])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![\p{L}\p{N}])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
@@ -119,7 +129,7 @@ def _parts(found: DataFrame) -> DataFrame:
     before_last = F.length(F.regexp_extract(m, rf"^(.*[ \t\u00A0\u202F.])[^ \t\u00A0\u202F.]+$", 1)) - F.length(lead)
     reached = lambda i: F.length(F.array_join(F.slice(words, F.lit(1), i), ""))
     named = F.concat(F.array(part(stays, lead)), F.transform(words, lambda w, i: part(F.when(is_name(w), F.when(reached(i) >= before_last, "family").otherwise(gender)), w)))
-    code = F.regexp_extract(m, r"^\+\d{1,3}(?=\D)", 0)
+    code = F.regexp_extract(m, f"^{CALLING}", 0)
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     stem, top = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.regexp_extract(domain, r"\.[^.]+$", 0)
     parts = (
@@ -176,7 +186,7 @@ def _luhn_sum(digits: Column) -> Column:
 def _candidate(key: str) -> Column:
     """Surrogate of the normalised value in ``norm`` for the kind and try at hand."""
     kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
-    longer = F.greatest(attempt - (LONGER_FROM - 1), F.lit(0))
+    longer = F.greatest(attempt - F.when(kind.isin(NUMBERS), NUMBER_TRIES).otherwise(LONGER_FROM - 1), F.lit(0))
     seed = F.concat_ws("|", F.lit(key), kind, norm, attempt.cast("string"))
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(norm) + longer) / 32).cast("int")), lambda b: F.sha2(F.concat_ws("|", seed, b.cast("string"), F.lit(key)), 256))
     stream = F.array_join(blocks, "")
@@ -199,7 +209,8 @@ def _candidate(key: str) -> Column:
 
     def octet(o: Column, i: Column) -> Column:
         n = _byte(stream, 2 * i) * 256 + _byte(stream, 2 * i + 1)
-        return F.when(F.length(o) == 1, n % 9 + 1).when(F.length(o) == 2, n % 90 + 10).otherwise(n % 156 + 100).cast("string")
+        digits = F.length(o) + longer
+        return F.when(digits == 1, n % 9 + 1).when(digits == 2, n % 90 + 10).otherwise(n % 156 + 100).cast("string")
 
     ip = F.array_join(F.transform(F.split(norm, r"\."), octet), ".")
     script = _script(norm)
@@ -217,7 +228,7 @@ def _candidate(key: str) -> Column:
 
 
 def surrogates(keys: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """(kind, norm) to (kind, norm, core): distinct cores within a kind, none of them a norm of that kind."""
+    """(kind, norm) to (kind, norm, core): distinct cores within a kind, none of them a norm of that kind, or see ``_exchanged``."""
     keys = cut(keys.distinct())
     taken = keys.select(_space(F.col("kind")).alias("space"), F.col("norm").alias("core"))
     open_keys, done = keys, None
@@ -231,9 +242,26 @@ def surrogates(keys: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         open_keys = cut(open_keys.join(won, ["kind", "norm"], "left_anti"))
         if open_keys.isEmpty():
             return done
+        if attempt == NUMBER_TRIES:
+            swapped = cut(_exchanged(open_keys.filter(F.col("kind").isin(NUMBERS)), key))
+            done = done.unionByName(swapped)
+            open_keys = cut(open_keys.join(swapped, ["kind", "norm"], "left_anti"))
     raise RuntimeError("surrogates did not become distinct")
 
 
+def _exchanged(keys: DataFrame, key: str) -> DataFrame:
+    """Keys of one format take each other's norms, each that of the next in a keyed order; one alone is left out.
+
+    Keys are left for this only if their format has hardly more values than there are keys, so a format's keys are few.
+    """
+    luhn = F.when(F.col("kind") == "card", _luhn_sum(F.col("norm")) % 10 == 0).otherwise(F.lit(False))
+    shape = F.regexp_replace(F.regexp_replace("norm", r"\p{N}", "9"), r"\p{L}", "a")
+    marked = keys.withColumn("shape", F.concat(shape, luhn.cast("string"))).withColumn("turn", F.sha2(F.concat_ws("|", F.lit(key), "norm"), 256))
+    order = Window.partitionBy("kind", "shape").orderBy("turn")
+    following = F.coalesce(F.lead("norm").over(order), F.first("norm").over(order))
+    return marked.withColumn("core", following).filter("core <> norm").select("kind", "norm", "core")
+
+
 def _render(kind: Column, raw: Column, core: Column) -> Column:
     """The surrogate in the spelling of the original: its separators and its capitals."""
     digits = kind.isin("phone", "card", "ssn", "iban")
@@ -249,32 +277,69 @@ def _render(kind: Column, raw: Column, core: Column) -> Column:
 
 
 def replacements(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """Distinct matches (column match) to (match, surrogate)."""
+    """Distinct matches (column match) to (match, surrogate, mentions): of names, what later mentions of them become."""
     parts = cut(_settle(cut(_parts(found).withColumn("norm", _norm(F.col("kind"), F.col("raw"))))))
     cores = surrogates(parts.filter("kind is not null").select("kind", "norm"), key)
     # one part (a mail domain) may stand in a third of all matches: its side is one row, and AQE splits the other
     joined = parts.join(cores, ["kind", "norm"], "left")
     spelled = joined.withColumn("piece", F.when(F.col("core").isNull(), F.col("raw")).otherwise(_render(F.col("kind"), F.col("raw"), F.col("core"))))
-    pieces = spelled.groupBy("match").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("pieces"))
-    return pieces.select("match", F.array_join("pieces.piece", "").alias("surrogate"))
+    pieces = spelled.groupBy("match").agg(
+        F.sort_array(F.collect_list(F.struct("at", "piece", "raw"))).alias("pieces"),
+        F.min(F.when(F.col("kind") == "family", F.col("at"))).alias("family_at"),
+    )
+
+    def mention(begin: Column) -> Column:
+        own = F.filter("pieces", lambda x: x["at"] >= begin)
+        return F.struct(F.array_join(F.transform(own, lambda x: x["raw"]), "").alias("raw"), F.array_join(F.transform(own, lambda x: x["piece"]), "").alias("piece"))
+
+    # the whole name without its title, then the family name alone; short ones may be words
+    both = F.filter(F.array(mention(F.lit(1)), mention(F.col("family_at"))), lambda x: F.length(x["raw"]) >= 3)
+    mentions = F.when(F.col("family_at").isNotNull(), both)
+    return pieces.select("match", F.array_join("pieces.piece", "").alias("surrogate"), mentions.alias("mentions"))
 
 
 def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with surrogates in ``text_col``, and ``n_entities``."""
+    """The rows of ``docs`` with surrogates in ``text_col``, and ``n_entities`` (matches and later mentions)."""
     columns = [c for c in docs.columns if c.lower() != "n_entities"]
     text = F.col(text_col)
-    marked = docs.select(*columns).withColumn("__found", matches(text))
-    clean = marked.filter(F.coalesce(F.size("__found"), F.lit(0)) <= 0).drop("__found").withColumn("n_entities", F.lit(0).cast("long"))
-    dirty = marked.filter(F.size("__found") > 0).withColumn("__th", F.xxhash64(text))
-    pairs = cut(dirty.select(F.col("doc_id").alias("__id"), "__th", F.explode(F.array_distinct("__found")).alias("match")).distinct())
+    keyed = docs.select(*columns).withColumn("__th", F.xxhash64(text))
+    # texts are searched once; what is found is kept with the row's key
+    hits = keyed.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__th2"), matches(text).alias("__found"))
+    hits = cut(hits.filter(F.size("__found") > 0).distinct())
+    pairs = hits.select("__id", "__th2", F.explode(F.array_distinct("__found")).alias("match"))
     spelled = cut(replacements(pairs.select("match").distinct(), key))
     named = pairs.join(maybe_broadcast(spelled), "match")
-    maps = named.groupBy("__id", "__th").agg(F.map_from_entries(F.collect_list(F.struct("match", "surrogate"))).alias("__map")).withColumnRenamed("__th", "__th2")
-    joined = dirty.join(maps, dirty["doc_id"].eqNullSafe(maps["__id"]) & (dirty["__th"] == maps["__th2"]), "left")
+    maps = named.groupBy("__id", "__th2").agg(
+        F.map_from_entries(F.collect_list(F.struct("match", "surrogate"))).alias("__map"),
+        F.array_sort(F.flatten(F.collect_list(F.coalesce("mentions", F.array().cast("array<struct<raw:string,piece:string>>"))))).alias("__mentions"),
+    )
+    once = F.filter("__mentions", lambda x, i: (i == 0) | (x["raw"] != F.get("__mentions", i - 1)["raw"]))
+    maps = maps.withColumn("__mentions", once)
+    of_doc = F.xxhash64("__id", "__th2")
+    likely = possible(keyed, F.xxhash64("doc_id", "__th"), hits, of_doc)
+    clean = likely.filter(~F.col("__maybe")).withColumn("n_entities", F.lit(0).cast("long"))
+    found = hits.join(maps.withColumnsRenamed({"__id": "__id3", "__th2": "__th3"}), F.col("__id").eqNullSafe(F.col("__id3")) & (F.col("__th2") == F.col("__th3"))).drop("__id3", "__th3")
+    rest = likely.filter("__maybe")
+    joined = rest.join(found, rest["doc_id"].eqNullSafe(found["__id"]) & (rest["__th"] == found["__th2"]), "left")
+    # longer names first, so that a family name inside a whole name does not come before it
+    mentions = F.array_sort("__mentions", lambda a, b: F.when(F.length(a["raw"]) != F.length(b["raw"]), F.length(b["raw"]) - F.length(a["raw"])).when(a["raw"] < b["raw"], -1).when(a["raw"] > b["raw"], 1).otherwise(0))
+    pattern = F.when(F.size("__mentions") > 0, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(mentions, lambda x: F.concat(F.lit(r"\Q"), x["raw"], F.lit(r"\E"))), "|"), F.lit(r")(?![\p{L}\p{N}])")))
+
+    def mentioned(piece: Column) -> Column:
+        """A stretch between matches with the mentions in it replaced, and their number."""
+        again = F.regexp_extract_all(piece, F.col("__pattern"), F.lit(0))
+        swapped = F.transform(again, lambda m: F.element_at(F.map_from_entries(F.col("__mentions")), m))
+        rest_of = F.split(piece, F.col("__pattern"), -1)
+        woven = let(rest_of, lambda between: F.concat(F.array_join(F.transform(swapped, lambda x, i: F.concat(F.get(between, i), x)), ""), F.element_at(between, -1)))
+        plain = F.struct(piece.alias("t"), F.lit(0).alias("n"))
+        return F.when(F.col("__pattern").isNull() | ~F.regexp_like(piece, F.col("__pattern")), plain).otherwise(F.struct(woven.alias("t"), F.size(again).alias("n")))
 
     def spliced(between: Column) -> Column:
-        swapped = F.transform(F.col("__found"), lambda m, i: F.concat(F.get(between, i), F.element_at(F.col("__map"), m)))
-        return F.concat(F.array_join(swapped, ""), F.element_at(between, -1))
+        swapped = F.transform(F.col("__found"), lambda m, i: F.concat(F.get(between, i)["t"], F.element_at(F.col("__map"), m)))
+        n = F.aggregate(between, F.size("__found"), lambda a, x: a + x["n"])
+        return F.struct(F.concat(F.array_join(swapped, ""), F.element_at(between, -1)["t"]).alias("t"), n.alias("n"))
 
-    replaced = joined.withColumn(text_col, let(F.split(text, ANY, -1), spliced)).withColumn("n_entities", F.size("__found").cast("long"))
+    done = let(F.transform(F.split(text, ANY, -1), mentioned), spliced)
+    replaced = joined.withColumn("__pattern", pattern).withColumn("__new", F.when(F.col("__found").isNotNull(), done))
+    replaced = replaced.withColumn(text_col, F.coalesce(F.col("__new.t"), text)).withColumn("n_entities", F.coalesce(F.col("__new.n"), F.lit(0)).cast("long"))
     return clean.select(*columns, "n_entities").unionByName(replaced.select(*columns, "n_entities"))
