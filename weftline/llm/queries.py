@@ -12,7 +12,8 @@ from weftline.llm.common import crc_mod, table
 
 
 def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    # the contract's columns, then the text that is left
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), keep_text=True).drop("kept")
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,9 @@
 Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else goes.  To bring equal windows
 together without sorting the corpus in one place:
 
+Equal pieces are counted, which settles whole copies (most of what repeats in the test tables); the suffix groups judge
+what repeats in part.
+
 1. Each window is led by the least hashed ``GRAM``-byte gram in it (the leftmost of equals), so equal windows
    have the same leader at the same offset.  Windows that follow each other with one leader form a piece, about
    one in a hundred bytes.  Pieces are counted by leader, and where its contents differ by (leader, content):
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import bytesplit
-from weftline.llm.common import cut, n_partitions
+from weftline.llm.common import cut, maybe_broadcast, n_partitions
 from weftline.llm.suffix_groups import repeated_windows
 
 LENGTH = 400
@@ -208,18 +211,20 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int =
     leaders = found.groupBy("h").agg(F.count("*").alias("c"), F.min("p").alias("low"), F.max("p").alias("high")).filter("c > 1")
     live = cut(leaders.select("h", (F.col("low") != F.col("high")).alias("mixed")))
     place = F.col("start") * _PACK * _PACK + F.col("n") * _PACK + F.col("off")
-    seen = found.join(live, "h").select("doc_id", "th", place.alias("place"), F.when(F.col("mixed"), F.col("h")).alias("h"), F.when(F.col("mixed"), F.col("p")).alias("p"))
+    seen = found.join(maybe_broadcast(live), "h").select("doc_id", "th", place.alias("place"), F.when(F.col("mixed"), F.col("h")).alias("h"), F.when(F.col("mixed"), F.col("p")).alias("p"))
     needed = cut(seen)
     # leaders with several contents: what occurs once is open, and one copy of each other content to compare with
     mixed = needed.filter("h is not null")
     one = F.struct("doc_id", "th", "place")
-    counted = mixed.groupBy("h", "p").agg(F.count("*").alias("c"), F.min(one).alias("one"))
-    judged = mixed.join(counted, ["h", "p"])
-    copies = needed.filter("h is null").select("doc_id", "th", "place").unionByName(judged.filter("c > 1").select("doc_id", "th", "place"))
+    counted = cut(mixed.groupBy("h", "p").agg(F.count("*").alias("c"), F.min(one).alias("one")))
+    # all but what occurs once, told by the place and not by the content: copies of one content never meet in a task
+    alone = counted.filter("c = 1").select(F.col("one.doc_id").alias("a_id"), F.col("one.th").alias("a_th"), F.col("one.place").alias("a_place"))
+    at = needed["doc_id"].eqNullSafe(alone["a_id"]) & (needed["th"] == alone["a_th"]) & (needed["place"] == alone["a_place"])
+    copies = needed.select("doc_id", "th", "place").join(alone, at, "left_anti")
     start, n, off = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(_PACK - 1), F.col("place").bitwiseAND(_PACK - 1)
     copies = copies.select("doc_id", "th", start.alias("start"), (start + n + (length - 1)).alias("end"))
 
-    opened = judged.filter((F.col("c") == 1) | F.coalesce(one == F.col("one"), F.lit(True)))
+    opened = counted.select("one.*", "h")
     opened = opened.select("doc_id", "th", start.alias("start"), n.alias("n"), off.alias("off"), "h")
     wanted = opened.groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "start", "n", "off")).alias("wanted"))
     packed = _packed(keyed)
@@ -238,7 +243,10 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int =
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, hot: int = HOT, keep_text: bool = False) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``keep_text`` the bytes left (kept)."""
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``keep_text`` also the bytes left (kept), and these as a string without characters that a span cut in two (text).
+    """
     keyed = _keyed(docs, text_col, id_col)
     found = spans(keyed, length, gram, step, hot)
     by_doc = found.groupBy("doc_id", "th").agg(F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
@@ -264,9 +272,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 left = own.tobytes()
                 digests.append(hashlib.sha256(left).hexdigest())
                 kept.append(left if keep_text else None)
-            columns = [batch.column(0), pa.array(n_bytes), pa.array(removed), pa.array(n_spans), pa.array(digests, pa.string()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            texts = [None if x is None else x.decode("utf-8", "ignore") for x in kept]
+            columns = [batch.column(0), pa.array(n_bytes), pa.array(removed), pa.array(n_spans), pa.array(digests, pa.string()), pa.array(kept, pa.binary()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if keep_text else out.drop("kept")
+    out = joined.mapInArrow(each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string")
+    return out if keep_text else out.drop("kept", "text")

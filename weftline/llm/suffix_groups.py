@@ -1,4 +1,7 @@
-"""Suffix sorting by groups of Lyndon prefixes, linear in the string, without recursion or renaming.
+"""Suffix sorting by groups of Lyndon prefixes, without recursion or renaming.
+
+Each suffix is looked at a constant number of times; members of a group are sorted by place and by burden instead of
+dealt into buckets, and first symbols by comparison, so the time is linear but for these sorts.
 
 Phase 1 puts suffixes into groups that share their longest Lyndon prefix.  It starts from groups of equal first
 symbols and takes groups in descending order.  Each suffix of the group at hand hangs on its previous smaller
