@@ -93,6 +93,24 @@ PRIVATE = [
 CLEAN = [None, "", "nothing here at version 3.", "12.5 percent of 1998 in 2.0, room 12-34", "a@b, 1.2.3"]
 
 
+def test_mix_with_another_cap_and_with_weights(spark):
+    rng = __import__("random").Random(1)
+    docs = spark.createDataFrame([(i, "w " * rng.randint(1, 9), "ab"[i >= 200], rng.choice([0.25, 0.5, 2.0])) for i in range(1200)], "doc_id long, text string, source string, w double")
+    sizes = {r.source: r["n"] for r in docs.groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()}
+    rows = mixing.mix(docs, max_repeats=5.0, weights=(9, 1)).collect()
+    taken = {s: sum(r.taken for r in rows if (r.doc_id >= 200) == (s == "b")) for s in "ab"}
+    target = {s: next(r.target for r in rows if (r.doc_id >= 200) == (s == "b")) for s in "ab"}
+    assert target["a"] > 2 * sizes["a"] and all(abs(taken[s] - target[s]) < 20 for s in "ab") and all(r.taken <= 5 * r.size for r in rows)
+    rows = mixing.mix(docs, weight_col="w").collect()
+    weight = {r.doc_id: r.w for r in docs.collect()}
+    for s in "ab":
+        own = [r for r in rows if (r.doc_id >= 200) == (s == "b")]
+        assert abs(sum(r.taken for r in own) - own[0].target) < 20 and all(r.taken <= 2 * r.size for r in own)
+        share = {w: sum(r.taken for r in own if weight[r.doc_id] == w) / sum(r["size"] for r in own if weight[r.doc_id] == w) for w in (0.25, 0.5, 2.0)}
+        full = own[0].target >= 1.99 * own[0].source_size
+        assert all(x > 1.9 for x in share.values()) if full else share[0.25] < share[0.5] < share[2.0]
+
+
 def test_surrogates(spark):
     rows = [(i, t, "x") for i, t in enumerate(PRIVATE + CLEAN + PRIVATE[:1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, match string")

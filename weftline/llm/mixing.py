@@ -5,7 +5,8 @@ own size stops there, and the excess goes to the others by weight.  Each documen
 that its expected number of copies c makes certain; the fraction pi of c left over is its inclusion
 probability.  With a keyed uniform u, documents are ranked by the odds u / (1 - u) over pi / (1 - pi) (Rosen's
 Pareto order sampling), and the lowest ranks are taken until the source's remaining words are used up, at the
-boundary that comes nearest.  The expected copies may differ between documents of one source by ``weight_col``.
+boundary that comes nearest.  With ``weight_col`` the expected copies of the documents of a source are in proportion to
+their weights, up to the cap.
 
 The boundary is found without ordering a source in one task: a histogram of ranks finds the bucket in which
 the words run out, and only the rows of that bucket are ordered.
@@ -59,6 +60,26 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, total_share: floa
     return rated.select("source", "source_size", target.alias("target"))
 
 
+def _scaled(targets: DataFrame, by_weight: DataFrame, max_repeats: float) -> DataFrame:
+    """Adds __scale and __most: a document of weight w has min(__most, __scale * w) copies, which use up the target.
+
+    In descending order of weight the documents at the cap are a prefix, so running sums give the scale directly.  Rows
+    are one per source and weight.
+    """
+    held = by_weight.withColumnRenamed("source", "__of")
+    joined = targets.join(held, F.col("__source").eqNullSafe(F.col("__of")), "left").withColumn("__used", F.col("__size") * F.col("__weight"))
+    heavier = Window.partitionBy("__source").orderBy(F.col("__weight").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("__source").orderBy(F.col("__weight").desc()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    left = F.col("target") - F.lit(float(max_repeats)) * F.coalesce(F.sum("__size").over(heavier), F.lit(0))
+    scale = F.try_divide(left, F.sum("__used").over(rest))
+    tried = joined.withColumn("__try", scale)
+    fits = F.col("__try") * F.col("__weight") <= max_repeats
+    found = F.max_by(F.col("__try"), F.when(fits & (F.col("__weight") > 0), F.col("__weight")))
+    every = F.try_divide(F.lit(float(max_repeats)), F.min(F.when(F.col("__weight") > 0, F.col("__weight"))))
+    grouped = tried.groupBy("__source", "source_size", "target").agg(F.coalesce(found, every).alias("__scale"))
+    return grouped.withColumn("__most", F.lit(float(max_repeats)))
+
+
 def _rank(u: Column, pi: Column) -> Column:
     """Pareto rank q mapped to q / (1 + q), which lies in (0, 1) and keeps the order."""
     q = (u * (1 - pi)) / ((1 - u) * pi)
@@ -68,8 +89,7 @@ def _rank(u: Column, pi: Column) -> Column:
 def _placed(docs: DataFrame, per_source: DataFrame) -> DataFrame:
     """Adds whole copies, the fraction left over and the rank."""
     same = docs["source"].eqNullSafe(per_source["__source"])
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)) * F.col("__weight")
-    copies = F.least(copies, F.lit(MAX_REPEATS))
+    copies = F.least(F.coalesce(F.col("__scale") * F.col("__weight"), F.lit(0.0)), F.col("__most"))
     joined = docs.join(per_source, same, "left").drop("__source").withColumn("__c", copies)
     joined = joined.withColumn("__whole", F.floor("__c")).withColumn("__pi", F.col("__c") - F.col("__whole"))
     rank = F.when(F.col("__pi") > 0, _rank(F.col("__u"), F.col("__pi"))).otherwise(F.lit(1.0))
@@ -81,8 +101,10 @@ def plan(sized: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, total_sha
 
     ``sized`` has doc_id, source, size and __weight, and is read several times: it should be materialised.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = cut(source_targets(totals, weights, total_share, max_repeats).withColumnRenamed("source", "__source"))
+    by_weight = cut(sized.groupBy("source", "__weight").agg(F.sum("size").alias("__size")))
+    totals = by_weight.groupBy("source").agg(F.sum("__size").alias("source_size"))
+    targets = source_targets(totals, weights, total_share, max_repeats).withColumnRenamed("source", "__source")
+    targets = cut(_scaled(targets, by_weight, max_repeats))
     placed = _placed(sized.withColumn("__u", _uniform(F.col("doc_id"), seed)), maybe_broadcast(targets))
     placed = placed.filter((F.col("__pi") > 0) & (F.col("size") > 0)).withColumn("__bucket", F.floor(F.col("__v") * BUCKETS))
     certain = _placed(sized.withColumn("__u", F.lit(0.5)), maybe_broadcast(targets)).groupBy("source").agg(F.sum(F.col("__whole") * F.col("size")).alias("__sure"))
@@ -110,7 +132,7 @@ def plan(sized: DataFrame, seed: str = SEED, weights: tuple = WEIGHTS, total_sha
     # a source whose edge bucket gives no row still takes all earlier buckets
     out = wanted.join(edge.select(F.col("__source").alias("__e"), "__edge_bucket"), F.col("__source").eqNullSafe(F.col("__e")), "left").drop("__e")
     out = out.join(last, F.col("__source").eqNullSafe(F.col("__of")), "left").drop("__of")
-    return cut(out.select("__source", "source_size", "target", "__edge_bucket", F.col("__last.__v").alias("__last_v"), F.col("__last.doc_id").alias("__last_id")))
+    return cut(out.select("__source", "source_size", "target", "__scale", "__most", "__edge_bucket", F.col("__last.__v").alias("__last_v"), F.col("__last.doc_id").alias("__last_id")))
 
 
 def _take(docs: DataFrame, planned: DataFrame, seed: str) -> DataFrame:
@@ -120,20 +142,20 @@ def _take(docs: DataFrame, planned: DataFrame, seed: str) -> DataFrame:
     at_edge = F.struct(F.col("__v"), F.col("doc_id").alias("id")) <= F.struct(F.col("__last_v"), F.col("__last_id").alias("id"))
     extra = (F.col("__pi") > 0) & ((F.col("__bucket") < F.col("__edge_bucket")) | ((F.col("__bucket") == F.col("__edge_bucket")) & F.col("__last_v").isNotNull() & at_edge))
     copies = F.col("__whole") + F.when(extra, F.lit(1)).otherwise(F.lit(0))
-    return placed.withColumn("copies", copies.cast("long")).drop("__u", "__c", "__whole", "__pi", "__v", "__bucket", "__edge_bucket", "__last_v", "__last_id", "__weight")
+    return placed.withColumn("copies", copies.cast("long")).drop("__u", "__c", "__whole", "__pi", "__v", "__bucket", "__edge_bucket", "__last_v", "__last_id", "__weight", "__scale", "__most")
 
 
-def mix(docs: DataFrame, text_col: str = "text", weight_col: str | None = None, seed: str = SEED, weights: tuple = WEIGHTS, total_share: float = TOTAL_SHARE) -> DataFrame:
+def mix(docs: DataFrame, text_col: str = "text", weight_col: str | None = None, seed: str = SEED, weights: tuple = WEIGHTS, total_share: float = TOTAL_SHARE, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words)."""
     sized = cut(_sized(docs, text_col, weight_col))
-    out = _take(sized, plan(sized, seed, weights, total_share), seed)
+    out = _take(sized, plan(sized, seed, weights, total_share, max_repeats), seed)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def with_copies(docs: DataFrame, text_col: str = "text", weight_col: str | None = None, seed: str = SEED, weights: tuple = WEIGHTS, total_share: float = TOTAL_SHARE) -> DataFrame:
+def with_copies(docs: DataFrame, text_col: str = "text", weight_col: str | None = None, seed: str = SEED, weights: tuple = WEIGHTS, total_share: float = TOTAL_SHARE, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """The rows of ``docs`` that the mix takes, all their columns, and ``copies``; the texts are not shuffled."""
     sized = cut(_sized(docs, text_col, weight_col))
-    planned = plan(sized, seed, weights, total_share)
+    planned = plan(sized, seed, weights, total_share, max_repeats)
     weight = F.lit(1.0) if weight_col is None else F.col(weight_col).cast("double")
     kept = [c for c in docs.columns if c.lower() not in ("copies", "target", "source_size")]
     out = _take(docs.select(*kept).withColumn("__weight", weight), planned, seed)
