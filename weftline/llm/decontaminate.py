@@ -193,9 +193,9 @@ def search(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> tuple
 
 
 def near(docs: DataFrame, items: DataFrame, slop: int, text_col: str = "text", id_col: str = "item_id") -> DataFrame:
-    """Proximity matches: (doc_id, th, item, pos) where the rarest terms of an item (RAREST of them) all stand
-    within ``slop`` words of the rarest one at pos, in any order.  Positions are dealt into stretches of
-    ``slop`` words, so only neighbouring stretches of one document meet."""
+    """Proximity matches: (doc_id, th, item, pos) where all terms of an item stand within ``slop`` words of its
+    rarest one at pos, in any order.  Lists of the RAREST terms are met first, then those of all terms.  Positions are
+    dealt into stretches of ``slop`` words, so only neighbouring stretches of one document meet."""
     keyed = _keyed(docs, text_col)
     whole = phrases(items, 1 << 30, id_col).select(F.explode("items").alias("item"), "terms")
     sent = _send(whole.select(F.explode("terms").alias("term")))
@@ -205,14 +205,19 @@ def near(docs: DataFrame, items: DataFrame, slop: int, text_col: str = "text", i
     rare = distinct.groupBy("item").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("tf", F.lit(0)).alias("tf"), "term"))), 1, RAREST).alias("rare"))
     rare = cut(rare.filter(F.get("rare", F.lit(0))["tf"] > 0).withColumn("term", F.get("rare", F.lit(0))["term"]))
     found = index.join(maybe_broadcast(rare), "term").select("doc_id", "th", "item", "pos", "rare")
-    stretch = F.floor(F.col("pos") / slop)
+    stretch = F.floor(F.col("pos") / max(slop, 1))
     others = index.select("term", F.col("doc_id").alias("d2"), F.col("th").alias("h2"), F.col("pos").alias("p2"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("s2"))
     for which in range(1, RAREST):
         short = found.filter(F.size("rare") <= which)
         want = found.filter(F.size("rare") > which).withColumn("__t", F.get("rare", F.lit(which))["term"]).withColumn("__s", stretch)
         on = (want["__t"] == others["term"]) & (want["__s"] == others["s2"]) & want["doc_id"].eqNullSafe(others["d2"]) & want["th"].eqNullSafe(others["h2"]) & (F.abs(want["pos"] - others["p2"]) <= slop)
         found = want.join(others, on, "left_semi").drop("__t", "__s").unionByName(short)
-    return found.select("doc_id", "th", "item", "pos").distinct()
+    found = cut(found.select("doc_id", "th", "item", "pos").distinct())
+    terms = whole.select("item", F.array_distinct("terms").alias("terms"))
+    every = found.join(maybe_broadcast(cut(terms)), "item").select("doc_id", "th", "item", "pos", F.size("terms").alias("n"), F.explode("terms").alias("term"), stretch.alias("__s"))
+    on = (every["term"] == others["term"]) & (every["__s"] == others["s2"]) & every["doc_id"].eqNullSafe(others["d2"]) & every["th"].eqNullSafe(others["h2"]) & (F.abs(every["pos"] - others["p2"]) <= slop)
+    met = every.join(others, on, "left_semi").groupBy("doc_id", "th", "item", "pos", "n").agg(F.count("*").alias("k"))
+    return met.filter("k = n").select("doc_id", "th", "item", "pos")
 
 
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
