@@ -97,6 +97,14 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</scri
 <footer>&copy; site %s</footer></body></html>"""
 
 
+def test_proximity_of_all_terms(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma zzz"), (2, "x epsilon delta alpha beta gamma"), (3, "alpha beta gamma delta " + "y " * 30 + "epsilon"), (4, "alpha " * 5)], "doc_id long, text string")
+    items = spark.createDataFrame([("i", "alpha beta gamma delta epsilon"), ("j", "alpha")], "item_id string, text string")
+    got = {(r.doc_id, r.item) for r in decontaminate.near(docs, items, 6).collect()}
+    assert got == {(2, "i"), (1, "j"), (2, "j"), (3, "j"), (4, "j")}
+    assert {(r.doc_id, r.item) for r in decontaminate.near(docs, items, 0).collect()} == {(k, "j") for k in (1, 2, 3, 4)}
+
+
 def test_html_text(spark):
     pages, want = [], {}
     for i in range(12):
@@ -128,13 +136,69 @@ def test_language_of_odd_rows(spark):
     assert language_id.identify(docs.limit(0), model).count() == 0
 
 
+def grams(text, longest=4):
+    raw = bytes(language_id._FOLD[b] for b in text.encode())
+    return {raw[i : i + n] for n in range(1, longest + 1) for i in range(len(raw) - n + 1)}
+
+
+def test_fit_against_a_direct_solution():
+    """Kernels from sets of n-grams, and the ridge regression solved as one system of all texts."""
+    rng = random.Random(3)
+    words = {"x": "der die das und ist für mit".split(), "y": "the of and is for with that".split(), "z": "le la et est pour avec que".split()}
+    texts = [" ".join(rng.choice(words[c]) for _ in range(rng.randint(3, 30))) for c in "xyz" * 15]
+    names = list("xyz" * 15)
+    model = language_id.fit(texts, names)
+    each = language_id.MAX_LANDMARKS // 3
+    chosen = [i for n in "xyz" for i in [i for i, c in enumerate(names) if c == n][:each]]
+    sets = [grams(t) for t in texts]
+    counted = {}
+    for i in chosen:
+        for g in sets[i]:
+            counted[g] = counted.get(g, 0) + 1
+    known = {bytes(int(g).to_bytes(4, "big")).lstrip(b"\0") for g in model.vocabulary.grams}
+    assert known <= {g for g, n in counted.items() if n > 1} and len(known) > 0.99 * sum(n > 1 for n in counted.values())
+    kernel = lambda a, b: len(a & b & known) / np.sqrt(max(len(a & known), 1) * max(len(b & known), 1))
+    fresh = [" ".join(rng.choice(words[c]) for _ in range(12)) for c in "xyzz"]
+    among = np.array([[kernel(sets[i], sets[j]) for j in chosen] for i in chosen])
+    value, vector = np.linalg.eigh(among)
+    root = (vector / np.sqrt(np.maximum(value, 1e-8))) @ vector.T
+    z = np.array([[kernel(s, sets[j]) for j in chosen] for s in sets]) @ root
+    zf = np.array([[kernel(grams(t), sets[j]) for j in chosen] for t in fresh]) @ root
+    y = np.array([[1.0 if c == n else -1.0 for n in "xyz"] for c in names])
+    # the dual of the same ridge problem
+    zc, yc = z - z.mean(0), y - y.mean(0)
+    alpha = np.linalg.solve(zc @ zc.T + len(z) * language_id.RIDGE * np.eye(len(z)), yc)
+    direct = (zf - z.mean(0)) @ (zc.T @ alpha) + y.mean(0)
+    from weftline.llm.bytesplit import utf8
+    import pyarrow as pa
+
+    got = model.scores(model.vocabulary.presence(*utf8(pa.array(fresh))))
+    assert np.allclose(got, direct, atol=2e-2) and [model.languages[k] for k in got.argmax(1)] == list("xyzz")
+
+
 def test_presence_does_not_cross_texts():
     from weftline.llm.bytesplit import utf8
     import pyarrow as pa
 
-    flags = language_id.presence(*utf8(pa.array(["abcd", None, "ef", "abcdef"])))
-    alone = [language_id.presence(*utf8(pa.array([t])))[0] for t in ("abcd", "", "ef", "abcdef")]
-    assert all((a == b).all() for a, b in zip(flags, alone))
+    texts = ["abcd", None, "ef", "abcdef"]
+    vocabulary = language_id._vocabulary(["abcdefgh", "abcdefgh"])
+    flags = vocabulary.presence(*utf8(pa.array(texts)))
+    known = [bytes(int(g).to_bytes(4, "big")).lstrip(b"\0") for g in vocabulary.grams]
+    for row, t in enumerate(texts):
+        assert {g for g, on in zip(known, flags[row]) if on} == grams(t or "") & set(known)
+
+
+@needs_data
+def test_five_megabytes_of_each_language(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.fit(*language_id.training_texts(docs.filter(crc_mod(F.col("doc_id"), 4) != 2)))
+    rows = docs.filter((crc_mod(F.col("doc_id"), 4) == 2) & F.col("lang").isNotNull() & (F.length("text") > 300)).collect()
+    long = []
+    for lang in sorted({r.lang for r in rows}):
+        whole = " ".join(r.text for r in rows if r.lang == lang)
+        long.append((lang, whole * (5_000_000 // len(whole.encode()) + 1)))
+    found = language_id.identify(spark.createDataFrame(long, "doc_id string, text string"), model).collect()
+    assert len(found) > 1 and all(r.doc_id == r.lang_pred for r in found)
 
 
 @needs_data
