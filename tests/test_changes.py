@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,19 +188,42 @@ def test_tables_and_watches(spark, tmp_path):
     assert watch.poll() is not None
 
 
-def test_push_batches_are_summed_in_many_tasks(spark):
-    sizes = [(i * 37) % 90 + 1 for i in range(3000)]
-    frozen = spark.createDataFrame([(i, "é" + "x" * n) for i, n in enumerate(sizes)], "row_ordinal long, row_json string").repartition(4)
-    name = "spark.sql.adaptive.coalescePartitions.enabled"
-    spark.conf.set(name, "false")
-    try:
-        rows = changes.push_batches(frozen, 50, 1000).withColumn("task", F.spark_partition_id()).collect()
-    finally:
-        spark.conf.unset(name)
-    before, want = 0, {}
+def test_push_batches_are_cut_one_after_another(spark):
+    rng = random.Random(3)
+    sizes = [rng.choice([3, 20, 90, 400, 3000]) if i % 3 else 5 for i in range(3000)]
+    frozen = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "row_ordinal long, row_json string").repartition(4)
+    want, rows, held, batch = {}, 0, 0, 0
     for i, n in enumerate(sizes):
-        want[i] = max(i // 50, before // 1000)
-        before += n + 2
-    assert {r.row_ordinal: r.batch for r in rows} == want
-    assert len({r.task for r in rows}) > 1
+        if rows and (rows + 1 > 50 or held + n > 1000):
+            rows, held, batch = 0, 0, batch + 1
+        rows, held, want[i] = rows + 1, held + n, batch
+    for part_rows in (50, 177, 1_000_000):
+        got = changes.push_batches(frozen, 50, 1000, part_rows).collect()
+        assert len(got) == 3000 and {r.row_ordinal: r.batch for r in got} == want
     assert changes.push_batches(frozen.limit(0), 50, 1000).count() == 0
+
+
+def test_gate_and_recovery(spark):
+    kind = "schema_name string, table_name string, key_json string, op string, base_row_version long, payload string, dirty_ordinal long"
+    none, one = spark.createDataFrame([], kind), spark.createDataFrame([("main", "t", "{}", "UPDATE", 1, "{}", 1)], kind)
+    pins = {n: changes.fingerprint(a, b) for n, (a, b) in {"none": (none, none), "dirty": (one, none), "outbox": (none, one)}.items()}
+    changes.gate(none, none, pins["none"])
+    changes.gate(one, none, pins["dirty"], changes.KEEP_UNSENT)
+    changes.gate(none, one, pins["outbox"], changes.KEEP_COMMITTED)
+    for dirty, outbox, pin, mode in ((one, none, "none", changes.KEEP_UNSENT), (one, none, "dirty", changes.REQUIRE_EMPTY), (none, one, "outbox", changes.KEEP_UNSENT), (one, none, "dirty", changes.KEEP_COMMITTED)):
+        with pytest.raises(changes.TransitionPending):
+            changes.gate(dirty, outbox, pins[pin], mode)
+    assert changes.choose_recovery(5, 6, 9) == changes.choose_recovery(9, 3, 9) == "pull"
+    assert changes.choose_recovery(4, 6, 9) == "rebuild: history pruned" and changes.choose_recovery(10, 3, 9) == "rebuild: checkpoint ahead"
+    left = changes.clear_managed({"T": one, "other": one}, ["t"])
+    assert left["T"].count() == 0 and left["T"].schema == one.schema and left["other"].count() == 1
+
+
+def test_glob_and_time_of_day(spark):
+    from weftline.functions import compat
+
+    for pattern, yes, no in (("a*[0-9]?", "abc7x", "Abc7x"), ("[^ab]x", "cx", "ax"), ("a.b\\c", "a.b\\c", "aXb\\c"), ("x[", "x[", "x"), ("[]]y", "]y", "y")):
+        row = spark.range(1).select(compat.glob(F.lit(yes), pattern).alias("yes"), compat.glob(F.lit(no), pattern).alias("no")).first()
+        assert row.yes and not row.no, pattern
+    row = spark.range(1).select(compat.parse_time(F.lit("23:59:01")).alias("s"), compat.time_text(F.lit(86341)).alias("t"), compat.parse_time(F.lit(None).cast("string")).alias("n")).first()
+    assert (row.s, row.t, row.n) == (86341, "23:59:01", None)

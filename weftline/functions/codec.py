@@ -53,7 +53,7 @@ def local_blob(text: Column) -> Column:
     as_base64 = F.when(F.base64(raw) == text, raw)
     as_uuid = F.when(F.lower(text).rlike(_UUID), F.unhex(F.replace(text, F.lit("-"), F.lit(""))))
     found = F.coalesce(as_hex, as_base64, as_uuid)
-    return F.when(text.isNotNull(), _or_fail(found.isNotNull(), found, "invalid blob encoding", "binary"))
+    return F.when(text.isNotNull(), _or_fail(found.isNotNull(), found, "bytes must be hexadecimal, Base64 or UUID text", "binary"))
 
 
 def number_text(x: float) -> str:

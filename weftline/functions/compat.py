@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Any
 
 from pyspark.sql import Column
@@ -17,6 +18,39 @@ def like(text: Column, pattern: Column | str, escape: str | None = None) -> Colu
     return F.ilike(text, pattern) if escape is None else F.ilike(text, pattern, F.lit(escape))
 
 
+def glob(text: Column, pattern: str) -> Column:
+    """GLOB: * and ? stand for any characters, [...] for one of a set ([^...] for one outside it); case counts."""
+    out, at = "", 0
+    while at < len(pattern):
+        c = pattern[at]
+        close = pattern.find("]", at + 2 + (pattern[at + 1 : at + 2] == "^")) if c == "[" else -1
+        if c == "*":
+            out += ".*"
+        elif c == "?":
+            out += "."
+        elif close > 0:
+            inside = pattern[at + 1 : close]
+            negated, inside = inside.startswith("^"), inside.removeprefix("^")
+            out += "[" + ("^" if negated else "") + re.sub(r"([\\\[\]&^~])", r"\\\1", inside) + "]"
+            at = close
+        else:
+            out += re.escape(c)
+        at += 1
+    return text.rlike(f"(?s)\\A{out}\\z")
+
+
+def parse_time(text: Column) -> Column:
+    """A time of day as seconds; text in another format is an error."""
+    ok = text.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$")
+    seconds = F.substring(text, 1, 2).cast("int") * 3600 + F.substring(text, 4, 2).cast("int") * 60 + F.substring(text, 7, 2).cast("int")
+    return F.when(text.isNotNull(), F.when(ok, seconds).otherwise(F.raise_error(F.concat(F.lit("invalid time: "), text)).cast("int")))
+
+
+def time_text(seconds: Column) -> Column:
+    """Seconds of a day as HH:mm:ss."""
+    return F.date_format(F.timestamp_seconds(seconds), TIME)
+
+
 def int_div(a: Column, b: Column) -> Column:
     """Integer quotient, cut towards zero; null for a zero divisor."""
     return F.when(b != 0, F.call_function("div", a, b))

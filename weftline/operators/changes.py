@@ -7,6 +7,8 @@ what is to be sent (op, base_row_version, payload, dirty_ordinal), ``live`` the
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,8 +105,14 @@ def freeze(prepared: DataFrame, chunk_rows: int = 200) -> DataFrame:
 
 
 def bundle_hash(frozen: DataFrame) -> DataFrame:
-    """One row: n_rows, request_hash.  A bundle has a bounded number of rows (``chunk_rows`` times its chunks)."""
-    return frozen.agg(F.count("*").alias("n_rows"), rows_hash(F.col("row_json"), F.col("row_ordinal")).alias("request_hash"))
+    """One row: n_rows, request_hash.
+
+    Each chunk is hashed by itself (SHA-256 of the JSON array of its rows), and the hash of a bundle is that of its
+    chunks' hashes in order, one a line: no task holds more than a chunk of rows or 64 bytes a chunk.
+    """
+    by_chunk = frozen.groupBy("chunk").agg(F.count("*").alias("n"), rows_hash(F.col("row_json"), F.col("row_ordinal")).alias("h"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("chunk", "h"))), lambda x: x["h"])
+    return by_chunk.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.array_join(listed, "\n"), 256).alias("request_hash"))
 
 
 def verify_committed(frozen: DataFrame, committed: DataFrame) -> DataFrame:
@@ -214,6 +222,56 @@ def rebuild(stage: DataFrame, expected_rows: int) -> tuple[DataFrame, DataFrame]
     return stage.select(*KEY, "payload"), stage.select(*KEY, "row_version", F.lit(0).alias("deleted"))
 
 
+def choose_recovery(last_seq: int, oldest_kept: int, newest: int) -> str:
+    """What a client that has applied ``last_seq`` does: pull bundles, or rebuild from a snapshot.
+
+    Bundles from last_seq + 1 on must still exist; a client ahead of the server's newest bundle has seen a history that is
+    no more.
+    """
+    if last_seq > newest:
+        return "rebuild: checkpoint ahead"
+    if last_seq + 1 < oldest_kept:
+        return "rebuild: history pruned"
+    return "pull"
+
+
+def clear_managed(tables: dict[str, DataFrame], managed: list[str]) -> dict[str, DataFrame]:
+    """The tables with those that are synchronised emptied, their schema kept; others stay as they are."""
+    names = {m.lower() for m in managed}
+    unknown = sorted(names - {t.lower() for t in tables})
+    if unknown:
+        raise ValueError(f"{', '.join(unknown)} are no tables")
+    return {name: df.limit(0) if name.lower() in names else df for name, df in tables.items()}
+
+
+#: What may be waiting when a snapshot replaces the local rows.
+REQUIRE_EMPTY, KEEP_UNSENT, KEEP_COMMITTED = "RequireEmpty", "KeepUnsent", "KeepCommitted"
+
+
+def gate(dirty: DataFrame, outbox: DataFrame, pinned: tuple[int, int, str], mode: str = REQUIRE_EMPTY) -> None:
+    """Before a snapshot is applied: nothing may have changed since it was pinned, and only what the mode allows may wait.
+
+    RequireEmpty allows neither dirty rows nor an outbox, KeepUnsent dirty rows but no outbox, KeepCommitted an outbox
+    (whose rows the server has committed) but no dirty rows.
+    """
+    if mode not in (REQUIRE_EMPTY, KEEP_UNSENT, KEEP_COMMITTED):
+        raise ValueError(f"unknown mode {mode}")
+    now = fingerprint(dirty, outbox)
+    if now != pinned:
+        raise TransitionPending("local rows changed while the snapshot was fetched")
+    n_dirty, n_outbox, _ = now
+    if (n_dirty and mode != KEEP_UNSENT) or (n_outbox and mode != KEEP_COMMITTED):
+        raise TransitionPending(f"{n_dirty} dirty rows and {n_outbox} outbox rows wait, which {mode} does not allow")
+
+
+def round_counts(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """One row of diagnostics for (row_state, dirty) before and after a round: rows known, live, deleted, waiting, sent."""
+    parts = []
+    for label, (state, dirty) in (("before", before), ("after", after)):
+        parts.append(state.agg(F.count("*").alias(f"known_{label}"), F.count(F.when(_is_live(F.col("deleted")), 1)).alias(f"live_{label}")).crossJoin(dirty.agg(F.count("*").alias(f"dirty_{label}"))))  # one row each
+    return parts[0].crossJoin(parts[1])
+
+
 def contract_diff(client: DataFrame, server: DataFrame) -> DataFrame:
     """Tables (schema_name, table_name, key_columns) of both sides that do not agree: (table, problem)."""
     a = client.select(F.lower("schema_name").alias("s"), F.lower("table_name").alias("t"), F.lower("key_columns").alias("ck"))
@@ -260,17 +318,72 @@ def check_synced(table: DataFrame, name: str, key: list[str]) -> str:
     return column
 
 
-def push_batches(frozen: DataFrame, max_rows: int, max_bytes: int) -> DataFrame:
-    """Adds ``batch``: rows in order, closed by number of rows or by bytes of their canonical JSON.
+#: Rows in which ``push_batches`` cuts at once; each task holds so many sizes.
+PART_ROWS = 1_000_000
+
+
+def _cuts(sizes: np.ndarray, max_rows: int, max_bytes: int) -> np.ndarray:
+    """For each row, where the batch that begins there ends: before the first row that would pass a limit."""
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    at = np.arange(len(sizes))
+    full = np.searchsorted(total, total[:-1] + max_bytes, side="right") - 1
+    return np.maximum(np.minimum(full, at + max_rows), at + 1)
+
+
+def push_batches(frozen: DataFrame, max_rows: int, max_bytes: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """Adds ``batch``: rows in order, each batch as long as it has at most ``max_rows`` rows and ``max_bytes`` of JSON.
 
-    Ranges of rows are summed side by side, then shifted by the bytes of the ranges before them.
+    A row that alone passes the bytes is a batch of its own.  ``row_ordinal`` counts from 0 without gaps.  Where a
+    batch begins depends on all batches before it, but within a part it depends only on the first beginning in the part,
+    which is one of its first ``max_rows`` rows.  So each part tells, for each of these, where the next part's first
+    batch begins and how many batches lie between; these short tables are followed from part to part, and
+    then each part is cut by itself.  A part sees the first ``max_rows`` rows of the next one as well.
     """
-    ranged = settled(frozen.repartitionByRange("row_ordinal").withColumn("__part", F.spark_partition_id()).withColumn("__bytes", F.octet_length("row_json")))
-    sizes = ranged.groupBy("__part").agg(F.sum("__bytes").alias("__sum"))
-    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    shifts = sizes.select("__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__shift"))
-    upto = Window.partitionBy("__part").orderBy("row_ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    own = ranged.withColumn("__own", F.coalesce(F.sum("__bytes").over(upto), F.lit(0))).join(F.broadcast(shifts), "__part")
-    before = F.col("__own") + F.col("__shift")
-    batch = F.greatest(F.floor(F.col("row_ordinal") / max_rows), F.floor(before / max_bytes)).cast("long")
-    return own.withColumn("batch", batch).drop("__part", "__bytes", "__own", "__shift")
+    part_rows = max(part_rows, max_rows)
+    sized = frozen.select("row_ordinal", F.octet_length("row_json").cast("long").alias("size"))
+    part = F.floor(F.col("row_ordinal") / part_rows)
+    again = F.when((F.col("row_ordinal") % part_rows < max_rows) & (part > 0), F.array(part, part - 1)).otherwise(F.array(part))
+    dealt = settled(sized.withColumn("part", F.explode(again)))
+
+    def exits(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("row_ordinal")
+        here, end = int(group["part"].iloc[0]), part_rows
+        nexts = _cuts(group["size"].to_numpy(), max_rows, max_bytes)
+        n = len(nexts)
+        leave, count = np.arange(n + 1), np.zeros(n + 1, np.int64)
+        for i in range(min(n, end) - 1, -1, -1):
+            leave[i], count[i] = leave[nexts[i]], count[nexts[i]] + 1
+        m = min(n, max_rows, end)
+        return pd.DataFrame({"part": here, "entry": np.arange(m), "leave": leave[:m] - end, "n": count[:m]})
+
+    tables = dealt.groupBy("part").applyInPandas(exits, "part long, entry long, leave long, n long")
+    # max_rows rows for each part of a million: a proven bound
+    known = {(r["part"], r["entry"]): (r["leave"], r["n"]) for r in tables.collect()}
+    starts, here, entry, number = [], 0, 0, 0
+    while (here, entry) in known:
+        starts.append((here, entry, number))
+        entry, n = known[here, entry]
+        here, number = here + 1, number + n
+    first = {p: (e, b) for p, e, b in starts}
+
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("row_ordinal")
+        here = int(group["part"].iloc[0])
+        if here not in first:
+            return pd.DataFrame({"row_ordinal": np.zeros(0, np.int64), "batch": np.zeros(0, np.int64)})
+        nexts = _cuts(group["size"].to_numpy(), max_rows, max_bytes)
+        at, number = first[here]
+        begins = np.zeros(len(group) + 1, np.int64)
+        while at < min(len(group), part_rows):
+            begins[at] = 1
+            at = int(nexts[at])
+        batch = number - 1 + np.cumsum(begins[:-1])
+        # rows before the first beginning belong to the last batch of the part before, which also numbers the rows that it
+        # shares with this part
+        own = np.arange(len(group)) >= first[here][0]
+        if here + 1 in first:
+            own &= np.arange(len(group)) < part_rows + first[here + 1][0]
+        return pd.DataFrame({"row_ordinal": group["row_ordinal"].to_numpy()[own], "batch": batch[own]})
+
+    numbered = dealt.groupBy("part").applyInPandas(cut, "row_ordinal long, batch long")
+    return frozen.join(numbered, "row_ordinal")

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.ordinals import settled
+
 
 @dataclass(frozen=True)
 class Changed:
@@ -137,8 +139,9 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, where: Column, keys:
             hit = kept.join(part, kept[column] == part["__gone"], "left_semi")
             lost = hit if lost is None else lost.unionByName(hit)
             kept = kept.join(part, kept[column] == part["__gone"], "left_anti")
-        gone[name] = lost
-        out[name] = Changed(kept, lost)
+        # written once: each child would otherwise work out all parents again, for what stays and for what goes
+        gone[name] = settled(lost)
+        out[name] = Changed(kept, gone[name])
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 Tables = dict[str, DataFrame]
 
@@ -24,6 +24,12 @@ def register_views(spark: SparkSession, views: dict[str, str]) -> list[str]:
     return order
 
 
+def star(left: DataFrame, right: DataFrame, on: Column) -> DataFrame:
+    """All columns of an inner join; of those that both sides have (in any case), the left side's."""
+    known = {c.lower() for c in left.columns}
+    return left.join(right, on).select(*[left[c] for c in left.columns], *[right[c] for c in right.columns if c.lower() not in known])
+
+
 def affected_by_read(tables: set[str], view_sources: dict[str, set[str]]) -> set[str]:
     """Tables whose change alters a result that reads ``tables``: themselves and all that their views rest on."""
     out, queue = set(), [t.lower() for t in tables]

@@ -49,7 +49,7 @@ M3_SQL = """
 WITH o AS (SELECT o_custkey AS k, CAST(count(*) AS integer) AS n_orders, string_agg(CAST(o_orderkey AS varchar), ',' ORDER BY o_orderkey) AS order_keys FROM orders GROUP BY 1),
 s AS (SELECT k, CAST(count(*) AS integer) AS n_events, string_agg(CAST(event_id AS varchar), ',' ORDER BY event_id) AS event_keys FROM (SELECT user_id AS k, event_id FROM events) GROUP BY 1)
 SELECT c_custkey, coalesce(n_orders, 0) AS n_orders, coalesce(order_keys, '') AS order_keys, coalesce(n_events, 0) AS n_events, coalesce(event_keys, '') AS event_keys
-FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN s ON s.k = c_custkey WHERE c_custkey < 60
+FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN s ON s.k = c_custkey
 """
 
 
@@ -57,7 +57,7 @@ FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN s ON s.k = c_custkey WHER
 def m3_sibling_collections(spark, t):
     """Two collections in one join: each repeats for each element of the other, and distinct keys undo it."""
     joined = (
-        t["customer"].filter("c_custkey < 60").select("c_custkey")
+        t["customer"].select("c_custkey")
         .join(t["orders"].select("o_custkey", "o_orderkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(t["events"].select("user_id", "event_id"), F.col("user_id") == F.col("c_custkey"), "left")
         .drop("o_custkey", "user_id")
@@ -71,7 +71,7 @@ def m3_sibling_collections(spark, t):
 def m3_collected_before_joining(spark, t):
     """The same without multiplying rows."""
     found = nest_children(
-        t["customer"].filter("c_custkey < 60").select("c_custkey"),
+        t["customer"].select("c_custkey"),
         "c_custkey",
         {"orders": (t["orders"], "o_custkey", ["o_orderkey"], [F.col("o_orderkey")]), "events": (t["events"], "user_id", ["event_id"], [F.col("event_id")])},
     )
@@ -174,7 +174,17 @@ def m13_inherited_fields(spark, t):
     return found.select("c_custkey", F.col("nation.name").alias("nation_name"), F.col("region.name").alias("region_name"), F.size("orders").alias("n_orders"))
 
 
-@query("flagship_customers", "SELECT c_custkey AS id, c_name AS name, CAST(count(o_orderkey) AS integer) AS n_orders, any_value(n_name) AS nation FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey <= 5000 GROUP BY c_custkey, c_name")
+@query(
+    "flagship_customers",
+    """WITH l AS (SELECT l_orderkey, CAST(sum(l_quantity) AS bigint) AS q, string_agg(l_linenumber || ':' || l_partkey || ':' || l_suppkey, ' ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY 1),
+o AS (SELECT o_custkey, count(*) AS n, CAST(sum(coalesce(q, 0)) AS bigint) AS quantity, string_agg(o_orderkey || o_orderstatus || '[' || coalesce(lines, '') || ']', ';' ORDER BY o_orderkey) AS tree FROM orders LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT c_custkey AS id, c_name AS name, CAST(coalesce(o.n, 0) AS integer) AS n_orders, n_name AS nation, r_name AS region, coalesce(quantity, 0) AS quantity, coalesce(tree, '') AS tree
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey LEFT JOIN o ON o.o_custkey = c_custkey""",
+)
 def flagship_customers(spark, t):
-    found = Query.load("customer.with_orders").run(spark, max_key=5000)
-    return found.select("id", "name", F.size("orders").alias("n_orders"), F.col("nation.name").alias("nation"))
+    """All customers, with every field of their orders and lines spelled out."""
+    found = Query.load("customer.with_orders").run(spark, max_key=1 << 62)
+    line = lambda x: F.concat_ws(":", x["number"].cast("string"), x["part"].cast("string"), x["supplier"].cast("string"))
+    order = lambda o: F.concat(o["key"].cast("string"), o["status"], F.lit("["), F.array_join(F.transform(o["lines"], line), " "), F.lit("]"))
+    quantity = F.aggregate("orders", F.lit(0).cast("long"), lambda a, o: a + F.aggregate(o["lines"], F.lit(0).cast("long"), lambda b, x: b + x["quantity"].cast("long")))
+    return found.select("id", "name", F.size("orders").alias("n_orders"), F.col("nation.name").alias("nation"), F.col("nation.region").alias("region"), quantity.alias("quantity"), F.array_join(F.transform("orders", order), ";").alias("tree"))

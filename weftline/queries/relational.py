@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from weftline.functions import compat
 from weftline.operators.ordinals import after_key, bounded_page, with_ordinals
-from weftline.operators.tables import register_views
+from weftline.operators.tables import register_views, star
 from weftline.plans.query import Query
 from weftline.queries.registry import query, sql_query
 
 sql_query("s1_table_scan", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 sql_query("s3_without_from", "SELECT 42 AS constant_int, CAST(3.5 AS double) AS constant_real, 'text' AS constant_text")
 sql_query("s4_derived_table", "SELECT d.c_nationkey, d.n FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) d WHERE d.n > 1")
-sql_query("p1_alias", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey < 100")
+sql_query("p1_alias", "SELECT c_custkey AS id, c_name AS name FROM customer")
 sql_query("p3_constants", "SELECT c_custkey, 42 AS constant_int, CAST(NULL AS varchar(10)) AS constant_null, CAST(1.5 AS double) AS constant_real FROM customer")
 sql_query("p4_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
 sql_query(
     "p5_compare",
-    '/*@ {"params": {"low": "double", "segment": "string"}} */ SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= :low AND c_mktsegment <> :segment AND c_custkey <= 1000',
+    '/*@ {"params": {"low": "double", "segment": "string"}} */ SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= :low AND c_mktsegment <> :segment',
     {"low": 100.0, "segment": "MACHINERY"},
 )
 sql_query(
@@ -36,7 +36,7 @@ sql_query(
 )
 sql_query("p13_scalar_subquery", "SELECT n_name, coalesce((SELECT max(c_acctbal) FROM customer c WHERE c.c_nationkey = n.n_nationkey), 0) AS best, (SELECT count(*) FROM region) AS n_regions FROM nation n")
 sql_query("p14_case", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_totalprice > 250000 THEN 'large' ELSE 'open' END AS kind FROM orders")
-sql_query("p15_cast", '/*@ {"params": {"n": "string"}} */ SELECT o_orderkey, CAST(o_totalprice AS bigint) AS cents FROM orders WHERE o_orderkey < CAST(:n AS bigint)', {"n": "500"}, "SELECT o_orderkey, CAST(trunc(o_totalprice) AS bigint) AS cents FROM orders WHERE o_orderkey < 500")
+sql_query("p15_cast", '/*@ {"params": {"n": "string"}} */ SELECT o_orderkey, CAST(o_totalprice AS bigint) AS cents FROM orders WHERE o_totalprice > CAST(:n AS bigint)', {"n": "500"}, "SELECT o_orderkey, CAST(trunc(o_totalprice) AS bigint) AS cents FROM orders WHERE o_totalprice > 500")
 sql_query(
     "p17_cte",
     '/*@ {"params": {"a": "string"}} */ WITH bounds AS (SELECT CAST(:a AS timestamp) AS since) SELECT o_orderkey FROM orders WHERE o_orderdate >= (SELECT since FROM bounds)',
@@ -108,9 +108,15 @@ def p8_empty_list(spark, t):
     return Query.parse("p8", '/*@ {"params": {"keys": "array<long>"}} */ SELECT o_orderkey FROM orders WHERE array_contains(:keys, o_custkey)').run(spark, keys=[])
 
 
-@query("p2_star_without_repeats", "SELECT c.*, o.* FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey WHERE c.c_custkey < 200")
+@query(
+    "p2_star_without_repeats",
+    "SELECT a.name, a.nation, a.balance, b.suppliers FROM (SELECT c_name AS name, c_nationkey AS nation, c_acctbal AS balance FROM customer) a JOIN (SELECT s_nationkey AS nation, count(*) AS suppliers, max(s_name) AS name FROM supplier GROUP BY s_nationkey) b ON a.nation = b.nation",
+)
 def p2_star_without_repeats(spark, t):
-    return t["customer"].filter("c_custkey < 200").join(t["orders"], F.col("o_custkey") == F.col("c_custkey"))
+    """Both sides have a name and a nation: of columns that repeat, the first side's stays."""
+    a = t["customer"].select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    b = t["supplier"].groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"), F.max("s_name").alias("name"))
+    return star(a, b, a["nation"] == b["nation"])
 
 
 @query("p7_like_without_case", "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%RED%' OR p_name ILIKE 's_all%'")
@@ -166,3 +172,13 @@ def w2_first_per_group(spark, t):
 @query("w3_ordinals", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS ordinal FROM orders")
 def w3_ordinals(spark, t):
     return with_ordinals(t["orders"].select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], "ordinal").select("o_orderkey", "ordinal")
+
+
+sql_query("j8_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n WHERE n.n_regionkey <> r.r_regionkey")
+sql_query("j8_using", "SELECT k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b USING (k)")
+sql_query("j8_natural", "SELECT * FROM (SELECT n_nationkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT c_nationkey AS k, max(c_acctbal) AS best FROM customer GROUP BY 1) b")
+
+
+@query("p19_glob", "SELECT p_partkey, p_name FROM part WHERE p_name GLOB '[b-r]*e[a-m]*'")
+def p19_glob(spark, t):
+    return t["part"].filter(compat.glob(F.col("p_name"), "[b-r]*e[a-m]*")).select("p_partkey", "p_name")
