@@ -6,7 +6,7 @@ collections.  It works by aggregation on the parent's key, so each level costs o
 aggregation applies to all of it but the arrays themselves.
 
 Rules.  A parent's own fields come from its first row.  A collection leaves out elements whose columns are all
-null and keeps, of elements with one key, the first; null is a key like any other, and without a key all
+null (with ``null_key_drops``: whose key is null, whatever else they hold) and keeps, of elements with one key, the first; null is a key like any other, and without a key all
 elements stay.  A single related row is taken from the first row in which any of its columns is not null; it is
 null if there is none, which is an error for a field marked ``not_null``.  Order is that of ``order``, which must
 place the rows of a parent without ties.
@@ -35,6 +35,7 @@ class Nested:
     not_null: bool = False
     default: Any = None
     children: tuple[Nested, ...] = ()
+    null_key_drops: bool = False
 
     def __post_init__(self) -> None:
         if self.mapping not in (COLLECTION, PER_ROW, ENTITY, DEFAULT):
@@ -43,6 +44,8 @@ class Nested:
             raise ValueError(f"{self.name}: no column belongs to it")
         if any(c.mapping == COLLECTION for c in self.children) and self.key is None:
             raise ValueError(f"{self.name}: a collection inside needs a key")
+        if self.null_key_drops and (self.mapping != COLLECTION or self.key is None):
+            raise ValueError(f"{self.name}: only a collection with a key drops null keys")
 
     def used(self) -> set[str]:
         return set(self.columns.values()).union(*(c.used() for c in self.children))
@@ -83,6 +86,8 @@ def _struct(node: Nested, inner: list[Column] = ()) -> Column:
 
 
 def _present(node: Nested) -> Column:
+    if node.null_key_drops:
+        return F.col(node.key).isNotNull()
     out = F.lit(False)
     for c in sorted(node.used()):
         out = out | F.col(c).isNotNull()

@@ -1,6 +1,7 @@
 """Named queries: a SQL file with a JSON note on its parameters and its result.
 
-The file begins with a comment ``/*@ {...} */``.  Members: ``params`` (name to Spark type), ``nest`` (key, order
+The file begins with a comment ``/*@ {...} */``.  Members: ``params`` (name to Spark type, or to ``view.column``
+for the type of that column, also inside ``array<>``), ``nest`` (key, order
 and nested fields, see ``nesting``), ``rename`` (camel or plain) and ``shape`` (name of a result schema that
 several queries share).  The rest is Spark SQL with ``:name`` parameters.
 """
@@ -17,33 +18,25 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.plans.lineage import NoteError, only
 from weftline.plans.nesting import Nested, check_labels, nest, nest_rows
 
 _NOTE = re.compile(r"\A\s*/\*@(.*?)\*/", re.S)
 _QUERY_KEYS = {"params", "nest", "rename", "shape"}
 _NEST_KEYS = {"key", "order", "fields"}
-_FIELD_KEYS = {"name", "mapping", "columns", "key", "not_null", "default", "children"}
+_FIELD_KEYS = {"name", "mapping", "columns", "key", "not_null", "default", "children", "null_key_drops"}
+_SHORT = {"bigint": "long", "smallint": "int", "tinyint": "int", "float": "double"}
 _PYTHON = {"long": int, "int": int, "double": float, "string": str, "boolean": bool, "binary": bytes}
 
 SQL_DIR = Path(__file__).resolve().parent.parent / "sql"
 
 
-class NoteError(ValueError):
-    """A note names something unknown or leaves out what is needed."""
-
-
-def _only(given: dict, allowed: set[str], where: str) -> None:
-    unknown = sorted(set(given) - allowed)
-    if unknown:
-        raise NoteError(f"{where}: unknown {', '.join(unknown)}")
-
-
 def _nested(spec: dict) -> Nested:
-    _only(spec, _FIELD_KEYS, spec.get("name", "field"))
+    only(spec, _FIELD_KEYS, spec.get("name", "field"))
     if "name" not in spec or "mapping" not in spec:
         raise NoteError("a nested field needs a name and a mapping")
     children = tuple(_nested(c) for c in spec.get("children", []))
-    return Nested(spec["name"], spec["mapping"], dict(spec.get("columns", {})), spec.get("key"), spec.get("not_null", False), spec.get("default"), children)
+    return Nested(spec["name"], spec["mapping"], dict(spec.get("columns", {})), spec.get("key"), spec.get("not_null", False), spec.get("default"), children, spec.get("null_key_drops", False))
 
 
 def bind(value: Any, kind: str, name: str) -> Any:
@@ -70,6 +63,19 @@ def bind(value: Any, kind: str, name: str) -> Any:
     return value
 
 
+def column_type(spark: SparkSession, kind: str) -> str:
+    """A parameter's type; ``view.column`` stands for the type of that column, through however many views it comes."""
+    if kind.startswith("array<"):
+        return f"array<{column_type(spark, kind[len('array<') : -1])}>"
+    view, dot, column = kind.rpartition(".")
+    if not dot:
+        return kind
+    types = {f.name.lower(): f.dataType.simpleString() for f in spark.table(view).schema}
+    if column.lower() not in types:
+        raise NoteError(f"{column} is none of {', '.join(types)} of {view}")
+    return _SHORT.get(types[column.lower()], types[column.lower()])
+
+
 @dataclass(frozen=True)
 class Query:
     name: str
@@ -85,9 +91,9 @@ class Query:
     def parse(name: str, text: str) -> Query:
         found = _NOTE.match(text)
         note = json.loads(found[1]) if found else {}
-        _only(note, _QUERY_KEYS, name)
+        only(note, _QUERY_KEYS, name)
         spec = note.get("nest", {})
-        _only(spec, _NEST_KEYS, f"{name}: nest")
+        only(spec, _NEST_KEYS, f"{name}: nest")
         nested = tuple(_nested(f) for f in spec.get("fields", []))
         if any(n.mapping == "collection" for n in nested) and not spec.get("key"):
             raise NoteError(f"{name}: a collection needs the key of its parent")
@@ -99,15 +105,16 @@ class Query:
         """``orders.by_customer`` is the file orders/by_customer.sql."""
         return Query.parse(name, (directory / f"{name.replace('.', '/')}.sql").read_text())
 
-    def arguments(self, args: dict[str, Any]) -> dict[str, Any]:
+    def arguments(self, args: dict[str, Any], spark: SparkSession | None = None) -> dict[str, Any]:
         missing, unknown = sorted(set(self.params) - set(args)), sorted(set(args) - set(self.params))
         if missing or unknown:
             raise TypeError(f"{self.name}: missing {missing}, unknown {unknown}")
-        return {p: bind(args[p], kind, p) for p, kind in self.params.items()}
+        kinds = {p: column_type(spark, kind) if spark else kind for p, kind in self.params.items()}
+        return {p: bind(args[p], kind, p) for p, kind in kinds.items()}
 
     def flat(self, spark: SparkSession, **args: Any) -> DataFrame:
         """The joined rows."""
-        return check_labels(spark.sql(self.sql, args=self.arguments(args)) if self.params else spark.sql(self.sql))
+        return check_labels(spark.sql(self.sql, args=self.arguments(args, spark)) if self.params else spark.sql(self.sql))
 
     def run(self, spark: SparkSession, **args: Any) -> DataFrame:
         """The result, nested if the note says so."""

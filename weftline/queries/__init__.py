@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.queries import aggregates, functions, nested, relational, synchronise, writes
+from weftline.queries import aggregates, functions, lineages, nested, relational, synchronise, writes
 from weftline.queries.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "aggregates", "functions", "nested", "relational", "synchronise", "writes"]
+__all__ = ["ORACLES", "QUERIES", "aggregates", "functions", "lineages", "nested", "relational", "synchronise", "writes"]
