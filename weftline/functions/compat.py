@@ -61,6 +61,11 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def count_big(x: Column | None = None) -> Column:
+    """COUNT_BIG: a count under another name, never null."""
+    return F.count(F.lit(1) if x is None else x)
+
+
 def total(x: Column) -> Column:
     """Sum as a double; 0.0 of nothing."""
     return F.coalesce(F.sum(x.cast("double")), F.lit(0.0))

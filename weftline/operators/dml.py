@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.operators.ordinals import settled
 
@@ -39,6 +41,23 @@ def _complete(table: DataFrame, rows: DataFrame, defaults: dict[str, Column]) ->
     return rows.select(*[v.cast(kinds[c]).alias(c) for c, v in values.items()])
 
 
+def values(table: DataFrame, rows: list[dict[str, Any]]) -> DataFrame:
+    """Given values as rows with the types of the table's columns, in any case; all rows name the same columns."""
+    fields = {f.name.lower(): f for f in table.schema}
+    names = {n.lower() for n in rows[0]} if rows else set()
+    unknown = sorted(names - set(fields))
+    if unknown or any({n.lower() for n in r} != names for r in rows):
+        raise ValueError(f"{', '.join(unknown)} are no columns of the table" if unknown else "rows name different columns")
+    kinds = T.StructType([T.StructField(f.name, f.dataType) for n, f in fields.items() if n in names])
+
+    def typed(f: T.StructField, v: Any) -> Any:
+        whole = isinstance(f.dataType, (T.DoubleType, T.FloatType)) and isinstance(v, int) and not isinstance(v, bool)
+        return float(v) if whole else v
+
+    by_name = [{n.lower(): v for n, v in r.items()} for r in rows]
+    return table.sparkSession.createDataFrame([tuple(typed(f, r[f.name.lower()]) for f in kinds) for r in by_name], kinds)
+
+
 def insert(table: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> Changed:
     """INSERT of values or of a query's rows."""
     new = _complete(table, rows, defaults or {})

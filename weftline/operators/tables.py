@@ -88,8 +88,13 @@ def migrate(tables: Tables, version: int, steps: dict[str, Callable[[Tables], Ta
     return tables, max(latest, version)
 
 
-def save_version(tables: Tables, path: str, version: int) -> None:
-    """Writes all tables of a version beside earlier ones; readers name the version they want."""
+def save_version(tables: Tables, path: str, version: int, guard: Callable[[], None] | None = None) -> None:
+    """Writes all tables of a version beside earlier ones; readers name the version they want.
+
+    ``guard`` is asked first and may refuse (``changes.guard_write`` while a synchronisation step is open).
+    """
+    if guard is not None:
+        guard()
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/v{version}/{name}")
 

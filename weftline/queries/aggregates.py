@@ -59,3 +59,8 @@ def g5_json_groups(spark, t):
 def g11_ordered_lists(spark, t):
     pairs = F.sort_array(F.collect_list(F.struct("o_orderdate", "o_orderkey")))
     return t["orders"].groupBy("o_custkey").agg(pairs.alias("p")).select("o_custkey", F.size("p").alias("n"), F.array_join(F.col("p.o_orderkey").cast("array<string>"), ",").alias("keys"))
+
+
+@query("g6_count_big", "SELECT o_orderstatus, count(*) AS n, count(CASE WHEN o_totalprice > 300000 THEN 1 END) AS n_large FROM orders GROUP BY o_orderstatus")
+def g6_count_big(spark, t):
+    return t["orders"].groupBy("o_orderstatus").agg(compat.count_big().alias("n"), compat.count_big(F.when(F.col("o_totalprice") > 300000, 1)).alias("n_large"))

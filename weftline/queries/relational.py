@@ -67,6 +67,10 @@ sql_query(
     "SELECT coalesce(a.c_nationkey, b.s_nationkey) AS nation, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY c_nationkey) a"
     " FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) b ON a.c_nationkey = b.s_nationkey",
 )
+sql_query("j8_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_regionkey <> r_regionkey")
+sql_query("j8_using", "SELECT nation, c_custkey, s_suppkey FROM (SELECT c_nationkey AS nation, c_custkey FROM customer WHERE c_acctbal > 9000) c JOIN (SELECT s_nationkey AS nation, s_suppkey FROM supplier WHERE s_acctbal > 9000) s USING (nation)")
+sql_query("j8_natural", "SELECT * FROM (SELECT n_nationkey AS nation, n_name, n_regionkey AS region FROM nation) n NATURAL JOIN (SELECT r_regionkey AS region, r_name FROM region) r")
+sql_query("j8_right", "SELECT n_name, c.c_custkey, c.c_acctbal FROM (SELECT * FROM customer WHERE c_acctbal > 9500) c RIGHT JOIN nation ON n_nationkey = c.c_nationkey")
 sql_query("j9_range", "SELECT r.r_name, n.n_name FROM region r JOIN nation n ON n.n_nationkey >= r.r_regionkey * 5 AND n.n_nationkey < r.r_regionkey * 5 + 7")
 sql_query("o1_order", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey")
 sql_query("o7_union", "SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey AS nation FROM supplier")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftline.operators import changes
 from weftline.operators.ordinals import check_contiguous, settled
 from weftline.queries.registry import QUERIES, ORACLES, query
+from weftline.sources import wire
 from weftline.streaming.reactive import follow
 
 # Events as a change log of users: an error deletes the user's row, a sign-up of an odd event moves it to a new key.
@@ -293,3 +294,30 @@ def y23_counts(spark, t):
     live = state.filter("deleted = 0").withColumn("payload", F.lit("old"))
     _, new_state, new_dirty = changes.pull(live, state, dirty, _bundles(t))
     return changes.round_counts((state, dirty), (new_state, new_dirty))
+
+
+@query(
+    "y18_strict_decode",
+    """SELECT event_id, CASE event_id % 10 WHEN 2 THEN 'duplicate member' WHEN 3 THEN 'row_version is no long' WHEN 4 THEN 'row_version is no long' WHEN 5 THEN 'unknown member'
+WHEN 6 THEN 'missing member' WHEN 7 THEN 'duplicate member' WHEN 8 THEN 'too deep' WHEN 9 THEN 'key is no strings' END AS problem,
+CASE WHEN event_id % 10 < 2 THEN event_id END AS row_version, CASE WHEN event_id % 10 < 2 THEN 'e' || event_id END AS key_id,
+CASE WHEN event_id % 10 < 2 THEN CAST(json_extract_string(props, '$.k') AS bigint) END AS k FROM events""",
+)
+def y18_strict_decode(spark, t):
+    """All events as change rows, each of ten wrong or right in its own way."""
+    parts = {
+        2: '{"schema":"main","table":"events","key":{"id":"e%d"},"row_version":%d,"payload":%s,"table":"events"}',
+        3: '{"schema":"main","table":"events","key":{"id":"e%d"},"row_version":%d.0,"payload":%s}',
+        4: '{"schema":"main","table":"events","key":{"id":"e%d"},"row_version":%d00000000000000000000,"payload":%s}',
+        5: '{"schema":"main","table":"events","key":{"id":"e%d"},"row_version":%d,"payload":%s,"more":null}',
+        6: '{"schema":"main","table":"events","key":{"id":"e%d"},"row_version":%d}',
+        7: '{"schema":"main","table":"events","key":{"id":"e%d"},"row_version":%d,"payload":{"a":%s,"b":[{"x":1,"x":1}]}}',
+        8: '{"schema":"main","table":"events","key":{"id":"e%d"},"row_version":%d,"payload":{"a":' + "[" * 127 + "%s" + "]" * 127 + "}}",
+        9: '{"schema":"main","table":"events","key":{"id":%d},"row_version":%d,"payload":%s}',
+    }
+    text = F.format_string('{"schema":"main","table":"events","key":{"id":"e%d"},"row_version":%d,"payload":%s}', "event_id", "event_id", "props")
+    for case, pattern in parts.items():
+        columns = ["event_id", "event_id", "props"] if case != 6 else ["event_id", "event_id"]
+        text = F.when(F.col("event_id") % 10 == case, F.format_string(pattern, *columns)).otherwise(text)
+    found = wire.decode(t["events"].select("event_id", text.alias("text")))
+    return found.select("event_id", "problem", "row.row_version", F.col("row.key")["id"].alias("key_id"), F.get_json_object("row.payload", "$.k").cast("long").alias("k"))

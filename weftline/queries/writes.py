@@ -128,3 +128,17 @@ def u11_migrations(spark, t):
     tables, version = migrate({"region": t["region"]}, 1, {"0003_created": created, "0002": nickname, "0001_start": never})
     assert version == 3
     return tables["region"]
+
+
+@query(
+    "s7_seed_rows",
+    "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 90, 'NORTH' UNION ALL SELECT 91, NULL",
+)
+def s7_seed_rows(spark, t):
+    """A fresh start takes the seed rows, with the types of their table, and no step; a later start would not."""
+    seeds = [{"R_REGIONKEY": 90, "r_name": "NORTH"}, {"r_regionkey": 91, "R_NAME": None}]
+    base = t["region"].select("r_regionkey", "r_name")
+    fresh = lambda: {"region": dml.insert(base, dml.values(base, seeds)).table}
+    tables, version = migrate({"region": base}, -1, {"0001_none": lambda ts: {"region": ts["region"].limit(0)}}, fresh)
+    again, _ = migrate(tables, version, {"0001_none": lambda ts: {"region": ts["region"].limit(0)}}, fresh)
+    return again["region"]
