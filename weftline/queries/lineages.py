@@ -71,7 +71,7 @@ def m10_alias_assignment(spark, t):
 
 @query(
     "j4_grouping_from_joins",
-    """WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || CAST(CAST(l_quantity AS bigint) AS varchar), ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY 1)
+    """WITH l AS (SELECT l_orderkey, string_agg(l_linenumber || ':' || l_partkey || ':' || CAST(CAST(l_quantity AS bigint) AS varchar), ',' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS lines FROM lineitem GROUP BY 1)
 SELECT c_custkey, c_name, coalesce(string_agg(o_orderkey || o_orderstatus || '[' || coalesce(lines, '') || ']', ';' ORDER BY o_orderkey), '') AS orders
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN l ON l_orderkey = o_orderkey GROUP BY 1, 2""",
 )
@@ -82,7 +82,7 @@ def j4_grouping_from_joins(spark, t):
     l = tagged(t["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "l")  # noqa: E741
     joined = attach(attach(c, o, {"c_custkey": "o_custkey"}), l, {"o_orderkey": "l_orderkey"}).drop("o_custkey", "l_orderkey")
     fields = [{"name": "orders", "mapping": "collection", "source": "o", "children": [{"name": "lines", "mapping": "collection", "source": "l"}]}]
-    found = nest_noted(joined, fields, [F.col(x) for x in ("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], sort=False)
+    found = nest_noted(joined, fields, [F.col(x) for x in ("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")], sort=False)
     line = lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"), x["l_quantity"].cast("long").cast("string"))
     order = lambda x: F.concat(x["o_orderkey"].cast("string"), x["o_orderstatus"], F.lit("["), F.array_join(F.transform(x["lines"], line), ","), F.lit("]"))
     return found.select("c_custkey", "c_name", F.array_join(F.transform("orders", order), ";").alias("orders"))
