@@ -8,8 +8,10 @@ again.
 
 Pre-tokens are words with the space before them, split further between characters that never stand side by
 side in a piece.  Each distinct word is counted once and remembered, within a bound.  A character that no piece
-covers counts as its UTF-8 bytes (byte fallback).  Sequences of more than ``LONG`` symbols, which hardly occur,
-go through a heap, as rounds would make them quadratic.
+covers counts as its UTF-8 bytes (byte fallback).  In sequences of more than ``LONG`` symbols a round takes all
+places of the best pair at once, not the leftmost alone, and touches no others, so rounds are as many as the
+different pairs that merge.  Where a merge makes a pair that ranks before its own, that one goes first, and the
+places behind it wait.
 
 Defined cases: a null text counts as empty, an empty text has no tokens; repeated rows count alike; an empty
 table gives no rows; other columns are ignored, but for the ids that are asked for.
@@ -59,7 +61,6 @@ class Merges:
         for text, i in ids.items():
             if len(text) == 1:
                 self.symbol[ord(text)] = i
-        self.pairs = pairs
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, which is also the symbol it becomes."""
@@ -92,12 +93,10 @@ class Merges:
         symbol, word, last, width = symbol[rest], word[rest], last[rest], width[rest]
         first = np.flatnonzero(np.concatenate(([True], last[:-1]))) if len(last) else np.zeros(0, np.int64)
         size = np.diff(np.concatenate((first, [len(symbol)])))
-        for k in np.flatnonzero(size > LONG).tolist():
-            part = slice(first[k], first[k] + size[k])
-            total[word[first[k]]] += self._heap(symbol[part].tolist(), width[part].tolist())
         if (size > LONG).any():
-            keep = np.repeat(size <= LONG, size)
-            symbol, word, last, width = symbol[keep], word[keep], last[keep], width[keep]
+            long = np.repeat(size > LONG, size)
+            self._ranks(symbol[long], word[long], last[long], width[long], total)
+            symbol, word, last, width = symbol[~long], word[~long], last[~long], width[~long]
         self._rounds(symbol, word, last, width, total)
         return total
 
@@ -137,32 +136,58 @@ class Merges:
             before = before[~last[before]]
             rank[before] = self.rank(symbol[before], symbol[before + 1])
 
-    def _heap(self, symbol: list[int], width: list[int]) -> int:
-        """One long sequence, in n log n."""
+    def _ranks(self, symbol, word, last, width, total) -> None:
+        """Rank after rank, each at all of its places in all sequences; the arrays keep their length and are linked."""
         n = len(symbol)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        queue: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j >= 0 and symbol[i] >= 0 and symbol[j] >= 0 and (r := self.pairs.get((symbol[i] << 24) | symbol[j])) is not None:
-                heapq.heappush(queue, (r, i, symbol[i], symbol[j]))
-
-        for i in range(n - 1):
-            offer(i)
-        gone = [False] * n
-        while queue:
-            r, i, a, b = heapq.heappop(queue)
-            j = after[i]
-            if gone[i] or j < 0 or symbol[i] != a or symbol[j] != b:
+        after, before = np.arange(1, n + 1), np.arange(-1, n)
+        rank, left = np.full(n, _NONE), np.ones(n, bool)
+        ranks: list[int] = []
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def offer(places: np.ndarray) -> None:
+            places = places[~last[places]]
+            rank[places] = self.rank(symbol[places], symbol[after[places]])
+            places = places[rank[places] != _NONE]
+            places = places[np.argsort(rank[places], kind="stable")]
+            found, starts = np.unique(rank[places], return_index=True)
+            for r, part in zip(found.tolist(), np.split(places, starts[1:])):
+                if r not in waiting:
+                    heapq.heappush(ranks, r)
+                waiting.setdefault(r, []).append(part)
+
+        offer(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            place = np.unique(np.concatenate(waiting.pop(r)))
+            place = place[rank[place] == r]
+            if not len(place):
                 continue
-            symbol[i], gone[j], after[i] = r, True, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return sum((1 if 0 <= s < self.known else w) for s, w, g in zip(symbol, width, gone) if not g)
+            every = place
+            # of places one behind another every second: a merge uses up the symbol after it
+            k = np.arange(len(place))
+            follows = np.concatenate(([False], after[place[:-1]] == place[1:]))
+            place = place[(k - np.maximum.accumulate(np.where(follows, 0, k))) % 2 == 0]
+            used, prior = after[place], before[place]
+            same, behind = np.full(len(place), r), np.minimum(after[used], n - 1)
+            merged = np.concatenate(([False], prior[1:] == used[:-1]))
+            leftward = np.where(last[prior], _NONE, self.rank(np.where(merged, r, symbol[prior]), same))
+            rightward = np.where(last[used], _NONE, self.rank(same, symbol[behind]))
+            sooner = np.minimum(leftward, rightward) < r
+            if sooner.any():
+                # in each word up to the first place whose merge makes a better pair
+                gone = np.cumsum(sooner) - sooner
+                start = np.maximum.accumulate(np.where(np.concatenate(([True], word[place[1:]] != word[place[:-1]])), k[: len(place)], 0))
+                fits = gone == gone[start]
+                place, used = place[fits], used[fits]
+                waiting[r] = [every]
+                heapq.heappush(ranks, r)
+            symbol[place], last[place], left[used], rank[used] = r, last[used], False, _NONE
+            after[place] = after[used]
+            before[after[place]] = place
+            rank[place] = _NONE
+            offer(np.union1d(place, before[place][before[place] >= 0]))
+        weight = np.where((symbol >= 0) & (symbol < self.known), 1, width)
+        np.add.at(total, word[left], weight[left])
 
 
 class Counter:
