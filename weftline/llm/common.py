@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the contracts: space, and tab to carriage return.
-SPACE_CHARS = " \t\n\x0b\f\r"
+#: Words of the contracts: between them lie space, and tab to carriage return.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 #: A side may be broadcast if it measures at most this much.

@@ -3,7 +3,8 @@
 Every rule is a boolean expression that is true where a text must go.  On a bounded sample the operator
 measures what each rule costs and how many texts it rejects, orders the rules by rejections per second and
 puts them into one CASE expression: later (costly) rules run only for texts that no earlier rule rejected.
-The order changes the time and never the verdict, as a text is kept if no rule rejects it.
+The order changes the time and never the verdict, as a text is kept if no rule rejects it.  Where the counts
+of a text are wanted anyway, the rules read them and count nothing again.
 
 Defined cases: a null or empty text has no words and fails ``too_short``; repeated rows each get their own
 verdict; an empty table gives no rows; extra columns pass through, and the names of result columns replace
@@ -19,22 +20,37 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE_CHARS, WORD_RE, let
+from weftline.llm.common import WORD_RE, let
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = r"[#*$%&|<>]"
 #: Rows of the sample on which costs and selectivities are measured.
 SAMPLE_ROWS = 500
 #: Longer texts are left out of the sample (and of nothing else), so that it stays small.
 SAMPLE_TEXT_BYTES = 100_000
 WINDOW = 3
+#: What lies between words.
+SPACE_RE = r"[\x20\x09-\x0D]+"
+
+
+@dataclass(frozen=True)
+class Facts:
+    """What a rule sees: a text (never null), the array of its words, and its counts if they are there already."""
+
+    text: Column
+    words: Column
+    counted: Column | None = None
+
+    def __getitem__(self, name: str) -> Column:
+        """A count by its name in ``COUNTS``; ``counted`` is a struct of those in ``REPORTED``."""
+        return COUNTS[name](self.text, self.words) if self.counted is None or name not in REPORTED else self.counted[name]
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` maps a text (never null) and the array of its words to a boolean column."""
+    """``rejects`` maps the facts of a text to a boolean column."""
 
     name: str
-    rejects: Callable[[Column, Column], Column]
+    rejects: Callable[[Facts], Column]
 
 
 @dataclass(frozen=True)
@@ -53,32 +69,37 @@ def n_words(text: Column, words: Column) -> Column:
 
 
 def word_chars(text: Column, words: Column) -> Column:
-    return F.length(F.translate(text, SPACE_CHARS, "")).cast("long")
+    return F.length(F.array_join(words, "")).cast("long")
 
 
 def n_symbols(text: Column, words: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return F.regexp_count(text, F.lit(SYMBOLS)).cast("long")
 
 
 def _worded_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD_RE))
 
 
+def n_lines(text: Column, words: Column) -> Column:
+    """Lines with a word: each is matched once, from its first word to its end."""
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long")
+
+
 def n_dup_lines(text: Column, words: Column) -> Column:
-    return let(_worded_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    distinct = let(_worded_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
+    return F.when(F.contains(text, F.lit("\n")), distinct).otherwise(F.lit(0)).cast("long")
 
 
 def n_repeat_words(text: Column, words: Column) -> Column:
     """Words inside windows of three words that occur at least twice in the text.
 
-    Windows are hashed and sorted with their positions, so that equal ones become neighbours; the covered
-    words follow from the sorted positions.  Time is n log n in the words of a text, whatever repeats.
+    Windows are hashed.  Only where hashes repeat are they sorted with their positions, so that equal ones become
+    neighbours; the covered words follow from the sorted positions.  Time is n log n in the words of a text,
+    whatever repeats.
     """
     count = F.size(words)
-    hashes = F.transform(
-        F.slice(words, F.lit(1), F.greatest(count - (WINDOW - 1), F.lit(0))),
-        lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-    )
+    windows = F.slice(words, F.lit(1), F.greatest(count - (WINDOW - 1), F.lit(0)))
+    hashes = F.transform(windows, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(placed: Column) -> Column:
         again = F.filter(
@@ -93,41 +114,50 @@ def n_repeat_words(text: Column, words: Column) -> Column:
             lambda acc: acc["n"],
         )
 
-    return F.when(count > WINDOW, let(F.sort_array(hashes), covered)).otherwise(F.lit(0)).cast("long")
+    def repeated(hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(placed, covered)).otherwise(F.lit(0))
+
+    return F.when(count > WINDOW, let(hashes, repeated)).otherwise(F.lit(0)).cast("long")
 
 
-COUNTS = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+def _matched(text: Column, kind: str) -> Column:
+    return (F.length(text) - F.length(F.regexp_replace(text, rf"\p{{{kind}}}+", ""))).cast("long")
 
 
-def _letters(text: Column, kind: str) -> Column:
-    return F.length(F.regexp_replace(text, rf"[^\p{{{kind}}}]+", ""))
+def n_letters(text: Column, words: Column) -> Column:
+    return _matched(text, "L")
+
+
+def n_capitals(text: Column, words: Column) -> Column:
+    return _matched(text, "Lu")
+
+
+REPORTED = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+COUNTS = REPORTED | {"n_lines": n_lines, "n_letters": n_letters, "n_capitals": n_capitals}
 
 
 def base_rules() -> list[Rule]:
     """The two rules that every text must pass."""
     return [
-        Rule("too_short", lambda t, w: n_words(t, w) < 50),
-        Rule("repeats_itself", lambda t, w: 100 * n_repeat_words(t, w) > 50 * n_words(t, w)),
+        Rule("too_short", lambda x: x["n_words"] < 50),
+        Rule("repeats_itself", lambda x: 100 * x["n_repeat_words"] > 50 * x["n_words"]),
     ]
 
 
 def default_rules() -> list[Rule]:
     """Lenient limits: a rule rejects only what no prose comes near."""
-
-    def duplicate_lines(t: Column, w: Column) -> Column:
-        return let(_worded_lines(t), lambda lines: (F.size(lines) >= 4) & (10 * (F.size(lines) - F.size(F.array_distinct(lines))) > 3 * F.size(lines)))
-
     return [
-        Rule("symbols", lambda t, w: 5 * n_symbols(t, w) > n_words(t, w)),
-        Rule("duplicate_lines", duplicate_lines),
-        Rule("word_length", lambda t, w: let(word_chars(t, w), lambda n: (n < 2 * F.size(w)) | (n > 15 * F.size(w)))),
-        Rule("few_letters", lambda t, w: 2 * _letters(t, "L") < word_chars(t, w)),
-        Rule("capitals", lambda t, w: 2 * _letters(t, "Lu") > _letters(t, "L")),
+        Rule("symbols", lambda x: 5 * x["n_symbols"] > x["n_words"]),
+        Rule("duplicate_lines", lambda x: (x["n_lines"] >= 4) & (10 * x["n_dup_lines"] > 3 * x["n_lines"])),
+        Rule("word_length", lambda x: let(x["word_chars"], lambda n: (n < 2 * x["n_words"]) | (n > 15 * x["n_words"]))),
+        Rule("few_letters", lambda x: 2 * x["n_letters"] < x["word_chars"]),
+        Rule("capitals", lambda x: 2 * x["n_capitals"] > x["n_letters"]),
     ]
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD_RE), F.lit(0))
+    return F.array_remove(F.split(text, SPACE_RE), "")
 
 
 def measure(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[Measured]:
@@ -143,18 +173,18 @@ def measure(docs: DataFrame, rules: list[Rule], text_col: str = "text", rows: in
         found = []
         for rule in rules:
             began = time.perf_counter()
-            rejected = sample.filter(rule.rejects(F.col("t"), F.col("w"))).count()
+            rejected = sample.filter(rule.rejects(Facts(F.col("t"), F.col("w")))).count()
             found.append(Measured(rule, time.perf_counter() - began, rejected / max(total, 1)))
     finally:
         sample.unpersist()
     return sorted(found, key=lambda m: (-m.worth, m.seconds))
 
 
-def cascade(ordered: list[Rule], text: Column, words: Column) -> Column:
+def cascade(ordered: list[Rule], facts: Facts) -> Column:
     """Name of the first rule that rejects the text, else null; branches after it are not evaluated."""
     out = F.lit(None).cast("string")
     for rule in reversed(ordered):
-        out = F.when(F.coalesce(rule.rejects(text, words), F.lit(False)), F.lit(rule.name)).otherwise(out)
+        out = F.when(F.coalesce(rule.rejects(facts), F.lit(False)), F.lit(rule.name)).otherwise(out)
     return out
 
 
@@ -163,7 +193,7 @@ def apply_rules(docs: DataFrame, rules: list[Rule] | None = None, text_col: str
     rules = base_rules() + default_rules() if rules is None else rules
     ordered = [m.rule for m in measure(docs, rules, text_col, sample_rows)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.filter(let(_words(text), lambda words: cascade(ordered, text, words)).isNull())
+    return docs.filter(let(_words(text), lambda words: cascade(ordered, Facts(text, words))).isNull())
 
 
 def rule_report(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -172,11 +202,14 @@ def rule_report(docs: DataFrame, text_col: str = "text", sample_rows: int = SAMP
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def judged(words: Column) -> Column:
-        counts = F.struct(*[count(text, words).alias(name) for name, count in COUNTS.items()])
-        failed = lambda c: (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
-        kept = lambda c: F.when(failed(c), F.lit(False)).otherwise(cascade(ordered, text, words).isNull())
-        return let(counts, lambda c: F.struct(*[c[name].alias(name) for name in COUNTS], failed(c).alias("base_failed"), kept(c).alias("kept")))
+        counts = F.struct(*[count(text, words).alias(name) for name, count in REPORTED.items()])
+        return let(counts, lambda c: verdict(Facts(text, words, c)))
+
+    def verdict(facts: Facts) -> Column:
+        failed = (facts["n_words"] < 50) | (100 * facts["n_repeat_words"] > 50 * facts["n_words"])
+        kept = F.when(failed, F.lit(False)).otherwise(cascade(ordered, facts).isNull())
+        return F.struct(*[facts[name].alias(name) for name in REPORTED], failed.alias("base_failed"), kept.alias("kept"))
 
-    results = [*COUNTS, "base_failed", "kept"]
+    results = [*REPORTED, "base_failed", "kept"]
     passed = [c for c in docs.columns if c.lower() not in results]
     return docs.withColumn("__judged", let(_words(text), judged)).select(*passed, *[F.col(f"__judged.{name}").alias(name) for name in results])
