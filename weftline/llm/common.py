@@ -17,11 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a warehouse folder only where it names none."""
+    """The folder that the cluster names for checkpoints; a warehouse folder only where it names none (on a cluster a local one is an error)."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if named.startswith(("file:", "/")) and not context.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
