@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, html_text, language_id, mixing, pii, quality_model, quality_rules, repeats, simhash, token_counts
+from weftline.llm import byte_pairs, decontaminate, html_text, language_id, mixing, pii, quality_model, quality_rules, repeats, simhash, token_counts
 from weftline.llm.common import crc_mod, table
 
 
@@ -73,6 +73,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coder = byte_pairs.Coder(byte_pairs.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    ids = byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), coder).drop("text")
+    return byte_pairs.decode(ids, coder).select(
+        "doc_id",
+        F.size(byte_pairs.ids_array(F.col("ids"))).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -84,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_byte_pairs": op11_byte_pairs,
 }
