@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_pairs, decontaminate, html_text, language_id, mixing, pii, quality_model, quality_rules, repeats, simhash, token_counts
+from weftline.llm import byte_pairs, decontaminate, html_text, language_id, mixing, pii, quality_model, quality_rules, repeats, simhash, token_alignment, token_counts
 from weftline.llm.common import crc_mod, table
 
 
@@ -86,6 +86,16 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    aligned = token_alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("groups", 256))
+    found = token_alignment.with_counts(aligned.withColumn("groups_sha256", digest).drop("groups"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -98,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
     "op11_byte_pairs": op11_byte_pairs,
+    "op12_token_alignment": op12_token_alignment,
 }
