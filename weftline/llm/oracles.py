@@ -57,4 +57,26 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN c USING (rid) LEFT JOIN e USING (rid)
 """
 
-ORACLES = {"op7_decontaminate": OP7, "op8_mix_sources": OP8, "op10_quality_rules": OP10}
+# crc32 is written out over the digits of an id
+CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))), lambda a, x: list_reduce(list_prepend(xor(a, x), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
+
+OP13 = rf"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, CAST({CRC} % 4 AS BIGINT) AS h FROM (SELECT DISTINCT c FROM t)),
+f AS (SELECT k.c, t.j, t.role, t.text, 0 AS own FROM k JOIN t ON t.c = k.c - k.c % 20 AND t.j <= k.h
+      UNION ALL SELECT t.c, t.j, t.role, t.text, 1 AS own FROM k JOIN t ON t.c = k.c AND t.j > k.h),
+r AS (SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY own, j) AS d FROM f),
+p AS (SELECT c, d, text, list({{'r': role, 't': text}}) OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS s FROM r
+      UNION ALL SELECT c, 0, '', [] FROM k),
+q AS (SELECT c, d, text, sha256(CAST(to_json(s) AS VARCHAR)) AS s, max(d) OVER (PARTITION BY c) AS l FROM p),
+n AS (SELECT s, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * len(regexp_extract_all(any_value(text), '{W}')) AS saved,
+      sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE l = d), '')) AS ends_sha256 FROM q GROUP BY s, d),
+m AS (SELECT n.*, u.s AS up, v.conv_id AS parent_conv_id FROM n LEFT JOIN q w ON w.c = n.conv_id AND w.d = n.d - 1 LEFT JOIN q u ON u.c = w.c AND u.d = w.d LEFT JOIN n v ON v.s = u.s AND v.d = u.d),
+g AS (SELECT m.*, coalesce(b.x, 0) AS n_children FROM m LEFT JOIN (SELECT up, d - 1 AS d, count(*) AS x FROM m WHERE up IS NOT NULL GROUP BY ALL) b ON b.up = m.s AND b.d = m.d),
+a AS (SELECT DISTINCT x.s AS top, x.d AS top_d, y.s, y.d FROM q x JOIN q y ON y.c = x.c AND y.d >= x.d),
+z AS (SELECT a.top, a.top_d, CAST(sum(g.saved) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE g.n_children = 0) AS n_leaves FROM a JOIN g ON g.s = a.s AND g.d = a.d GROUP BY ALL)
+SELECT g.conv_id, g.d AS depth, g.parent_conv_id, g.n_convs, g.n_children, z.n_leaves, z.saved_tokens, g.ends_sha256 FROM g JOIN z ON z.top = g.s AND z.top_d = g.d
+"""
+
+ORACLES = {"op7_decontaminate": OP7, "op8_mix_sources": OP8, "op10_quality_rules": OP10, "op13_conversation_trie": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import byte_pairs, decontaminate, html_text, language_id, mixing, pii, quality_model, quality_rules, repeats, simhash, token_alignment, token_counts
+from weftline.llm import byte_pairs, conversation_trie, decontaminate, html_text, language_id, mixing, pii, quality_model, quality_rules, repeats, simhash, token_alignment, token_counts
 from weftline.llm.common import crc_mod, table
 
 
@@ -96,6 +96,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_bytes": op1_repeated_bytes,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -109,4 +113,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_byte_pairs": op11_byte_pairs,
     "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_trie": op13_conversation_trie,
 }
