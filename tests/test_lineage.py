@@ -18,7 +18,7 @@ def test_notes_travel_through_views_joins_and_names(spark, joined):
     attach(people, packages, {"id": "person_id"}).createOrReplaceTempView("lineage_view")
     found = spark.sql("SELECT v.name AS who, upper(v.name) AS loud, v.pkg_id FROM (SELECT * FROM lineage_view WHERE id < 5) v JOIN lineage_view w ON v.id = w.id")
     assert [(o.field, o.source, o.column) for o in origins(found)] == [("who", "p", "name"), ("loud", "", "loud"), ("pkg_id", "pkg", "pkg_id")]
-    assert origins(found)[2].joined == (("p", "id"),)
+    assert origins(found)[2].joined == ((("p", "id"),),)
 
 
 def test_key_lookup(joined):

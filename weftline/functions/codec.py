@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ _UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 _INT64 = r"^(0|-?[1-9][0-9]*)$"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _or_fail(ok: Column, value: Column, message: str, kind: str) -> Column:
     return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
 
@@ -56,6 +62,16 @@ def local_blob(text: Column) -> Column:
     return F.when(text.isNotNull(), _or_fail(found.isNotNull(), found, "bytes must be hexadecimal, Base64 or UUID text", "binary"))
 
 
+def local_uuid(text: Column) -> Column:
+    """Sixteen bytes from UUID text in any case, canonical Base64 or hexadecimal, tried in this order."""
+    as_uuid = F.when(F.lower(text).rlike(_UUID), F.unhex(F.replace(text, F.lit("-"), F.lit(""))))
+    raw = F.try_to_binary(text, F.lit("base64"))
+    as_base64 = F.when(F.base64(raw) == text, raw)
+    as_hex = F.when(F.trim(text).rlike(r"^([0-9A-Fa-f]{2})*$"), F.unhex(F.trim(text)))
+    found = F.coalesce(as_uuid, as_base64, as_hex)
+    return F.when(text.isNotNull(), _or_fail(F.coalesce(F.octet_length(found) == 16, F.lit(False)), found, "a UUID is UUID, Base64 or hexadecimal text of 16 bytes", "binary"))
+
+
 def number_text(x: float) -> str:
     """Shortest decimal text of a finite binary64 number, as ECMAScript writes it."""
     if not math.isfinite(x):

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.codec import canonical, rows_hash, sha256_hex
+from weftline.functions.codec import bound, canonical, int64_text, local_blob, local_uuid, rows_hash, sha256_hex, wire_blob, wire_uuid
 from weftline.operators.ordinals import chunks, settled, with_ordinals
 
 KEY = ["schema_name", "table_name", "key_json"]
@@ -122,23 +122,87 @@ def verify_committed(frozen: DataFrame, committed: DataFrame) -> DataFrame:
     return a.crossJoin(b).withColumn("verified", (F.col("n_rows") == F.col("committed_rows")) & (F.col("request_hash") == F.col("committed_hash")))  # one row each
 
 
-def same_payload(a: Column, b: Column) -> Column:
-    """Equal content: members in any order, null equals null."""
-    parse = lambda c: F.sort_array(F.map_entries(F.from_json(c, "map<string,string>")))
-    return a.eqNullSafe(b) | F.coalesce(parse(a) == parse(b), F.lit(False))
+#: Kinds of columns in payloads.
+TEXT, INTEGER, REAL, BLOB, UUID = "text", "integer", "real", "blob", "uuid"
+_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 
 
-def replay_plan(uploaded: DataFrame, pending: DataFrame, live: DataFrame) -> DataFrame:
+def _member(payload: Column, name: str, kind: str, wire: bool) -> Column:
+    """The typed value of a member: null where it is JSON's null, an error where it does not fit its kind."""
+    found = F.coalesce(*[F.try_variant_get(payload, f"$['{n}']", "variant") for n in dict.fromkeys((name.lower(), name))])
+    spelled = F.struct(found.alias("value"), F.schema_of_variant(found).alias("held"), F.try_variant_get(found, "$", "string").alias("text"))
+    return bound(spelled, lambda m: F.when(m["held"] != "VOID", _typed(m["value"], m["held"], m["text"], name, kind, wire)))
+
+
+def _typed(value: Column, held: Column, text: Column, name: str, kind: str, wire: bool) -> Column:
+    def fit(ok: Column, found: Column, as_kind: str) -> Column:
+        return F.when(ok, found).otherwise(F.raise_error(F.concat(F.lit(f"{name} is no {kind}: "), F.coalesce(text, F.lit("?")))).cast(as_kind))
+
+    is_text = held == "STRING"
+    if kind == TEXT:
+        return fit(is_text, text, "string")
+    if kind == INTEGER:
+        whole = fit(is_text, int64_text(F.when(is_text, text)), "bigint")
+        return F.when(held == "BOOLEAN", F.when(text == "true", F.lit(1)).otherwise(F.lit(0)).cast("bigint")).otherwise(whole)
+    if kind == REAL:
+        number = text.try_cast("double")
+        ok = (is_text if wire else held != "BOOLEAN") & (~is_text | text.rlike(_NUMBER)) & (F.abs(number) < float("inf"))
+        return fit(F.coalesce(ok, F.lit(False)), number, "double")
+    if kind == BLOB:
+        return wire_blob(text) if wire else local_blob(text)
+    if kind == UUID:
+        return wire_uuid(text) if wire else local_uuid(text)
+    raise ValueError(f"{name}: unknown kind {kind}")
+
+
+def typed_payload(payload: Column, kinds: dict[str, str], wire: bool = False) -> Column:
+    """A payload as a struct of typed values, column by column; null unless it is a JSON object of exactly these columns.
+
+    On the wire, bytes are canonical Base64 or UUID text and numbers are JSON strings; in local payloads bytes may
+    be hexadecimal, Base64 or UUID text and reals may be JSON numbers.  Integers are canonical text, or true and false for 1 and
+    0.  A value that does not fit its kind is an error.  Members are named in lower case or as the column is.
+    """
+
+    def read(parsed: Column) -> Column:
+        def from_members(given: Column) -> Column:
+            whole = F.size(given) == len(kinds)
+            for name in kinds:
+                whole = whole & (F.array_contains(given, name.lower()) | F.array_contains(given, name))
+            # a member is looked at only where all are there
+            return F.when(whole, F.struct(*[_member(parsed, name, kind, wire).alias(name) for name, kind in kinds.items()]))
+
+        return bound(F.map_keys(F.try_variant_get(parsed, "$", "map<string,variant>")), from_members)
+
+    return bound(F.try_parse_json(payload), read)
+
+
+def same_payload(a: Column, b: Column, kinds: dict[str, str] | None = None, wire: tuple[bool, bool] = (False, False)) -> Column:
+    """Equal content; null equals null only.
+
+    With ``kinds`` both are decoded (``typed_payload``; ``wire`` says which come from the wire) and compared column by
+    column: numbers by value, bytes by what they are, however spelled.  Without, both must be the same JSON: members in
+    any order at every depth, a number is never a text.
+    """
+    if kinds is None:
+        same = F.to_json(F.try_parse_json(a)) == F.to_json(F.try_parse_json(b))
+        return a.eqNullSafe(b) | F.coalesce(same, F.lit(False))
+    both = F.struct(typed_payload(a, kinds, wire[0]).alias("a"), typed_payload(b, kinds, wire[1]).alias("b"))
+    same = bound(both, lambda x: x["a"].isNotNull() & x["b"].isNotNull() & x["a"].eqNullSafe(x["b"]))
+    return F.when(a.isNotNull() & b.isNotNull(), same).otherwise(a.isNull() & b.isNull())
+
+
+def replay_plan(uploaded: DataFrame, pending: DataFrame, live: DataFrame, kinds: dict[str, str] | None = None, wire: bool = False) -> DataFrame:
     """What happens to each uploaded row once the server has committed it: (KEY, action, requeue_op, requeue_payload).
 
     If the row changed locally meanwhile, the local state is kept and queued again, else the server's is taken.
+    Payloads are compared as ``same_payload`` does; ``wire`` says that the uploaded ones are spelled for the wire.
     """
     now = live.select(*KEY, F.col("payload").alias("live_payload"))
     waiting = pending.select(*KEY, F.col("op").alias("pending_op"), F.col("payload").alias("pending_payload"))
     joined = uploaded.join(waiting, KEY, "left").join(now, KEY, "left")
     there = F.col("live_payload").isNotNull()
-    pending_differs = F.col("pending_op").isNotNull() & ~((F.col("pending_op") == F.col("op")) & same_payload(F.col("pending_payload"), F.col("payload")))
-    live_differs = ~same_payload(F.col("live_payload"), F.col("payload"))
+    pending_differs = F.col("pending_op").isNotNull() & ~((F.col("pending_op") == F.col("op")) & same_payload(F.col("pending_payload"), F.col("payload"), kinds, (False, wire)))
+    live_differs = ~same_payload(F.col("live_payload"), F.col("payload"), kinds, (False, wire))
     requeue = F.when(F.col("op") == "DELETE", F.when(there, "INSERT")).when(~there, "DELETE").when(pending_differs | live_differs, "UPDATE")
     planned = joined.withColumn("requeue_op", requeue)
     payload = F.when(F.col("requeue_op").isin("INSERT", "UPDATE"), F.col("live_payload"))
@@ -297,8 +361,9 @@ def sync_round(live: DataFrame, row_state: DataFrame, dirty: DataFrame, table_or
 
 def latest_rows(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key of a log."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(o).desc() for o in order])
-    return log.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    rest = [c for c in log.columns if c not in keys]
+    last = log.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last"))
+    return last.select(*[F.col(c) if c in keys else F.col("__last")[c].alias(c) for c in log.columns])
 
 
 def key_hash() -> Column:

@@ -11,6 +11,7 @@ made by ``attach``, what to group by.  Nothing here runs a job.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
@@ -38,12 +39,12 @@ def only(given: Mapping[str, Any], allowed: set[str], where: str) -> None:
 
 @dataclass(frozen=True)
 class Origin:
-    """A result column, the source it comes from (empty for a computed one) and the columns its source is joined to."""
+    """A result column, the source it comes from (empty for a computed one) and, join by join, the columns its source is joined to."""
 
     field: str
     source: str
     column: str
-    joined: tuple[tuple[str, str], ...]
+    joined: tuple[tuple[tuple[str, str], ...], ...]
     notes: dict[str, Any]
 
     def is_from(self, source: str) -> bool:
@@ -57,7 +58,7 @@ def origins(df: DataFrame) -> list[Origin]:
     out = []
     for f in df.schema:
         m = (f.metadata or {}).get(META, {})
-        out.append(Origin(f.name, m.get("source", ""), m.get("column", f.name), tuple(tuple(j.split(".", 1)) for j in m.get("joined", [])), m.get("notes", {})))
+        out.append(Origin(f.name, m.get("source", ""), m.get("column", f.name), tuple(tuple((at, column) for at, column in json.loads(j)) for j in m.get("joined", [])), m.get("notes", {})))
     return out
 
 
@@ -69,7 +70,7 @@ def merged(low: Mapping[str, Any], high: Mapping[str, Any]) -> dict[str, Any]:
 def _written(df: DataFrame, new: Callable[[Origin], dict[str, Any]]) -> DataFrame:
     columns = []
     for f, o in zip(df.schema, origins(df)):
-        held = {"source": o.source, "column": o.column, "joined": [".".join(j) for j in o.joined], "notes": o.notes}
+        held = {"source": o.source, "column": o.column, "joined": [json.dumps(j) for j in o.joined], "notes": o.notes}
         columns.append(F.col(f"`{f.name}`").alias(f.name, metadata={**(f.metadata or {}), META: {**held, **new(o)}}))
     return df.select(*columns)
 
@@ -104,8 +105,8 @@ def attach(left: DataFrame, right: DataFrame, on: Mapping[str, str], how: str =
 
     def remember(df: DataFrame, own: int) -> DataFrame:
         def more(o: Origin) -> dict[str, Any]:
-            found = [f"{p[1 - own].source}.{p[1 - own].column}" for p in pairs if o.is_from(p[own].source)]
-            return {"joined": [*map(".".join, o.joined), *found]}
+            found = [(p[1 - own].source, p[1 - own].column) for p in pairs if o.is_from(p[own].source)]
+            return {"joined": [json.dumps(j) for j in [*o.joined, *([found] if found else [])]]}
 
         return _written(df, more)
 
@@ -134,13 +135,20 @@ def find_column(df: DataFrame, name: str, nested: set[str] = frozenset()) -> str
     raise NoteError(f"{name} is none of {', '.join(available)}")
 
 
-def _grouping(df: DataFrame, source: str) -> str | None:
-    """What a collection of ``source`` is grouped by: the other side of the first join it takes part in, if selected."""
+def _grouping(df: DataFrame, source: str) -> list[str] | None:
+    """What a collection of ``source`` is grouped by: the other side of the first join it takes part in, all of its columns.
+
+    None if it takes part in none or none of these columns is selected; some without the others are an error, as
+    rows that differ in the others would be taken for one.
+    """
     every = origins(df)
     for o in every:
         if o.is_from(source) and o.joined:
-            at, column = o.joined[0]
-            return next((p.field for p in every if p.is_from(at) and p.column.lower() == column.lower()), None)
+            fields = [next((p.field for p in every if p.is_from(at) and p.column.lower() == column.lower()), None) for at, column in o.joined[0]]
+            if None in fields and any(fields):
+                lost = [f"{at}.{column}" for (at, column), f in zip(o.joined[0], fields) if f is None]
+                raise NoteError(f"{source} is joined on {', '.join(lost)} too, which is not selected")
+            return None if None in fields else list(dict.fromkeys(fields))
     return None
 
 
@@ -187,14 +195,15 @@ def _resolve(df: DataFrame, spec: Mapping[str, Any], used: set[str]) -> Nested:
     key = find_column(df, spec["key"]) if spec.get("key") else None
     inner = [c for c in spec.get("children", []) if c.get("mapping") == COLLECTION]
     if key is None and inner:
-        key = _grouping(df, inner[0]["source"])
+        found = _grouping(df, inner[0]["source"])
+        key = None if found is None else found[0] if len(found) == 1 else tuple(found)
     return Nested(spec["name"], spec["mapping"], columns, key, spec.get("not_null", False), spec.get("default"), children, spec.get("null_key_drops", False))
 
 
-def resolve(df: DataFrame, specs: list[Mapping[str, Any]], key: str | None = None) -> tuple[str | None, list[Nested]]:
+def resolve(df: DataFrame, specs: list[Mapping[str, Any]], key: str | None = None) -> tuple[str | list[str] | None, list[Nested]]:
     """The root's key and the nested fields, in the order given; fields inside others take their columns first.
 
-    Without a key, the root of collections is grouped by the column its first collection is joined to.
+    Without a key, the root of collections is grouped by the columns its first collection is joined to: one name, or a list.
     """
     used: set[str] = set()
     nested = [_resolve(df, s, used) for s in specs]
@@ -206,7 +215,7 @@ def resolve(df: DataFrame, specs: list[Mapping[str, Any]], key: str | None = Non
     found = _grouping(df, collections[0]["source"])
     if found is None:
         raise NoteError(f"{collections[0]['name']}: no key is given and no selected column is joined to {collections[0]['source']}")
-    return found, nested
+    return (found[0] if len(found) == 1 else found), nested
 
 
 def adapted(df: DataFrame, adapters: Mapping[str, Adapter] | None = None) -> DataFrame:

@@ -26,12 +26,12 @@ _ORD = "__ord"
 
 @dataclass(frozen=True)
 class Nested:
-    """A nested field: ``columns`` maps its field names to columns of the joined rows."""
+    """A nested field: ``columns`` maps its field names to columns of the joined rows; ``key`` is one column or several."""
 
     name: str
     mapping: str
     columns: dict[str, str] = field(default_factory=dict)
-    key: str | None = None
+    key: str | tuple[str, ...] | None = None
     not_null: bool = False
     default: Any = None
     children: tuple[Nested, ...] = ()
@@ -236,22 +236,55 @@ def _level(df: DataFrame, keys: list[str], scalars: list[str], nested: tuple[Nes
     return out.select(*columns, F.col("__first").alias(_ORD))
 
 
-def nest(df: DataFrame, key: str, nested: list[Nested], order: list[Column], sort: bool = True) -> DataFrame:
-    """One row per ``key``; columns that no nested field uses are the parent's own.
+def _keys(n: Nested) -> list[str]:
+    return [] if n.key is None else [n.key] if isinstance(n.key, str) else list(n.key)
 
+
+def _single_keys(nested: tuple[Nested, ...], made: dict[str, Column]) -> tuple[Nested, ...]:
+    """The fields with every key of several columns replaced by one struct column, which is put into ``made``."""
+    out = []
+    for n in nested:
+        inner = _single_keys(n.children, made)
+        if isinstance(n.key, str) or n.key is None:
+            out.append(replace(n, children=inner))
+            continue
+        name = f"__key_{len(made)}"
+        known = F.lit(True)
+        for c in n.key:
+            known = known & F.col(c).isNotNull()
+        both = F.struct(*[F.col(c) for c in n.key])
+        made[name] = F.when(known, both) if n.null_key_drops else both
+        out.append(replace(n, key=name, children=inner))
+    return tuple(out)
+
+
+def nest(df: DataFrame, key: str | list[str], nested: list[Nested], order: list[Column], sort: bool = True) -> DataFrame:
+    """One row per ``key``, a column or several; columns that no nested field uses are the parent's own.
+
+    A key of several columns whose parts are partly null is one like any other, but for ``null_key_drops``.
     LIMIT and OFFSET belong to the joined rows: apply them to ``df`` before.
     """
     check_labels(df)
-    if key not in df.columns:
-        raise ValueError(f"key {key} is none of {', '.join(df.columns)}")
-    for n in nested:
-        missing = sorted((n.used() | ({n.key} if n.key else set())) - set(df.columns))
+    keys = [key] if isinstance(key, str) else list(key)
+    for k in keys:
+        if k not in df.columns:
+            raise ValueError(f"key {k} is none of {', '.join(df.columns)}")
+
+    def check(n: Nested) -> None:
+        missing = sorted((n.used() | set(_keys(n))) - set(df.columns))
         if missing:
             raise ValueError(f"{n.name}: {', '.join(missing)} are none of {', '.join(df.columns)}")
-    used = set().union(*(n.used() for n in nested)) - {key} if nested else set()
-    scalars = [c for c in df.columns if c not in used and c != key]
-    placed = df.withColumn(_ORD, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    out = _level(placed, [key], scalars, tuple(nested))
+        for c in n.children:
+            check(c)
+
+    for n in nested:
+        check(n)
+    used = set().union(*(n.used() for n in nested)) - set(keys) if nested else set()
+    scalars = [c for c in df.columns if c not in used and c not in keys]
+    made: dict[str, Column] = {}
+    single = _single_keys(tuple(nested), made)
+    placed = df.withColumns({**made, _ORD: F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])})
+    out = _level(placed, keys, scalars, single)
     return (out.orderBy(_ORD) if sort else out).drop(_ORD)
 
 

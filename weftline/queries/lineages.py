@@ -88,6 +88,22 @@ def j4_grouping_from_joins(spark, t):
     return found.select("c_custkey", "c_name", F.array_join(F.transform("orders", order), ";").alias("orders"))
 
 
+@query(
+    "j4_grouping_on_two_columns",
+    """SELECT l_orderkey AS order_key, l_linenumber AS line, max(l_partkey) AS part_of_line, coalesce(string_agg(o_orderkey || ':' || o_orderpriority || ':' || shift, ';' ORDER BY shift), '') AS found
+FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) LEFT JOIN (SELECT o_orderkey, o_orderpriority, o_orderkey % 4 + 1 + s.x AS place, s.x AS shift FROM orders, (SELECT unnest(range(3)) AS x) s) ON o_orderkey = l_orderkey AND place = l_linenumber GROUP BY 1, 2""",
+)
+def j4_grouping_on_two_columns(spark, t):
+    """No key is stated, and the collection is joined on two columns: every line of an order is a root of its own."""
+    lines = t["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    marks = t["orders"].select("o_orderkey", "o_orderpriority", F.explode(F.array(*[F.lit(x) for x in range(3)])).alias("shift"))
+    marks = marks.withColumn("at", F.col("o_orderkey") % 4 + 1 + F.col("shift"))
+    joined = attach(tagged(lines, "l"), tagged(marks, "m"), {"l_orderkey": "o_orderkey", "l_linenumber": "at"})
+    joined = joined.withColumnsRenamed({"l_orderkey": "order_key", "l_linenumber": "line", "l_partkey": "part_of_line"})
+    found = nest_noted(joined, [{"name": "found", "mapping": "collection", "source": "m"}], [F.col("shift")], sort=False)
+    return found.select("order_key", "line", "part_of_line", _spelled("found", _text("o_orderkey"), _text("o_orderpriority"), _text("shift")).alias("found"))
+
+
 @query(
     "l5_precedence",
     "SELECT o_orderkey AS id, lower(o_orderstatus) AS state, CAST(CAST(o_totalprice AS decimal(15,2)) AS varchar) AS price, CASE WHEN o_totalprice > 200000 THEN o_orderpriority ELSE 'unknown' END AS priority FROM orders",

@@ -14,8 +14,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _new(name: str) -> str:
+    if name in QUERIES:
+        raise ValueError(f"query {name} is registered twice")
+    return name
+
+
 def query(name: str, oracle: str | None = None):
     """Registers a function of (spark, tables by name)."""
+    _new(name)
 
     def add(fn: Callable[[SparkSession, dict[str, DataFrame]], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(spark, register(spark, sf_dir))
@@ -28,7 +35,7 @@ def query(name: str, oracle: str | None = None):
 
 def sql_query(name: str, text: str, args: dict[str, Any] | None = None, oracle: str | None = None) -> None:
     """Registers a parameterised query; its SQL with literals in place of parameters is the check if none is given."""
-    parsed = Query.parse(name, text)
+    parsed = Query.parse(_new(name), text)
     QUERIES[name] = lambda spark, sf_dir: (register(spark, sf_dir), parsed.run(spark, **(args or {})))[1]
     if oracle is None:
         oracle = parsed.sql

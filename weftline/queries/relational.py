@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import compat
+from weftline.operators import running
+from weftline.operators.intervals import overlap_join
 from weftline.operators.ordinals import after_key, bounded_page, with_ordinals
+from weftline.operators.running import as_of
 from weftline.operators.tables import register_views, star
 from weftline.plans.query import Query
 from weftline.queries.registry import query, sql_query
@@ -67,9 +70,6 @@ sql_query(
     "SELECT coalesce(a.c_nationkey, b.s_nationkey) AS nation, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY c_nationkey) a"
     " FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) b ON a.c_nationkey = b.s_nationkey",
 )
-sql_query("j8_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_regionkey <> r_regionkey")
-sql_query("j8_using", "SELECT nation, c_custkey, s_suppkey FROM (SELECT c_nationkey AS nation, c_custkey FROM customer WHERE c_acctbal > 9000) c JOIN (SELECT s_nationkey AS nation, s_suppkey FROM supplier WHERE s_acctbal > 9000) s USING (nation)")
-sql_query("j8_natural", "SELECT * FROM (SELECT n_nationkey AS nation, n_name, n_regionkey AS region FROM nation) n NATURAL JOIN (SELECT r_regionkey AS region, r_name FROM region) r")
 sql_query("j8_right", "SELECT n_name, c.c_custkey, c.c_acctbal FROM (SELECT * FROM customer WHERE c_acctbal > 9500) c RIGHT JOIN nation ON n_nationkey = c.c_nationkey")
 sql_query("j9_range", "SELECT r.r_name, n.n_name FROM region r JOIN nation n ON n.n_nationkey >= r.r_regionkey * 5 AND n.n_nationkey < r.r_regionkey * 5 + 7")
 sql_query("o1_order", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey")
@@ -146,12 +146,69 @@ def j5_view_to_view(spark, t):
     "SELECT p.event_id, max_by(v.event_id, v.event_id) AS view_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON v.user_id = p.user_id AND v.event_id < p.event_id GROUP BY p.event_id",
 )
 def j10_as_of(spark, t):
-    """The last view of a user before each purchase, in one pass over the user's events instead of a range join."""
-    from pyspark.sql import Window
+    """The last view of a user before each purchase: one pass over users and events, ranges of which carry on from each other."""
+    bought = t["events"].filter("event_type = 'purchase'").select("user_id", "event_id")
+    views = t["events"].filter("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("event_id").alias("at"))
+    return as_of(bought, views, ["user_id"], "event_id", "at", ["view_id"], strict=True).select("event_id", "view_id")
 
-    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(before)
-    return t["events"].filter(F.col("event_type").isin("view", "purchase")).withColumn("view_id", seen).filter("event_type = 'purchase'").select("event_id", "view_id")
+
+HOT = "SELECT event_id, CASE WHEN user_id % 10 < 9 THEN 0 ELSE user_id END AS user_id, event_type, ts, CAST(round(value * 100) AS bigint) AS cents FROM events"
+
+
+@query(
+    "j10_as_of_hot_key",
+    f"SELECT p.event_id, v.event_id AS view_id, v.cents FROM (SELECT * FROM ({HOT}) WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM ({HOT}) WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.event_id >= v.event_id",
+)
+def j10_as_of_hot_key(spark, t):
+    """As-of with one user who has nine tenths of all events: that user's events lie in many ranges."""
+    hot = t["events"].select("event_id", F.when(F.col("user_id") % 10 < 9, 0).otherwise(F.col("user_id")).alias("user_id"), "event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    bought = hot.filter("event_type = 'purchase'").select("user_id", "event_id")
+    views = hot.filter("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), "cents")
+    return as_of(bought, views, ["user_id"], "event_id", "view_id", ["view_id", "cents"]).select("event_id", "view_id", "cents")
+
+
+@query(
+    "w1_running_hot_key",
+    f"SELECT event_id, user_id, CAST(sum(cents) OVER w AS bigint) AS spent, count(*) OVER w AS n, max(cents) OVER w AS most, min(cents) OVER w AS least, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS last_view FROM ({HOT}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)",
+)
+def w1_running_hot_key(spark, t):
+    """Running sum, count, extremes and last value, where one user has nine tenths of all events."""
+    hot = t["events"].select("event_id", F.when(F.col("user_id") % 10 < 9, 0).otherwise(F.col("user_id")).alias("user_id"), "event_type", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    view = F.when(F.col("event_type") == "view", F.col("event_id"))
+    values = {"spent": (running.SUM, F.col("cents")), "n": (running.COUNT, F.lit(1)), "most": (running.LARGEST, F.col("cents")), "least": (running.SMALLEST, F.col("cents")), "last_view": (running.LAST, view)}
+    found = running.with_running(hot, ["user_id"], [F.col("ts"), F.col("event_id")], values)
+    return found.select("event_id", "user_id", *values)
+
+
+#: A supplier's offers hold for some days; a few hold for years.
+OFFERS = "SELECT s_suppkey, (s_suppkey * 37) % 2400 AS first_day, (s_suppkey * 37) % 2400 + CASE WHEN s_suppkey % 20 = 0 THEN 1500 ELSE s_suppkey % 6 END AS last_day FROM supplier"
+PLACED = "SELECT o_orderkey, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS date)) AS day FROM orders"
+
+
+@query(
+    "j9_orders_in_offers",
+    f"SELECT s_suppkey, count(*) AS orders, CAST(sum(o_orderkey) AS bigint) AS keys, min(day) AS first_order, max(day) AS last_order FROM ({OFFERS}) s JOIN ({PLACED}) o ON day BETWEEN first_day AND last_day GROUP BY s_suppkey",
+)
+def j9_orders_in_offers(spark, t):
+    """Orders within the days of each offer, by bins of the days."""
+    start = (F.col("s_suppkey") * 37) % 2400
+    offers = t["supplier"].select("s_suppkey", start.alias("first_day"), (start + F.when(F.col("s_suppkey") % 20 == 0, 1500).otherwise(F.col("s_suppkey") % 6)).alias("last_day"))
+    placed = t["orders"].select("o_orderkey", F.date_diff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long").alias("day"))
+    met = overlap_join(placed, offers, (F.col("day"), F.col("day")), (F.col("first_day"), F.col("last_day")))
+    return met.groupBy("s_suppkey").agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("keys"), F.min("day").alias("first_order"), F.max("day").alias("last_order"))
+
+
+@query(
+    "j9_overlapping_offers",
+    f"SELECT a.s_suppkey, b.s_suppkey AS other FROM ({OFFERS}) a JOIN ({OFFERS}) b ON a.s_suppkey < b.s_suppkey AND a.first_day <= b.last_day AND b.first_day <= a.last_day AND a.s_suppkey % 3 = b.s_suppkey % 3",
+)
+def j9_overlapping_offers(spark, t):
+    """Offers that overlap, short and long ones, of suppliers of one kind."""
+    start = (F.col("s_suppkey") * 37) % 2400
+    offers = t["supplier"].select("s_suppkey", (F.col("s_suppkey") % 3).alias("kind"), start.alias("first_day"), (start + F.when(F.col("s_suppkey") % 20 == 0, 1500).otherwise(F.col("s_suppkey") % 6)).alias("last_day"))
+    others = offers.select(F.col("s_suppkey").alias("other"), "kind", F.col("first_day").alias("first_other"), F.col("last_day").alias("last_other"))
+    met = overlap_join(offers, others, (F.col("first_day"), F.col("last_day")), (F.col("first_other"), F.col("last_other")), keys=["kind"])
+    return met.filter("s_suppkey < other").select("s_suppkey", "other")
 
 
 @query("o3_keyset_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50")

@@ -321,3 +321,24 @@ def y18_strict_decode(spark, t):
         text = F.when(F.col("event_id") % 10 == case, F.format_string(pattern, *columns)).otherwise(text)
     found = wire.decode(t["events"].select("event_id", text.alias("text")))
     return found.select("event_id", "problem", "row.row_version", F.col("row.key")["id"].alias("key_id"), F.get_json_object("row.payload", "$.k").cast("long").alias("k"))
+
+
+@query(
+    "y9_typed_payloads",
+    """SELECT event_id, event_id % 5 IN (0, 1) AS typed, event_id % 5 = 0 AND event_id % 2 = 0 AS plain FROM events""",
+)
+def y9_typed_payloads(spark, t):
+    """Each event as a local payload and as one from the wire, spelled differently; of five one has another number, one another text, one other bytes."""
+    raw = F.encode(F.concat_ws("-", "event_type", "event_id"), "UTF-8")
+    kind, other = F.col("event_id") % 5, F.col("event_id") % 2 == 1
+    number = F.round("value", 2) + F.when(kind == 2, 1).otherwise(0)
+    local = F.format_string('{"id":"%d","amount":%s,"kind":"%s","raw":"%s","seen":%s}', "event_id", F.round("value", 2).cast("decimal(20,2)").cast("string"), "event_type", F.lower(F.hex(raw)), F.when(other, "true").otherwise("false"))
+    flag = F.when(other, "1").otherwise("0")
+    wire = F.format_string(
+        '{"seen":"%s","raw":"%s","kind":"%s","amount":"%s","id":"%d"}', flag, F.base64(F.when(kind == 4, F.encode(F.lit("x"), "UTF-8")).otherwise(raw)), F.concat("event_type", F.when(kind == 3, "!").otherwise("")), number.cast("decimal(20,2)").cast("string"), "event_id"
+    )
+    kinds = {"id": changes.INTEGER, "amount": changes.REAL, "kind": changes.TEXT, "raw": changes.BLOB, "seen": changes.INTEGER}
+    # the same JSON in another order, and one whose number is a text
+    nested = F.format_string('{"a":{"x":1,"y":[%d,"%s"]},"b":null}', "event_id", "event_type")
+    turned = F.format_string('{"b":null,"a":{"y":[%s,"%s"],"x":1}}', F.when(other, F.format_string('"%d"', "event_id")).otherwise(F.col("event_id").cast("string")), F.when(kind == 0, F.col("event_type")).otherwise("none"))
+    return t["events"].select("event_id", changes.same_payload(local, wire, kinds, (False, True)).alias("typed"), changes.same_payload(nested, turned).alias("plain"))

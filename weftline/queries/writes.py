@@ -142,3 +142,75 @@ def s7_seed_rows(spark, t):
     tables, version = migrate({"region": base}, -1, {"0001_none": lambda ts: {"region": ts["region"].limit(0)}}, fresh)
     again, _ = migrate(tables, version, {"0001_none": lambda ts: {"region": ts["region"].limit(0)}}, fresh)
     return again["region"]
+
+
+STEPS = """
+WITH RECURSIVE new AS (SELECT CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 90000000 ELSE o_custkey END AS k, o_orderkey, o_orderstatus AS status, o_orderpriority AS priority, CAST(round(o_totalprice * 100) AS bigint) AS cents,
+             row_number() OVER (PARTITION BY CASE WHEN o_custkey % 3 = 0 THEN o_custkey + 90000000 ELSE o_custkey END ORDER BY o_orderdate, o_orderkey) AS j FROM orders),
+old AS (SELECT c_custkey AS k, c_name AS name, c_mktsegment AS segment, CAST(round(c_acctbal * 100) AS bigint) AS balance, CAST(0 AS bigint) AS spent, CAST(NULL AS varchar) AS priority, CAST(NULL AS bigint) AS largest FROM customer),
+state AS (SELECT *, CAST(0 AS bigint) AS j FROM old
+  UNION ALL SELECT DISTINCT k, 'new', 'first', CAST(NULL AS bigint), CAST(NULL AS bigint), CAST(NULL AS varchar), CAST(NULL AS bigint), CAST(0 AS bigint) FROM new WHERE k >= 90000000
+  UNION ALL SELECT s.k, s.name, n.status, CASE WHEN s.k >= 90000000 AND n.j = 1 THEN n.cents ELSE (s.balance * 3 + n.cents) % 1000003 END, CASE WHEN s.k >= 90000000 AND n.j = 1 THEN n.cents ELSE s.spent + n.cents END,
+            CASE WHEN n.priority = '1-URGENT' OR (s.k >= 90000000 AND n.j = 1) THEN n.priority ELSE s.priority END, CASE WHEN s.largest IS NULL OR n.cents > s.largest THEN n.cents ELSE s.largest END, n.j
+            FROM state s JOIN new n ON n.k = s.k AND n.j = s.j + 1)
+SELECT k, name, segment, balance, spent, priority, largest FROM state QUALIFY row_number() OVER (PARTITION BY k ORDER BY j DESC) = 1
+"""
+
+
+def _stepped(t):
+    key = F.when(F.col("o_custkey") % 3 == 0, F.col("o_custkey") + 90000000).otherwise(F.col("o_custkey"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    new = t["orders"].select(key.alias("k"), "o_orderdate", "o_orderkey", F.col("o_orderstatus").alias("segment"), cents.alias("balance"), cents.alias("spent"), F.col("o_orderpriority").alias("priority"), cents.alias("largest"))
+    old = t["customer"].select(
+        F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.round(F.col("c_acctbal") * 100).cast("long").alias("balance"),
+        F.lit(0).cast("long").alias("spent"), F.lit(None).cast("string").alias("priority"), F.lit(None).cast("long").alias("largest"),
+    )
+    update = {
+        "segment": dml.LAST,
+        "balance": lambda old, given: (old * 3 + given) % 1000003,
+        "spent": dml.ADD,
+        "priority": lambda old, given: F.when(given == "1-URGENT", given).otherwise(old),
+        "largest": dml.LARGEST,
+    }
+    return dml.upsert(old, new, ["k"], update, {"name": F.lit("new")}, order=["o_orderdate", "o_orderkey"])
+
+
+@query("u3_upsert_row_by_row", STEPS)
+def u3_upsert_row_by_row(spark, t):
+    """All orders as rows of one statement: every customer is met about ten times, a third of the keys are new."""
+    return _stepped(t).table
+
+
+@query("u6_upsert_row_by_row_returning", STEPS.replace("QUALIFY", "WHERE k IN (SELECT k FROM new) QUALIFY"))
+def u6_upsert_row_by_row_returning(spark, t):
+    return _stepped(t).columns()
+
+
+@query(
+    "u14_do_nothing_repeated",
+    "SELECT c_custkey AS k, c_name AS name, c_acctbal AS amount FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT o_custkey, o_orderpriority, o_totalprice FROM orders WHERE o_custkey % 2 = 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) = 1",
+)
+def u14_do_nothing_repeated(spark, t):
+    """Of many new rows with one key the first is inserted; keys that are there already keep their row."""
+    held = t["customer"].filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"))
+    rows = t["orders"].select(F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("name"), F.col("o_totalprice").alias("amount"), (-F.unix_seconds(F.col("o_orderdate").cast("timestamp"))).alias("late"), "o_orderkey")
+    return dml.insert_or_ignore(held, rows, ["k"], order=["late", "o_orderkey"]).table
+
+
+@query(
+    "u8_self_reference",
+    """WITH RECURSIVE gone AS (SELECT o_orderkey FROM orders WHERE o_orderkey IN (2, 77) UNION SELECT o.o_orderkey FROM orders o JOIN gone g ON o.o_orderkey // 2 = g.o_orderkey AND o.o_orderkey <> 1)
+SELECT 'orders' AS name, (SELECT count(*) FROM gone) AS lost, CAST((SELECT sum(o_orderkey) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone)) AS bigint) AS kept
+UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone)), CAST((SELECT sum(l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)) AS bigint)""",
+)
+def u8_self_reference(spark, t):
+    """Orders as a hierarchy, an order below that of half its key: a branch goes with all below it, and their lines."""
+    orders = t["orders"].select("o_orderkey", F.floor(F.col("o_orderkey") / 2).cast("long").alias("above"))
+    orders = orders.withColumn("above", F.when(F.col("o_orderkey") > 1, F.col("above")))
+    keys = [dml.ForeignKey("orders", "above", "orders", "o_orderkey"), dml.ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey")]
+    found = dml.cascade_delete({"orders": orders, "lineitem": t["lineitem"].select("l_orderkey")}, "orders", F.col("o_orderkey").isin(2, 77), keys)
+    parts = []
+    for name, column in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        lost, kept = found[name].returning.agg(F.count("*").alias("lost")), found[name].table.agg(F.sum(column).alias("kept"))
+        parts.append(lost.crossJoin(kept).select(F.lit(name).alias("name"), "lost", "kept"))  # one row each
+    return parts[0].unionByName(parts[1])
