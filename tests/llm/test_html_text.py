@@ -108,3 +108,33 @@ def test_a_very_long_page_and_repeated_rows(spark):
     long = "<body><nav>m</nav><article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article></body>"
     df = spark.createDataFrame([(1, "http://a.example/", long), (1, "http://a.example/", long), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert {(r.page_id, r.text) for r in H.extract(df).collect()} == {(1, " ".join(paragraphs)), (2, "")}
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a href="', "<a href='\"", "</div>", "<div></p>", "<script ", "<!-- ", "<", '<a "\'>', "<div>", "</script", "<p x='", "<? "])
+def test_malformed_pages_are_read_in_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    H.Page("<p>start</p>" + piece * (1_000_000 // len(piece)))
+    H.Page("<p>start</p>" + piece * (1_000_000 // len(piece)) + ">\"'")
+    assert time.perf_counter() - began < 20
+
+
+def test_tokens_are_those_of_an_expression():
+    """The scanner against one regular expression, on short random pages."""
+    import random
+    import re
+
+    token = re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        r"|<(?P<raw>script|style|noscript|template|iframe|svg|textarea|select|button|title|object)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+        r"|<(?P<close>/?)(?P<name>[a-zA-Z][\w:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+        r"|<[!?][^>]*>",
+        re.S | re.I,
+    )
+    rng = random.Random(8)
+    parts = ["<a ", "<div>", "</div>", "<p class='x'>", '"', "'", ">", "<", "text", " ", "<script>", "</script >", "<!--", "-->", "<!doctype x>", "<? x", "</", "href=", "<Title a>", "</title>"]
+    for _ in range(20000):
+        page = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        want = [(m.start(), m.end(), m["name"] and m["name"].lower(), bool(m["close"]), m["attrs"] or "") for m in token.finditer(page)]
+        assert list(H._tokens(page)) == want, page

@@ -77,6 +77,8 @@ def test_classes_on_odd_rows(spark):
     got = {(r.doc_id, r.component_id) for r in simhash.classes(docs).collect()}
     assert got == {(5, 3), (3, 3), (9, 3), (1, 1), (7, 1), (8, 8)}
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3, 8]
+    twice = docs.unionByName(spark.createDataFrame([(8, "another text of one id", "t"), (None, "x", "u")], "doc_id long, text string, fp string"))
+    assert sorted((r.doc_id or 0, r.fp) for r in simhash.keep_one(twice).collect()) == [(0, "u"), (1, "z"), (3, None), (8, "s"), (8, "t")]
     assert simhash.classes(docs.limit(0)).count() == 0
 
 

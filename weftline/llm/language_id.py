@@ -69,14 +69,18 @@ def _slot(gram: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    """The n-grams that count, at most one for each slot of the table."""
+    """The n-grams that count.  Most are found by their slot in a table, those whose slot is taken by search."""
 
     def __init__(self, grams: np.ndarray):
-        _, first = np.unique(_slot(grams), return_index=True)
-        self.grams = np.sort(grams[first])
+        self.grams = np.unique(grams)
+        slot = _slot(self.grams)
+        first = np.unique(slot, return_index=True)[1]
         self.table = np.full(1 << _TABLE_BITS, len(self.grams), np.int32)
-        self.table[_slot(self.grams)] = np.arange(len(self.grams))
+        self.table[slot[first]] = first
         self.known = np.append(self.grams, np.uint32(0))
+        self.others = np.setdiff1d(np.arange(len(self.grams)), first)
+        self.shared = np.zeros(1 << _TABLE_BITS, bool)
+        self.shared[slot[self.others]] = True
 
     def __len__(self) -> int:
         return len(self.grams)
@@ -87,8 +91,14 @@ class Vocabulary:
         out = np.zeros((len(offsets) - 1, width), bool)
         flat = out.ravel()
         for row, gram in _grams(data, offsets):
-            found = self.table[_slot(gram)]
+            slot = _slot(gram)
+            found = self.table[slot]
             found[self.known[found] != gram] = len(self)
+            if len(self.others):
+                again = np.flatnonzero(self.shared[slot])
+                at = np.minimum(np.searchsorted(self.grams[self.others], gram[again]), len(self.others) - 1)
+                hit = self.grams[self.others[at]] == gram[again]
+                found[again[hit]] = self.others[at[hit]]
             flat[row.astype(np.int64) * width + found] = True
         return out[:, :-1]
 

@@ -63,16 +63,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """Rows of doc_id and fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """Rows of doc_id and fp (the fingerprint as a signed long), if ``hashed`` with th, a hash of the text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], names=["doc_id", "fp", "th"][: batch.num_columns])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(each, f"doc_id {kind}, fp long")
+    th = [F.xxhash64(text_col).alias("th")] if hashed else []
+    return docs.select(F.col(id_col), F.col(text_col), *th).mapInArrow(each, f"doc_id {kind}, fp long" + (", th long" if hashed else ""))
 
 
 _POSITIONS = np.arange(1, HALF + 1, dtype=np.uint64)
@@ -192,23 +193,27 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_compare, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach)."""
-    marked = cut(fingerprints(docs, id_col, text_col, size))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id that links reach); if ``hashed`` th and root too."""
+    marked = cut(fingerprints(docs, id_col, text_col, size, hashed))
     first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = components(links(first))
     rooted = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    more = ["root"] if hashed else []
+    named = rooted.join(least, "root").select("fp", "component_id", *more)
     # a fingerprint may belong to a third of all documents: AQE splits that partition, its other side is one row
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", *(["th"] if hashed else []), *more)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """The document with the smallest id of each component, all columns; repeated rows of that id become one row.
+    """The document with the smallest id of each component, all columns; rows that repeat id and text become one row.
 
-    Rows without an id belong to no component that could name them and stay.
+    Texts of one id that lie in different components all stay.  Rows without an id belong to no component that could
+    name them and stay.
     """
-    roots = classes(docs, id_col, text_col, size).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(roots, F.col(id_col) == F.col("__kept"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull()))
+    found = classes(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, size, hashed=True)
+    roots = found.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("__kept"), F.col("x.th").alias("__th")).distinct()
+    marked = docs.withColumn("__own_th", F.xxhash64(text_col))
+    kept = marked.join(roots, (F.col(id_col) == F.col("__kept")) & (F.col("__own_th") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates([id_col, "__own_th"]).drop("__own_th").unionByName(docs.filter(F.col(id_col).isNull()))
