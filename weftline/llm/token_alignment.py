@@ -6,6 +6,11 @@ are byte strings, so their cumulative lengths are ends in one row of bytes.  A m
 of ids are counted within their document first; Spark adds the counts up over the corpus, finds the highest count of
 each id on either side, and joins both back to the documents' links.
 
+A text is cut at single spaces between characters that are no white space.  Neither vocabulary has a token over such
+a place (checked for B; A's own splitting begins a word there), so both have an end there, and groups never reach over it.  Each
+distinct piece between two cuts is encoded and merged once, and remembered within a bound; a text is the sum of its
+pieces.  Texts with other white space side by side, or at an end, are one piece.
+
 Links are written once, as Parquet in the shared folder, and read twice: to count pairs, and to meet the counts.  The
 most frequent pairs (at most ``PAIRS``, a few MB) are broadcast; the links of all others meet the rest of the table by
 a shuffle.  A pair has one row in a document, however often it occurs, so a hot pair has at most one row a document.
@@ -18,6 +23,7 @@ row, and all of their links count.  An empty table gives no rows; other columns
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -32,6 +38,10 @@ from weftline.llm.common import shared_dir
 PAIRS = 1 << 18
 #: Characters of texts encoded at a time.
 _CHARS = 4 << 20
+#: Pieces of text that a worker remembers before it starts anew (about 80 MB).
+REMEMBERED = 1 << 18
+
+_WIDE = re.compile(r"\s\s").search
 
 
 def _byte_of() -> dict[str, int]:
@@ -52,6 +62,8 @@ class ByteLevel:
         self.model.encode_special_tokens = True
         self.model.no_truncation()
         self.model.no_padding()
+        # words begin at spaces only where this is the only splitting, and nothing rewrites the text before
+        self.splits_words = self.model.normalizer is None and type(self.model.pre_tokenizer).__name__ == "ByteLevel" and getattr(self.model.pre_tokenizer, "use_regex", True)
         added = {i: token.content for i, token in self.model.get_added_tokens_decoder().items()}
         byte_of = _byte_of()
         vocabulary = self.model.get_vocab(with_added_tokens=True)
@@ -78,25 +90,66 @@ class Pieces:
 
 
 class Aligner:
-    """Both vocabularies, in a worker."""
+    """Both vocabularies, in a worker, and the pieces of text it has merged."""
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), Pieces(path_b)
         self.len_a, self.len_b = (np.array([len(p) for p in side.pieces], np.int64) for side in (self.a, self.b))
+        # a token of B over a space, or a splitting of A that is not byte-level's, would make cuts wrong
+        self.cuts = self.a.splits_words and not any(b" " in p.lstrip(b" ") for p in self.b.pieces)
         # a token and what follows it in the written groups
         self.n_a, self.n_b = len(self.len_a), len(self.len_b)
         self.written = [f"{i}{mark}" for n, marks in ((self.n_a, ",|"), (self.n_b, ",;")) for mark in marks for i in range(n)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.groups: list[str] = []
+        self.sizes = np.zeros((4, 0), np.int64)  # A tokens, B tokens, links (-1: bytes differ), first link
+        self.links = np.zeros(0, np.int64)
+
+    def pieces_of(self, text: str) -> list[str]:
+        if not self.cuts or _WIDE(" " + text) or text[-1].isspace():
+            return [text]
+        return text.split(" ")
 
     def __call__(self, texts: list[str]) -> Iterator[tuple]:
-        for text, a, b in zip(texts, self.a(texts), self.b(texts)):
-            whole = b" " + text.encode()
-            if not text or b"".join([self.a.pieces[i] for i in a]) != whole or b"".join([self.b.pieces[i] for i in b]) != whole:
+        split = [self.pieces_of(t) if t else [] for t in texts]
+        fresh = {p for pieces in split for p in pieces if p not in self.at}
+        if len(self.at) + len(fresh) > REMEMBERED:
+            self.forget()
+            fresh = {p for pieces in split for p in pieces}
+        # texts that are one piece may hold any white space: they are read alone
+        single = {pieces[0] for pieces in split if len(pieces) == 1} & fresh
+        together = sorted(fresh - single)
+        for at in range(0, len(together), 1 << 13):
+            self.learn(together[at : at + (1 << 13)])
+        for text in sorted(single):
+            self.learn([text])
+        for pieces in split:
+            at = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+            n_a, n_b, n, first = self.sizes[:, at]
+            if not pieces or (n < 0).any():
                 yield 0, 0, 0, 0, "", [], [], []
+                continue
+            total = int(n.sum())
+            pairs, occurs = np.unique(self.links[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(total)], return_counts=True)
+            yield int(n_a.sum()), int(n_b.sum()), total, total, ";".join(map(self.groups.__getitem__, at.tolist())), pairs >> 32, pairs & 0xFFFFFFFF, occurs
+
+    def learn(self, pieces: list[str]) -> None:
+        """Merges the ends of a text of these pieces; where its bytes differ, those of its halves, down to the piece that is to blame."""
+        text = " ".join(pieces)
+        (a,), (b,), whole = self.a([text]), self.b([text]), b" " + text.encode()
+        a_bytes, b_bytes = b"".join([self.a.pieces[i] for i in a]), b"".join([self.b.pieces[i] for i in b])
+        if a_bytes != whole or b_bytes != whole:
+            if len(pieces) > 1:
+                self.learn(pieces[: len(pieces) // 2])
+                self.learn(pieces[len(pieces) // 2 :])
             else:
-                yield self.merge(np.array(a, np.int64), np.array(b, np.int64))
-
-    def merge(self, a: np.ndarray, b: np.ndarray) -> tuple:
-        """Counts, the written groups, and the distinct linked pairs with their occurrences."""
+                self.keep(pieces, [""], np.array([[0], [0], [-1]]), self.links[:0])
+            return
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
         ends_a, ends_b = np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b])
         met = np.searchsorted(ends_b, ends_a)  # no A token ends behind the last B token
         last_a = ends_b[met] == ends_a
@@ -108,10 +161,20 @@ class Aligner:
         order = np.empty(len(a) + len(b), np.int64)
         order[np.arange(len(a)) + (np.cumsum(size_b) - size_b)[before_a]] = a + last_a * self.n_a
         order[np.arange(len(b)) + np.cumsum(size_a)[before_b]] = 2 * self.n_a + b + last_b * self.n_b
-        groups = "".join(map(self.written.__getitem__, order.tolist()))[:-1]
-        pairs, n = np.unique((a[last_a] << 32) | b[last_b], return_counts=True)
-        n_groups = len(size_a)
-        return len(a), len(b), n_groups, int(n.sum()), groups, pairs >> 32, pairs & 0xFFFFFFFF, n
+        tokens = list(map(self.written.__getitem__, order.tolist()))
+        upto_a, upto_b, upto = (np.searchsorted(x, ends, "right") for x in (ends_a, ends_b, ends_a[last_a]))
+        if not (ends_a[last_a][upto - 1] == ends).all():
+            raise ValueError("a token reaches over a cut")
+        stops = (upto_a + upto_b).tolist()
+        groups = ["".join(tokens[i:k])[:-1] for i, k in zip([0, *stops], stops)]
+        self.keep(pieces, groups, np.array([np.diff(x, prepend=0) for x in (upto_a, upto_b, upto)]), (a[last_a] << 32) | b[last_b])
+
+    def keep(self, pieces: list[str], groups: list[str], sizes: np.ndarray, links: np.ndarray) -> None:
+        self.at.update(zip(pieces, range(len(self.groups), len(self.groups) + len(pieces))))
+        self.groups += groups
+        first = len(self.links) + np.cumsum(sizes[2]) - sizes[2]
+        self.sizes = np.concatenate((self.sizes, np.vstack((sizes, first))), axis=1)
+        self.links = np.concatenate((self.links, links))
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
