@@ -404,8 +404,13 @@ def push_batches(frozen: DataFrame, max_rows: int, max_bytes: int, part_rows: in
     batch begins and how many batches lie between; these short tables are followed from part to part, and
     then each part is cut by itself.  A part sees the first ``max_rows`` rows of the next one as well.
     """
-    part_rows = max(part_rows, max_rows)
     sized = frozen.select("row_ordinal", F.octet_length("row_json").cast("long").alias("size"))
+    return frozen.join(bounded_batches(sized, max_rows, max_bytes, part_rows), "row_ordinal")
+
+
+def bounded_batches(sized: DataFrame, max_rows: int, max_bytes: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """(row_ordinal, batch) of rows with a size, cut as ``push_batches`` says."""
+    part_rows = max(part_rows, max_rows)
     part = F.floor(F.col("row_ordinal") / part_rows)
     again = F.when((F.col("row_ordinal") % part_rows < max_rows) & (part > 0), F.array(part, part - 1)).otherwise(F.array(part))
     dealt = settled(sized.withColumn("part", F.explode(again)))
@@ -450,5 +455,4 @@ def push_batches(frozen: DataFrame, max_rows: int, max_bytes: int, part_rows: in
             own &= np.arange(len(group)) < part_rows + first[here + 1][0]
         return pd.DataFrame({"row_ordinal": group["row_ordinal"].to_numpy()[own], "batch": batch[own]})
 
-    numbered = dealt.groupBy("part").applyInPandas(cut, "row_ordinal long, batch long")
-    return frozen.join(numbered, "row_ordinal")
+    return dealt.groupBy("part").applyInPandas(cut, "row_ordinal long, batch long")

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows written to the checkpoint folder of the session, so that later jobs see the same partitions."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints; below the warehouse only where it names none (on a cluster a local one is an error)."""
     context = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    named = given or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if named.startswith(("file:", "/")) and not given and not context.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        if named.startswith(("file:", "/")) and not spark.conf.get("spark.checkpoint.dir", None) and not context.master.startswith("local"):
-            raise ValueError("on a cluster spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder of the session, so that later jobs see the same partitions."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -20,6 +20,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.running import COUNT, with_running
+
 COLLECTION, PER_ROW, ENTITY, DEFAULT = "collection", "per_row", "entity", "default"
 _ORD = "__ord"
 
@@ -302,3 +304,18 @@ def nest_children(parents: DataFrame, key: str, children: dict[str, tuple[DataFr
         out = out.join(lists, out[key] == lists["__fk"], "left").drop("__fk")
         out = out.withColumn(name, F.coalesce(F.transform("__list", lambda p: p["e"]), F.array())).drop("__list")
     return out
+
+
+def nest_chunks(child: DataFrame, foreign_key: str, fields: list[str], order: list[Column], max_rows: int) -> DataFrame:
+    """Collections in bounded rows: (foreign key, chunk, elements), at most ``max_rows`` elements in one, chunks from 0 in ``order``.
+
+    A parent with any number of children never is one array, and its children are numbered over many tasks; the chunks
+    of a parent one behind another are what ``nest_children`` would give.  ``order`` should have no ties within a parent.
+    """
+    if max_rows < 1:
+        raise ValueError("a chunk holds at least one row")
+    narrow = child.select(F.col(foreign_key).alias("__fk"), F.struct(*fields).alias("__e"), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]).alias("__o"))
+    numbered = with_running(narrow, ["__fk"], [F.col("__o")], {"__n": (COUNT, F.lit(1))})
+    chunk = F.floor((F.col("__n") - 1) / max_rows).cast("long")
+    listed = F.sort_array(F.collect_list(F.struct(F.col("__n").alias("n"), F.col("__e").alias("e"))))
+    return numbered.groupBy(F.col("__fk").alias(foreign_key), chunk.alias("chunk")).agg(F.transform(listed, lambda x: x["e"]).alias("elements"))

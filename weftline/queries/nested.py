@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans.nesting import Nested, inherit, nest, nest_children, nest_rows, prefixed
+from weftline.plans.nesting import Nested, inherit, nest, nest_children, nest_chunks, nest_rows, prefixed
 from weftline.plans.query import Query
 from weftline.queries.registry import query
 from weftline.sources.tables import register
@@ -188,3 +188,16 @@ def flagship_customers(spark, t):
     order = lambda o: F.concat(o["key"].cast("string"), o["status"], F.lit("["), F.array_join(F.transform(o["lines"], line), " "), F.lit("]"))
     quantity = F.aggregate("orders", F.lit(0).cast("long"), lambda a, o: a + F.aggregate(o["lines"], F.lit(0).cast("long"), lambda b, x: b + x["quantity"].cast("long")))
     return found.select("id", "name", F.size("orders").alias("n_orders"), F.col("nation.name").alias("nation"), F.col("nation.region").alias("region"), quantity.alias("quantity"), F.array_join(F.transform("orders", order), ";").alias("tree"))
+
+
+@query(
+    "m1_chunked_collection",
+    """SELECT l_suppkey, (n - 1) // 64 AS chunk, count(*) AS n, string_agg(l_orderkey || ':' || l_linenumber || ':' || CAST(CAST(l_quantity AS bigint) AS varchar), ';' ORDER BY n) AS lines
+FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS n FROM lineitem) GROUP BY 1, 2""",
+)
+def m1_chunked_collection(spark, t):
+    """Suppliers' lines in collections of at most 64, numbered in their order."""
+    order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]
+    found = nest_chunks(t["lineitem"], "l_suppkey", ["l_orderkey", "l_linenumber", "l_quantity"], order, 64)
+    line = lambda x: F.concat_ws(":", x["l_orderkey"].cast("string"), x["l_linenumber"].cast("string"), x["l_quantity"].cast("long").cast("string"))
+    return found.select("l_suppkey", "chunk", F.size("elements").cast("long").alias("n"), F.array_join(F.transform("elements", line), ";").alias("lines"))

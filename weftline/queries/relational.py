@@ -8,6 +8,7 @@ from weftline.functions import compat
 from weftline.operators import running
 from weftline.operators.intervals import overlap_join
 from weftline.operators.ordinals import after_key, bounded_page, with_ordinals
+from weftline.operators.pages import page_index
 from weftline.operators.running import as_of
 from weftline.operators.tables import register_views, star
 from weftline.plans.query import Query
@@ -216,6 +217,31 @@ def o3_keyset_page(spark, t):
     return after_key(t["orders"].select("o_orderkey", "o_totalprice"), "o_orderkey", 100, 50)
 
 
+@query(
+    "o3_page_index",
+    "SELECT p AS page, min(n) AS first_ordinal, count(*) AS n, min(o_orderkey) FILTER (WHERE n % 700 = 0) AS first_key, arg_max(o_orderkey, n) AS last_key FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 700 AS p FROM orders) GROUP BY p",
+)
+def o3_page_index(spark, t):
+    """The bounds of all pages of orders by day."""
+    found = page_index(t["orders"], ["o_orderdate", "o_orderkey"], 700)
+    return found.bounds.select("page", "first_ordinal", "n", F.col("first.o_orderkey").alias("first_key"), F.col("last.o_orderkey").alias("last_key"))
+
+
+@query(
+    "o3_pages_by_bounds",
+    "SELECT o_orderkey, n // 700 AS page FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n, count(*) OVER () AS m FROM orders) WHERE n // 700 IN (0, 1, (m - 1) // 700)",
+)
+def o3_pages_by_bounds(spark, t):
+    """The first two pages and the last one, each read by its bounds."""
+    found = page_index(t["orders"], ["o_orderdate", "o_orderkey"], 700)
+    last = found.bounds.agg(F.max("page")).first()[0]
+    out = None
+    for page in sorted({0, 1, last} & set(range(last + 1))):
+        rows = found.read(t["orders"], page).select("o_orderkey", F.lit(page).cast("long").alias("page"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     "o4_bounded_page",
     "SELECT event_id, props FROM (SELECT *, sum(strlen(props)) OVER (ORDER BY event_id) AS s, row_number() OVER (ORDER BY event_id) AS n FROM events WHERE event_id > 20) WHERE s <= 400 AND n <= 64",

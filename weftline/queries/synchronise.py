@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import changes
-from weftline.operators.ordinals import check_contiguous, settled
+from weftline.operators.ordinals import check_contiguous, settled, shared_folder
 from weftline.queries.registry import QUERIES, ORACLES, query
 from weftline.sources import wire
+from weftline.streaming import stateful
 from weftline.streaming.reactive import follow
 
 # Events as a change log of users: an error deletes the user's row, a sign-up of an odd event moves it to a new key.
@@ -182,8 +183,7 @@ def o9_contract_diff(spark, t):
 
 def r3_stream_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event log as a stream: each batch folds into the state before it, and the last state is the result."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -205,8 +205,7 @@ ORACLES["r3_stream_of_changes"] = "SELECT user_id, arg_max(event_type, event_id)
 
 def r6_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type from a stream with a watermark; each batch replaces the table of totals."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
     counted = events.withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
@@ -216,6 +215,24 @@ def r6_windowed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/hours")
 
 
+def y1_stateful_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as a stream whose state is kept by Spark, key by key: an error deletes, anything else writes."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    gone = F.col("event_type") == "error"
+    log = events.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("ord"), F.when(gone, "DELETE").otherwise("WRITE").alias("op"), F.when(~gone, F.col("props")).alias("payload"))
+    stateful.start(log, base).awaitTermination()
+    return stateful.states(spark.read.parquet(f"{base}/moved"))
+
+
+QUERIES["y1_stateful_stream"] = y1_stateful_stream
+ORACLES["y1_stateful_stream"] = (
+    "SELECT CAST(user_id AS varchar) AS key, max(event_id) AS ord, CASE WHEN arg_max(event_type, event_id) = 'error' THEN 'DELETE' ELSE 'WRITE' END AS op,"
+    " CASE WHEN arg_max(event_type, event_id) <> 'error' THEN arg_max(props, event_id) END AS payload, count(*) AS changes FROM events GROUP BY user_id"
+)
+
+
 QUERIES["r6_windowed_stream"] = r6_windowed_stream
 ORACLES["r6_windowed_stream"] = "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY 1, 2"
 

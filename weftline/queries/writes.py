@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from weftline.operators import dml
+from weftline.operators import dml, manifest
+from weftline.operators.ordinals import shared_folder
 from weftline.operators.tables import migrate
 from weftline.queries.registry import query
 
@@ -214,3 +217,22 @@ def u8_self_reference(spark, t):
         lost, kept = found[name].returning.agg(F.count("*").alias("lost")), found[name].table.agg(F.sum(column).alias("kept"))
         parts.append(lost.crossJoin(kept).select(F.lit(name).alias("name"), "lost", "kept"))  # one row each
     return parts[0].unionByName(parts[1])
+
+
+@query(
+    "s9_manifest",
+    "SELECT 0 AS version, n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 1, n_nationkey, CASE WHEN n_regionkey = 2 THEN upper(n_name) || '!' ELSE n_name END, r_name FROM nation JOIN region ON r_regionkey = n_regionkey",
+)
+def s9_manifest(spark, t):
+    """Two published versions of two tables, of which the second changes one; both are read as they were published."""
+    path = f"{shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    first = manifest.commit(spark, path, {"nation": t["nation"], "region": t["region"]}, -1)
+    held = manifest.read(spark, path, first)
+    changed = dml.update(held["nation"], F.col("n_regionkey") == 2, {"n_name": F.concat(F.upper("n_name"), F.lit("!"))}).table
+    second = manifest.commit(spark, path, {"nation": changed}, first)
+    parts = []
+    for version in (first, second):
+        tables = manifest.read(spark, path, version)
+        joined = tables["nation"].join(tables["region"], F.col("r_regionkey") == F.col("n_regionkey"))
+        parts.append(joined.select(F.lit(version).alias("version"), "n_nationkey", "n_name", "r_name"))
+    return parts[0].unionByName(parts[1])
