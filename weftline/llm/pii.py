@@ -27,7 +27,7 @@ column of the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, let, maybe_broadcast, possible
@@ -227,6 +227,18 @@ def _candidate(key: str) -> Column:
     return F.when(kind == "secret", hexed).when(kind == "card", card).when(kind == "ip", ip).when(kind.isin("given_m", "given_f", "given_n", "family"), name).otherwise(swapped)
 
 
+#: Setting of the session that holds the secret of the surrogates.
+KEY_SETTING = "spark.weftline.pii.key"
+
+
+def session_key(spark: SparkSession) -> str:
+    """The secret that the session names; a known one only where Spark runs on one machine, on a cluster it is an error to name none."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"on a cluster {KEY_SETTING} must hold the secret of the surrogates")
+    return named or DEFAULT_KEY
+
+
 def surrogates(keys: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(kind, norm) to (kind, norm, core): distinct cores within a kind, none of them a norm of that kind, or see ``_exchanged``."""
     keys = cut(keys.distinct())
