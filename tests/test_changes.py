@@ -227,3 +227,26 @@ def test_glob_and_time_of_day(spark):
         assert row.yes and not row.no, pattern
     row = spark.range(1).select(compat.parse_time(F.lit("23:59:01")).alias("s"), compat.time_text(F.lit(86341)).alias("t"), compat.parse_time(F.lit(None).cast("string")).alias("n")).first()
     assert (row.s, row.t, row.n) == (86341, "23:59:01", None)
+
+
+def test_managed_order():
+    refer = lambda table, parent, n=1: changes.Reference(table, ("a", "b")[:n], parent, ("x", "y")[:n])
+    order = changes.managed_order
+    assert order(["c", "a", "b"], [refer("A", "b"), refer("b", "B"), refer("z", "nowhere")]) == ["c", "b", "a"]
+    assert order(["a", "b", "c", "d"], [refer("a", "b"), refer("b", "a"), refer("c", "a")]) == ["d", "a", "b", "c"]
+    with pytest.raises(ValueError, match="several columns.*a -> b; c -> b"):
+        order(["a", "b", "c"], [refer("c", "b", 2), refer("a", "b", 2), refer("a", "out")])
+    with pytest.raises(ValueError, match="lead out.*a.a -> out.x; b.a -> off.x"):
+        order(["a", "b"], [refer("b", "off"), refer("a", "out")])
+    with pytest.raises(ValueError, match="twice"):
+        order(["a", "A"], [])
+
+
+def test_array_hash(spark):
+    import hashlib
+
+    rows = [(i, f'{{"n":{i},"t":"é"}}', i // 3) for i in range(11)]
+    frozen = spark.createDataFrame(rows, "row_ordinal long, row_json string, chunk long").repartition(4)
+    want = hashlib.sha256(("[" + ",".join(r[1] for r in rows) + "]").encode()).hexdigest()
+    assert tuple(changes.array_hash(frozen).first()) == (11, want)
+    assert tuple(changes.array_hash(frozen.limit(0)).first()) == (0, hashlib.sha256(b"[]").hexdigest())

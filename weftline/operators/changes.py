@@ -7,13 +7,19 @@ what is to be sent (op, base_row_version, payload, dirty_ordinal), ``live`` the
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.codec import bound, canonical, int64_text, local_blob, local_uuid, rows_hash, sha256_hex, wire_blob, wire_uuid
 from weftline.operators.ordinals import chunks, settled, with_ordinals
+from weftline.operators.tables import parent_first
 
 KEY = ["schema_name", "table_name", "key_json"]
 DIRTY = [*KEY, "op", "base_row_version", "payload", "dirty_ordinal"]
@@ -115,6 +121,30 @@ def bundle_hash(frozen: DataFrame) -> DataFrame:
     return by_chunk.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(F.array_join(listed, "\n"), 256).alias("request_hash"))
 
 
+def array_hash(frozen: DataFrame) -> DataFrame:
+    """One row: n_rows, request_hash, the SHA-256 of one JSON array of all rows in order, as peers that know no chunks expect it.
+
+    Each chunk's rows are joined first; the chunks then run through one hash, in order, one after another.  A hash of one
+    text is one stream, so one task reads a bundle's bytes, but holds a batch of chunks at a time.
+    """
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_ordinal", "row_json"))), lambda x: x["row_json"]), ",")
+    by_chunk = frozen.groupBy("chunk").agg(F.count("*").alias("n"), listed.alias("rows"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, total = hashlib.sha256(b"["), 0
+        for batch in batches:
+            for n, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if n:
+                    state.update((("," if total else "") + rows).encode())
+                    total += n
+        state.update(b"]")
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([state.hexdigest()])], names=["n_rows", "request_hash"])
+
+    # a row without rows, so that an empty bundle has a hash too
+    begun = frozen.sparkSession.range(1).select(F.lit(None).cast(frozen.schema["chunk"].dataType).alias("chunk"), F.lit(0).cast("long").alias("n"), F.lit("").alias("rows"))
+    return by_chunk.unionByName(begun).repartition(1).sortWithinPartitions("chunk").select("n", "rows").mapInArrow(each, "n_rows long, request_hash string")
+
+
 def verify_committed(frozen: DataFrame, committed: DataFrame) -> DataFrame:
     """One row: whether what was committed equals what was sent, in number and hash."""
     a, b = bundle_hash(frozen), bundle_hash(committed)
@@ -299,6 +329,11 @@ def choose_recovery(last_seq: int, oldest_kept: int, newest: int) -> str:
     return "pull"
 
 
+def recovery_step(last_seq: Column, oldest_kept: Column, newest: Column) -> Column:
+    """``choose_recovery`` for a column of clients."""
+    return F.when(last_seq > newest, "rebuild: checkpoint ahead").when(last_seq + 1 < oldest_kept, "rebuild: history pruned").otherwise("pull")
+
+
 def clear_managed(tables: dict[str, DataFrame], managed: list[str]) -> dict[str, DataFrame]:
     """The tables with those that are synchronised emptied, their schema kept; others stay as they are."""
     names = {m.lower() for m in managed}
@@ -370,6 +405,39 @@ def key_hash() -> Column:
     return sha256_hex(F.concat_ws("|", *KEY))
 
 
+@dataclass(frozen=True)
+class Reference:
+    """A foreign key: columns of a table and of the table that they refer to."""
+
+    table: str
+    columns: tuple[str, ...]
+    parent: str
+    parent_columns: tuple[str, ...]
+
+
+def managed_order(tables: list[str], references: list[Reference]) -> list[str]:
+    """The order in which managed tables are written, parents before children.
+
+    Tables that do not depend on each other stay in the given order; those in a circle, and what depends on them, come
+    last, in the given order.  A reference of several columns, and one to a table that is not managed, is an error that
+    names all such; a table may refer to itself.  Names count in any case.
+    """
+    names = {t.lower(): t for t in tables}
+    if len(names) < len(tables):
+        raise ValueError("a table is managed twice")
+    own = [r for r in references if r.table.lower() in names]
+    wide = sorted(f"{r.table} -> {r.parent}" for r in own if len(r.columns) != 1)
+    if wide:
+        raise ValueError(f"references of several columns cannot be managed: {'; '.join(wide)}")
+    lost = sorted(f"{r.table}.{r.columns[0]} -> {r.parent}.{r.parent_columns[0]}" for r in own if r.parent.lower() not in names)
+    if lost:
+        raise ValueError(f"references lead out of the managed tables: {'; '.join(lost)}")
+    needs: dict[str, set[str]] = {}
+    for r in own:
+        needs.setdefault(names[r.table.lower()], set()).add(names[r.parent.lower()])
+    return parent_first(tables, needs)
+
+
 def check_synced(table: DataFrame, name: str, key: list[str]) -> str:
     """A table that takes part has one key column, of text or bytes, and not the name of the scope column."""
     if len(key) != 1:

@@ -97,6 +97,35 @@ def y6_request_hash(spark, t):
     return changes.verify_committed(frozen, frozen.orderBy(F.rand(3))).select("n_rows", "request_hash", "verified")
 
 
+@query(
+    "y6_array_hash",
+    PREPARED
+    + """, rows AS (SELECT row_ordinal, '{"base_row_version":"' || base_row_version || '","key":' || key_json || ',"op":"' || op || '","payload":' || coalesce(payload, 'null') || ',"schema":"main","table":"users"}' AS j FROM prepared)
+SELECT count(*) AS n_rows, sha256('[' || string_agg(j, ',' ORDER BY row_ordinal) || ']') AS request_hash FROM rows""",
+)
+def y6_array_hash(spark, t):
+    """The same bundle's hash as that of one JSON array."""
+    send, _ = changes.prepare_push(_dirty(spark, t), _state(t), ["users"])
+    return changes.array_hash(changes.freeze(send, 50))
+
+
+@query(
+    "y4_managed_order",
+    """SELECT * FROM (SELECT 0 AS place, 'region' AS table_name, count(*) AS n FROM region UNION ALL SELECT 1, 'supplier', count(*) FROM supplier UNION ALL SELECT 2, 'nation', count(*) FROM nation
+UNION ALL SELECT 3, 'customer', count(*) FROM customer UNION ALL SELECT 4, 'orders', count(*) FROM orders UNION ALL SELECT 5, 'lineitem', count(*) FROM lineitem)""",
+)
+def y4_managed_order(spark, t):
+    """Tables given in another order, in the order of their references, with the rows that a first push would send."""
+    refer = lambda table, column, parent, key: changes.Reference(table, (column,), parent, (key,))
+    references = [refer("lineitem", "l_orderkey", "orders", "o_orderkey"), refer("Orders", "o_custkey", "CUSTOMER", "c_custkey"), refer("customer", "c_nationkey", "nation", "n_nationkey"), refer("nation", "n_regionkey", "region", "r_regionkey"), refer("nation", "n_nationkey", "nation", "n_nationkey")]
+    order = changes.managed_order(["lineitem", "orders", "region", "supplier", "customer", "nation"], references)
+    parts = [t[name].agg(F.lit(place).alias("place"), F.lit(name).alias("table_name"), F.count("*").alias("n")) for place, name in enumerate(order)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 @query(
     "y9_replay",
     f"""WITH {LOG},
@@ -292,9 +321,8 @@ def y5_parents_first(spark, t):
 )
 def y13_recovery(spark, t):
     """Clients with different checkpoints against bundles 20 to 80."""
-    steps = [(s, changes.choose_recovery(s, 20, 80)) for s in range(97)]
-    known = spark.createDataFrame(steps, "seq long, step string")
-    return t["customer"].select("c_custkey", (F.col("c_custkey") % 97).alias("seq")).join(F.broadcast(known), "seq").select("c_custkey", "step")
+    seq = F.col("c_custkey") % 97
+    return t["customer"].select("c_custkey", changes.recovery_step(seq, F.lit(20), F.lit(80)).alias("step"))
 
 
 @query(
