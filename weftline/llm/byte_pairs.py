@@ -33,6 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
@@ -46,8 +47,12 @@ from weftline.llm.common import cut, let
 LONG = 48
 #: Bounds of the dictionary: words, bytes of one, bytes of all.
 WORDS, WORD_BYTES, WORD_TOTAL = 1 << 20, 48, 16 << 20
-#: Pieces of text that a worker remembers with their ids before it starts anew (about 50 MB).
-REMEMBERED = 1 << 18
+#: Pieces of text that a worker remembers with their ids before it starts anew (about 130 MB).
+REMEMBERED = 5 << 17
+#: Distinct pieces that a task counts before it passes them on (about 100 MB).
+COUNTED = 3 << 18
+#: Characters of texts written at a time.
+_CHARS = 4 << 20
 
 _RANK, _PIECE = 0x10000, 0x20000  # first characters of ranks and of pieces; ids stay below their distance
 _NONE, _END = chr(0x1FFFF), chr(0x10FFFF)
@@ -64,12 +69,19 @@ class Buckets:
     """A literal from strings to strings, as an array of maps: the hash of a key says which map may hold it."""
 
     def __init__(self, entries: dict[str, str]):
-        bits = max(4, len(entries).bit_length())
+        bits = max(4, len(entries).bit_length() - 1)
         self.mask = (1 << bits) - 1
-        maps: list[dict] = [{} for _ in range(1 << bits)]
-        for key, value in entries.items():
-            maps[xxhash.xxh64_intdigest(key.encode(), 42) & self.mask][key] = value
-        self.column = F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")  # folded when the query is planned
+        # written bucket by bucket, without a dictionary for each
+        placed = sorted((xxhash.xxh64_intdigest(key.encode(), 42) & self.mask, key) for key in entries)
+        parts, k = [], 0
+        for bucket in range(1 << bits):
+            members = []
+            while k < len(placed) and placed[k][0] == bucket:
+                key = placed[k][1]
+                members.append(f"{json.dumps(key, ensure_ascii=False)}:{json.dumps(entries[key], ensure_ascii=False)}")
+                k += 1
+            parts.append("{" + ",".join(members) + "}")
+        self.column = F.from_json(F.lit("[" + ",".join(parts) + "]"), "array<map<string,string>>")  # folded when the query is planned
 
     def at(self, maps: Column, key: Column) -> Column:
         """Value of a key in ``maps``, the bound literal; null where it has none."""
@@ -203,7 +215,7 @@ def count_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFr
                     first, rest = splitter.pieces(text)
                     words.update(splitter.words(first))
                     pieces.update(rest)
-                    if len(pieces) + len(words) > 2 * REMEMBERED:
+                    if len(pieces) + len(words) > COUNTED:
                         yield from out()
         yield from out()
 
@@ -225,42 +237,70 @@ def dictionary(docs: DataFrame, coder: Coder, text_col: str = "text") -> pa.Tabl
 
 
 class Writer:
-    """Texts as ids, in a worker: known words by the dictionary, places of the others marked."""
+    """Texts as ids, in a worker: known words by the dictionary, places of the others marked.
+
+    The dictionary stays in Arrow columns, found by the hash of a word and compared: a tenth of what a dict takes.
+    """
 
     def __init__(self, table: pa.Table, whole: dict[bytes, int], pattern: str):
-        self.known = dict(zip(table.column("w").to_pylist(), table.column("ids").to_pylist()))
-        self.whole, self.splitter = whole, Splitter(pattern)
+        tokens = {}
+        for token, rank in whole.items():
+            try:
+                tokens[token.decode()] = str(rank)
+            except UnicodeDecodeError:
+                pass  # no text on its own
+        self.tokens = tokens
+        self.known, self.ids = table.column("w").combine_chunks(), table.column("ids").combine_chunks()
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in self.known), np.uint64, len(self.known))
+        self.order = np.argsort(hashes).astype(np.int32)
+        self.hashes = hashes[self.order]
+        self.splitter = Splitter(pattern)
         self.seen: dict[str, str] = {}
         self.lacks: dict[str, list[str]] = {}
 
-    def words(self, words: list[str]) -> tuple[str, list[str]]:
+    def find(self, words: list[str]) -> dict[str, str]:
+        """Ids of those of the words that are known, the tokens aside."""
+        if not words or not len(self.hashes):
+            return {}
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        rows = pa.array(self.order[at[hit]])
+        found = zip(hit.tolist(), self.known.take(rows).to_pylist(), self.ids.take(rows).to_pylist())
+        return {w: ids for i, w, ids in found if words[i] == w}
+
+    def words(self, words: list[str], known: dict[str, str]) -> tuple[str, list[str]]:
         parts, lacking = [], []
         for w in words:
-            token = self.whole.get(w.encode())
-            ids = str(token) if token is not None else self.known.get(w)
+            ids = self.tokens.get(w) or known.get(w)
             if ids is None:
                 ids = _MISSING
                 lacking.append(w)
             parts.append(ids)
         return " ".join(parts), lacking
 
-    def __call__(self, text: str | None) -> tuple[str, list[str]]:
-        """Ids joined by a space with a mark for each word that is to be folded, and these words."""
-        if not text:
-            return "", []
-        first, rest = self.splitter.pieces(text)
-        head, lacking = self.words(self.splitter.words(first))
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[list[str]]]:
+        """Per text its ids joined by a space, with a mark for each word that is to be folded, and these words."""
+        split = [self.splitter.pieces(t) if t else ("", []) for t in texts]
         if len(self.seen) > REMEMBERED:
             self.seen, self.lacks = {}, {}
-        for piece in set(rest).difference(self.seen):
-            self.seen[piece], lacks = self.words(self.splitter.words_of(piece))
-            if lacks:
-                self.lacks[piece] = lacks
-        ids = " ".join(([head] if head else []) + [self.seen[p] for p in rest])
-        if _MISSING in ids and self.lacks:
-            lacks = self.lacks
-            lacking = lacking + [w for p in rest if p in lacks for w in lacks[p]]
-        return ids, lacking
+        seen, lacks, tokens = self.seen, self.lacks, self.tokens
+        fresh = {p: self.splitter.words_of(p) for p in {p for _, rest in split for p in rest if p not in seen}}
+        heads = [self.splitter.words(first) for first, _ in split]
+        known = self.find(list({w for words in (*fresh.values(), *heads) for w in words if w not in tokens}))
+        for piece, words in fresh.items():
+            seen[piece], lacking = self.words(words, known)
+            if lacking:
+                lacks[piece] = lacking
+        out, missing = [], []
+        for head, (_, rest) in zip(heads, split):
+            begun, lacking = self.words(head, known)
+            ids = " ".join(([begun] if begun else []) + [seen[p] for p in rest])
+            if _MISSING in ids:
+                lacking = lacking + [w for p in rest if p in lacks for w in lacks[p]]
+            out.append(ids)
+            missing.append(lacking)
+        return out, missing
 
 
 _writers: dict[str, Writer] = {}
@@ -279,9 +319,15 @@ def encode(docs: DataFrame, coder: Coder, text_col: str = "text", ids_col: str =
             _writers[name] = Writer(*shared.value)
         writer = _writers[name]
         for batch in batches:
-            found = [writer(text) for text in batch.column(place).to_pylist()]
-            ids, lacking = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, lacking], names=[*batch.schema.names, "__ids", "__lacking"])
+            texts, at = batch.column(place), 0
+            while at < len(texts):
+                part, chars, first = [], 0, at
+                while at < len(texts) and chars < _CHARS:
+                    part.append(texts[at].as_py())
+                    chars += len(part[-1] or "")
+                    at += 1
+                ids, lacking = writer(part)
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, at - first).columns, pa.array(ids, pa.string()), pa.array(lacking, pa.list_(pa.string()))], names=[*batch.schema.names, "__ids", "__lacking"])
 
     marked = docs.mapInArrow(each, kinds)
     # a mark stands at the place of each word that was folded here
@@ -294,6 +340,11 @@ def ids_array(ids: Column) -> Column:
     return F.when(ids == "", F.array().cast("array<int>")).otherwise(F.split(ids, " ").cast("array<int>"))
 
 
+def n_ids(ids: Column) -> Column:
+    """How many ids."""
+    return F.when(ids == "", F.lit(0)).otherwise(F.size(F.split(ids, " "))).cast("long")
+
+
 def decode(rows: DataFrame, coder: Coder, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
     """Adds ``bytes_col``: the bytes of ids in decimal."""
     return rows.withColumn(bytes_col, coder.decoded(ids_array(F.col(ids_col))))

@@ -17,7 +17,7 @@ def op1_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), pii.session_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), coder).drop("text")
     return byte_pairs.decode(ids, coder).select(
         "doc_id",
-        F.size(byte_pairs.ids_array(F.col("ids"))).cast("long").alias("n_tokens"),
+        byte_pairs.n_ids(F.col("ids")).alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
