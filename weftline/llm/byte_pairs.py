@@ -8,8 +8,8 @@ until no neighbours have one.  A word that is a token as it stands is that token
   pieces stand the character of their joint rank and that of the piece they would become.  A step finds the least
   rank, puts the joined piece in place and looks the two pairs beside it up again.  Characters of ranks lie below
   those of pieces, so the least character of the state is the least rank.
-* The ranks are a literal.  Spark searches a map from its start, so it is an array of small maps, and the hash of a
-  key says in which one it is.
+* The ranks are a literal.  Spark searches a map from its start, so it is an array of short strings of entries, and
+  the hash of a pair says in which one it is.
 * Words of more than ``LONG`` bytes join a pair at all of its places in one step, unless the piece it becomes could
   rank lower with a neighbour or the pair could overlap another of its rank; then the leftmost alone.  Both ways give
   the same pieces.
@@ -17,7 +17,7 @@ until no neighbours have one.  A word that is a token as it stands is that token
   bytes: a fixed bound for what is broadcast) are folded once each.  Texts are written by Arrow batches with that
   dictionary; a word that it lacks is folded in its row, by the same expression.  No text is shuffled, and what the
   dictionary holds bears on time only.
-* Decoding looks up the bytes of each id in a literal array and joins them.
+* Decoding looks up the bytes of each id and joins them, by Arrow batches.
 
 Defined cases: a null text counts as empty; an empty text has no tokens and decodes to no bytes; repeated rows are
 encoded alike; an empty table gives no rows; other columns stay, but one with the name of a result column is replaced.
@@ -27,7 +27,6 @@ An id that the file lacks makes the decoded bytes null.
 from __future__ import annotations
 
 import base64
-import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +38,7 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
 from weftline.llm.common import cut, let
 
@@ -56,6 +55,7 @@ _CHARS = 4 << 20
 
 _RANK, _PIECE = 0x10000, 0x20000  # first characters of ranks and of pieces; ids stay below their distance
 _NONE, _END = chr(0x1FFFF), chr(0x10FFFF)
+_UNKNOWN = _NONE * 2  # in place of rank and piece where a pair has no rank
 _MISSING = "_"
 
 
@@ -66,26 +66,24 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Buckets:
-    """A literal from strings to strings, as an array of maps: the hash of a key says which map may hold it."""
+    """A literal from pairs of pieces to what they become, as an array of strings: the hash of a pair says which one may hold it.
+
+    A string begins with what holds for a pair that it lacks, and its entries are set apart by a character that is in
+    none.  As one flat array it is cheap to send and to read with every task, which maps are not.
+    """
 
     def __init__(self, entries: dict[str, str]):
-        bits = max(4, len(entries).bit_length() - 1)
-        self.mask = (1 << bits) - 1
-        # written bucket by bucket, without a dictionary for each
-        placed = sorted((xxhash.xxh64_intdigest(key.encode(), 42) & self.mask, key) for key in entries)
-        parts, k = [], 0
-        for bucket in range(1 << bits):
-            members = []
-            while k < len(placed) and placed[k][0] == bucket:
-                key = placed[k][1]
-                members.append(f"{json.dumps(key, ensure_ascii=False)}:{json.dumps(entries[key], ensure_ascii=False)}")
-                k += 1
-            parts.append("{" + ",".join(members) + "}")
-        self.column = F.from_json(F.lit("[" + ",".join(parts) + "]"), "array<map<string,string>>")  # folded when the query is planned
-
-    def at(self, maps: Column, key: Column) -> Column:
-        """Value of a key in ``maps``, the bound literal; null where it has none."""
-        return F.try_element_at(F.get(maps, F.xxhash64(key).bitwiseAND(F.lit(self.mask)).cast("int")), key)
+        size = 1 << max(4, len(entries).bit_length() - 1)
+        parts = [_UNKNOWN] * size
+        for pair, value in entries.items():
+            parts[xxhash.xxh64_intdigest(pair.encode(), 42) & (size - 1)] += f";{pair}{value}"
+        self.mask = size - 1
+        self.column = F.split(F.lit(",".join(parts)), ",")  # folded when the query is planned
+
+    def at(self, buckets: Column, pair: Column) -> Column:
+        """Rank and piece of a pair in ``buckets``, the bound literal; ``_UNKNOWN`` where it has none."""
+        bucket = F.get(buckets, F.xxhash64(pair).bitwiseAND(F.lit(self.mask)).cast("int"))
+        return F.left(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(2))
 
 
 class Coder:
@@ -111,15 +109,12 @@ class Coder:
         self.whole = {token: rank for token, rank in ranks.items()}
         self.alone = F.split(F.lit(",".join("1" if i in alone else "0" for i in range(max(ranks.values()) + 1))), ",")
         self.bytes = "".join(chr(b) for b in range(256)), "".join(chr(_PIECE + ranks[bytes([b])]) for b in range(256))
-        by_id = {rank: token.hex() for token, rank in ranks.items()}
-        # "-" marks an id without a token: it is no hexadecimal, so what is joined with it is null
-        self.hex = F.split(F.lit(",".join(by_id.get(i, "-") for i in range(max(by_id) + 1))), ",")
 
-    def _merged(self, pieces: Column, maps: Column) -> Column:
+    def _merged(self, pieces: Column, buckets: Column) -> Column:
         """Pieces of a word, one character each, after all merges one at a time."""
 
         def rank(pair: Column) -> Column:
-            return F.coalesce(self.pairs.at(maps, pair), F.lit(_NONE * 2))
+            return F.coalesce(self.pairs.at(buckets, pair), F.lit(_UNKNOWN))
 
         def step(state: Column, _: Column) -> Column:
             def joined(k: Column) -> Column:
@@ -139,7 +134,7 @@ class Coder:
         whole = let(F.concat(F.lit(_END), pieces, F.lit(_END)), start)
         return F.translate(whole, _NONE + _END, "")
 
-    def _merged_long(self, pieces: Column, maps: Column, alone: Column) -> Column:
+    def _merged_long(self, pieces: Column, buckets: Column, alone: Column) -> Column:
         """The same for a long word, a pair at all of its places at a time."""
 
         def round_of(s: Column) -> Column:
@@ -150,9 +145,9 @@ class Coder:
                     single = F.get(alone, F.ascii(new) - _PIECE) == "1"
                     return F.when(single, F.overlay(s, new, k, F.lit(2))).otherwise(F.replace(s, F.concat(F.get(p, k - 1), F.get(p, k)), new))
 
-                return F.when(least.isNull(), F.concat(s, F.lit(_END))).otherwise(let(F.array_position(ranks, least).cast("int"), at))
+                return F.when(F.coalesce(least, F.lit(_UNKNOWN)) == _UNKNOWN, F.concat(s, F.lit(_END))).otherwise(let(F.array_position(ranks, least).cast("int"), at))
 
-            return let(F.split(s, ""), lambda p: let(F.transform(p, lambda x, i: self.pairs.at(maps, F.concat(x, F.get(p, i + 1)))), lambda r: let(F.array_min(r), lambda least: joined(p, r, least))))
+            return let(F.split(s, ""), lambda p: let(F.transform(p, lambda x, i: self.pairs.at(buckets, F.concat(x, F.get(p, i + 1)))), lambda r: let(F.array_min(r), lambda least: joined(p, r, least))))
 
         # a state that ends with the end mark is done
         done = F.aggregate(F.split(pieces, ""), pieces, lambda s, _: F.when(F.endswith(s, F.lit(_END)), s).otherwise(round_of(s)))
@@ -161,16 +156,12 @@ class Coder:
     def folded(self, words: Column) -> Column:
         """Ids, in decimal and joined by a space, of each of an array of words; a word that is a token is not looked for here."""
 
-        def ids(word: Column, maps: Column, alone: Column) -> Column:
+        def ids(word: Column, buckets: Column, alone: Column) -> Column:
             pieces = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), *self.bytes)
-            merged = let(pieces, lambda p: F.when(F.length(p) <= LONG, self._merged(p, maps)).otherwise(self._merged_long(p, maps, alone)))
+            merged = let(pieces, lambda p: F.when(F.length(p) <= LONG, self._merged(p, buckets)).otherwise(self._merged_long(p, buckets, alone)))
             return F.array_join(F.transform(F.split(merged, ""), lambda c: (F.ascii(c) - _PIECE).cast("string")), " ")
 
-        return let(self.pairs.column, lambda maps: let(self.alone, lambda alone: F.transform(words, lambda w: ids(w, maps, alone))))
-
-    def decoded(self, ids: Column) -> Column:
-        """The bytes of an array of ids."""
-        return let(self.hex, lambda pieces: F.try_to_binary(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(pieces, i), F.lit("-"))), ""), F.lit("hex")))
+        return let(self.pairs.column, lambda buckets: let(self.alone, lambda alone: F.transform(words, lambda w: ids(w, buckets, alone))))
 
 
 class Splitter:
@@ -285,7 +276,8 @@ class Writer:
         if len(self.seen) > REMEMBERED:
             self.seen, self.lacks = {}, {}
         seen, lacks, tokens = self.seen, self.lacks, self.tokens
-        fresh = {p: self.splitter.words_of(p) for p in {p for _, rest in split for p in rest if p not in seen}}
+        pieces = set().union(*(rest for _, rest in split))
+        fresh = {p: self.splitter.words_of(p) for p in pieces if p not in seen}
         heads = [self.splitter.words(first) for first, _ in split]
         known = self.find(list({w for words in (*fresh.values(), *heads) for w in words if w not in tokens}))
         for piece, words in fresh.items():
@@ -295,7 +287,7 @@ class Writer:
         out, missing = [], []
         for head, (_, rest) in zip(heads, split):
             begun, lacking = self.words(head, known)
-            ids = " ".join(([begun] if begun else []) + [seen[p] for p in rest])
+            ids = " ".join(([begun] if begun else []) + list(map(seen.__getitem__, rest)))
             if _MISSING in ids:
                 lacking = lacking + [w for p in rest if p in lacks for w in lacks[p]]
             out.append(ids)
@@ -335,16 +327,37 @@ def encode(docs: DataFrame, coder: Coder, text_col: str = "text", ids_col: str =
     return marked.withColumn(ids_col, F.when(F.size("__lacking") == 0, F.col("__ids")).otherwise(filled)).drop("__ids", "__lacking")
 
 
-def ids_array(ids: Column) -> Column:
-    """Ids as an array of integers; none for an empty text."""
-    return F.when(ids == "", F.array().cast("array<int>")).otherwise(F.split(ids, " ").cast("array<int>"))
-
-
 def n_ids(ids: Column) -> Column:
-    """How many ids."""
-    return F.when(ids == "", F.lit(0)).otherwise(F.size(F.split(ids, " "))).cast("long")
+    """How many ids: one more than the spaces between them."""
+    spaces = F.octet_length(ids) - F.octet_length(F.replace(ids, F.lit(" "), F.lit("")))
+    return F.when(ids == "", F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
 def decode(rows: DataFrame, coder: Coder, ids_col: str = "ids", bytes_col: str = "bytes") -> DataFrame:
-    """Adds ``bytes_col``: the bytes of ids in decimal."""
-    return rows.withColumn(bytes_col, coder.decoded(ids_array(F.col(ids_col))))
+    """Adds ``bytes_col``: the bytes of ids in decimal, joined by Arrow batches; null where the file lacks an id."""
+    rows = rows.drop(bytes_col)
+    shared = rows.sparkSession.sparkContext.broadcast(coder.whole)
+    place = rows.columns.index(ids_col)
+    kinds = StructType([*rows.schema.fields, StructField(bytes_col, BinaryType())])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {str(rank): piece for piece, rank in shared.value.items()}.get
+
+        def joined(ids: str | None) -> bytes | None:
+            try:
+                return None if ids is None else b"".join(map(token, ids.split(" "))) if ids else b""
+            except TypeError:  # an id without a token
+                return None
+
+        for batch in batches:
+            lists, at = batch.column(place), 0
+            while at < len(lists):
+                part, chars, first = [], 0, at
+                while at < len(lists) and chars < _CHARS:
+                    ids = lists[at].as_py()
+                    part.append(joined(ids))
+                    chars += len(ids or "")
+                    at += 1
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, at - first).columns, pa.array(part, pa.binary())], names=[*batch.schema.names, bytes_col])
+
+    return rows.mapInArrow(each, kinds)
