@@ -250,3 +250,30 @@ def test_array_hash(spark):
     want = hashlib.sha256(("[" + ",".join(r[1] for r in rows) + "]").encode()).hexdigest()
     assert tuple(changes.array_hash(frozen).first()) == (11, want)
     assert tuple(changes.array_hash(frozen.limit(0)).first()) == (0, hashlib.sha256(b"[]").hexdigest())
+
+
+def test_specs_that_no_side_may_publish(spark):
+    kind = "schema_name string, table_name string, key_columns string"
+    specs = spark.createDataFrame([("main", "a", "id"), ("main", "b", "id"), ("MAIN", "B", "id"), ("main", "c", "x,y"), (None, "d", "id"), ("main", " ", "id"), ("main", "e", None)], kind)
+    assert sorted(map(tuple, changes.spec_problems(specs).collect())) == [
+        (".d", "schema is empty"), ("main.", "table is empty"), ("main.b", "given twice"), ("main.c", "more than one key column"), ("main.e", "a key column is empty"),
+    ]
+    assert changes.spec_problems(specs.limit(0)).count() == 0
+
+
+def test_what_a_key_column_holds(spark):
+    rows = spark.createDataFrame([("a",), ("a",), (None,), (None,), ("b",)], "k string")
+    assert tuple(changes.key_state(rows, "k").first()) == (5, 2, 1)
+    assert tuple(changes.key_state(rows.limit(0), "k").first()) == (0, 0, 0)
+
+
+def test_all_cells_of_the_conflict_table(spark):
+    ops, states, results = ("INSERT", "UPDATE", "DELETE"), ("Missing", "Deleted", "Present"), ("AcceptServer", "KeepLocal", "KeepMerged")
+    cells = [("main", "users", f"{op}/{state}/{result}", op, None if op == "DELETE" else '{"id":"l"}', state, 5, '{"id":"s"}', result, '{"id":"m"}') for op in ops for state in states for result in results]
+    rows = spark.createDataFrame(cells, "schema_name string, table_name string, key_json string, local_op string, local_payload string, server_state string, server_version long, server_payload string, result string, merged_payload string")
+    found = {r.key_json: r for r in changes.resolve_conflicts(rows, ["ID"]).collect()}
+    wrong = {f"INSERT/Missing/{r}" for r in results[1:]} | {f"UPDATE/{s}/{r}" for s in states[:2] for r in results[1:]} | {f"DELETE/{s}/KeepMerged" for s in states}
+    assert {k for k, r in found.items() if r.error} == wrong
+    assert found["UPDATE/Present/KeepLocal"].requeue_op == "UPDATE" and found["INSERT/Deleted/KeepMerged"].requeue_op == "INSERT"
+    assert found["DELETE/Present/KeepLocal"].requeue_op == "DELETE" and found["DELETE/Missing/KeepLocal"].requeue_op is None
+    assert found["UPDATE/Present/AcceptServer"].new_payload == '{"id":"s"}' and found["UPDATE/Deleted/AcceptServer"].local_action == "Delete"

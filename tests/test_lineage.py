@@ -114,3 +114,22 @@ def test_parameter_types_of_columns(spark):
     assert q.run(spark, p=3).first().p == 3
     with pytest.raises(TypeError, match="must be long"):
         q.run(spark, p="3")
+
+
+def test_types_before_and_after_the_adapter(spark):
+    rows = spark.createDataFrame([(1, "7"), (2, None)], "id long, digits string")
+    own = noted(rows, {"digits": {"sql_type": "int", "adapter": "next", "type": "string"}})
+    assert [r.digits for r in adapted(own, {"next": lambda c: c + 1}).orderBy("id").collect()] == ["8", None]
+    with pytest.raises(NoteError, match="no type"):
+        adapted(noted(rows, {"digits": {"sql_type": "nonsense"}}))
+
+
+def test_type_of_a_whole_field(joined):
+    people, packages = joined
+    both = attach(people, packages, {"id": "person_id"}).drop("person_id")
+    spec = {"name": "packages", "mapping": "collection", "source": "pkg", "type": "array<struct<number: string, label: string>>"}
+    found = nest_noted(both.withColumn("place", F.col("pkg_id") + 0), [spec], [F.col("place")], key="id").orderBy("id").collect()
+    assert [[tuple(e) for e in r.packages] for r in found] == [[("10", "x"), ("11", "y")], []]
+    inside = {"name": "a", "mapping": "per_row", "source": "p", "children": [{**spec, "mapping": "per_row"}]}
+    with pytest.raises(NoteError, match="field around"):
+        resolve(both, [inside], key="id")

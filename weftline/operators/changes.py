@@ -379,6 +379,20 @@ def contract_diff(client: DataFrame, server: DataFrame) -> DataFrame:
     return a.join(b, ["s", "t"], "full_outer").select(F.concat_ws(".", "s", "t").alias("table"), problem.alias("problem")).filter("problem is not null")
 
 
+def spec_problems(specs: DataFrame) -> DataFrame:
+    """Table specs (schema_name, table_name, key_columns joined by commas) that no side may publish: (table, problem), each once.
+
+    A null counts as blank.  A table is given twice if its names agree in any case.
+    """
+    s, t, keys = (F.trim(F.coalesce(F.col(c), F.lit(""))) for c in ("schema_name", "table_name", "key_columns"))
+    parts = F.transform(F.split(keys, ","), F.trim)
+    narrow = specs.select(F.lower(s).alias("s"), F.lower(t).alias("t"), (F.size(parts) == 1).alias("one"), F.exists(parts, lambda x: x == "").alias("blank"))
+    found = narrow.groupBy("s", "t").agg(F.count("*").alias("n"), F.bool_and("one").alias("one"), F.bool_or("blank").alias("blank"))
+    rules = {"schema is empty": F.col("s") == "", "table is empty": F.col("t") == "", "a key column is empty": F.col("blank"), "more than one key column": ~F.col("one"), "given twice": F.col("n") > 1}
+    problems = F.explode(F.array_compact(F.array(*[F.when(rule, F.lit(text)) for text, rule in rules.items()])))
+    return found.select(F.concat_ws(".", "s", "t").alias("table"), problems.alias("problem"))
+
+
 def fingerprint(dirty: DataFrame, outbox: DataFrame) -> tuple[int, int, str]:
     """Pinned before a snapshot is fetched and compared before it is applied: any local change in between shows."""
     parts = dirty.select(F.lit("d").alias("w"), *DIRTY).unionByName(outbox.select(F.lit("o").alias("w"), *DIRTY))
@@ -451,6 +465,19 @@ def check_synced(table: DataFrame, name: str, key: list[str]) -> str:
     return column
 
 
+def key_state(table: DataFrame, column: str) -> DataFrame:
+    """What a key column really holds, in one row: n_rows, n_null and n_repeated, the values that occur more than once.
+
+    ``check_synced`` knows a table's types only, and Spark's tables enforce no key.
+    """
+    counted = table.groupBy(F.col(column).alias("k")).agg(F.count("*").alias("n"))
+    return counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
+        F.count(F.when(F.col("k").isNotNull() & (F.col("n") > 1), 1)).alias("n_repeated"),
+    )
+
+
 #: Rows in which ``push_batches`` cuts at once; each task holds so many sizes.
 PART_ROWS = 1_000_000
 

@@ -16,14 +16,16 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from weftline.plans.nesting import COLLECTION, DEFAULT, ENTITY, PER_ROW, Nested, check_labels, nest, nest_rows
 
 META = "weftline"
-COLUMN_NOTES = {"name", "type", "adapter", "not_null", "default"}
-FIELD_NOTES = {"name", "mapping", "source", "alias_prefix", "key", "null_key_drops", "not_null", "default", "children"}
+COLUMN_NOTES = {"name", "sql_type", "type", "adapter", "not_null", "default"}
+FIELD_NOTES = {"name", "type", "mapping", "source", "alias_prefix", "key", "null_key_drops", "not_null", "default", "children"}
 Adapter = Callable[[Column], Column]
 
 
@@ -189,6 +191,8 @@ def _resolve(df: DataFrame, spec: Mapping[str, Any], used: set[str]) -> Nested:
     _check(spec)
     if spec.get("mapping", DEFAULT) == DEFAULT:
         return Nested(spec["name"], DEFAULT, default=spec.get("default"))
+    if any(c.get("type") for c in spec.get("children", [])):
+        raise NoteError(f"{spec['name']}: a field inside has its type from the field around it")
     children = tuple(_resolve(df, c, used) for c in spec.get("children", []))
     columns = _taken(df, spec, used)
     used |= set(columns.values())
@@ -218,20 +222,30 @@ def resolve(df: DataFrame, specs: list[Mapping[str, Any]], key: str | None = Non
     return (found[0] if len(found) == 1 else found), nested
 
 
+def _cast(where: str, value: Column, kind: str) -> Column:
+    try:
+        return value.cast(DataType.fromDDL(kind))
+    except ParseException:
+        raise NoteError(f"{where}: {kind} is no type") from None
+
+
 def adapted(df: DataFrame, adapters: Mapping[str, Adapter] | None = None) -> DataFrame:
-    """The columns as their notes want them: adapter, type and default; a null reaches no adapter.
+    """The columns as their notes want them: ``sql_type``, adapter, ``type`` and default; a null reaches no adapter.
 
+    ``sql_type`` is what a column is read as, for one whose own type says too little; ``type`` is that of the result.
     Names follow later, as ``resolve`` and ``named`` read them.  A null in a ``not_null`` column is an error.
     """
     columns = []
     for f, o in zip(df.schema, origins(df)):
         value, notes = F.col(f"`{f.name}`"), o.notes
+        if "sql_type" in notes:
+            value = _cast(f.name, value, notes["sql_type"])
         if "adapter" in notes:
             if notes["adapter"] not in (adapters or {}):
                 raise NoteError(f"{f.name}: no adapter {notes['adapter']}")
             value = F.when(value.isNotNull(), adapters[notes["adapter"]](value))
         if "type" in notes:
-            value = value.cast(notes["type"])
+            value = _cast(f.name, value, notes["type"])
         if "default" in notes:
             value = F.coalesce(value, F.lit(notes["default"]))
         if notes.get("not_null"):
@@ -246,10 +260,11 @@ def named(df: DataFrame) -> DataFrame:
 
 
 def nest_noted(df: DataFrame, specs: list[Mapping[str, Any]], order: list[Column], key: str | None = None, adapters: Mapping[str, Adapter] | None = None, sort: bool = True) -> DataFrame:
-    """Joined rows to nested results by their notes alone."""
+    """Joined rows to nested results by their notes alone; a field with a ``type`` is cast to it as a whole, elements and all."""
     by, nested = resolve(df, specs, key)
     ready = adapted(df, adapters)
     out = nest(ready, by, nested, order, sort) if by else nest_rows(ready, nested)
     names = {o.field: o.notes["name"] for o in origins(df) if o.notes.get("name")}
     fields = {n.name for n in nested}
+    out = out.withColumns({s["name"]: _cast(s["name"], F.col(f"`{s['name']}`"), s["type"]) for s in specs if s.get("type")})
     return check_labels(out.toDF(*[c if c in fields else names.get(c, c) for c in out.columns]))

@@ -142,6 +142,41 @@ def m2_null_key(spark, t):
     return found.select("c_custkey", _spelled("orders", _text("key"), _text("status")).alias("orders"))
 
 
+@query(
+    "m2_payload_then_key",
+    """WITH j AS (SELECT c_custkey, o_orderkey, CASE WHEN o_totalprice > 200000 THEN o_orderstatus END AS k, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS id, CASE WHEN o_totalprice > 250000 THEN o_orderkey END AS big FROM customer LEFT JOIN orders ON o_custkey = c_custkey),
+e AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, k ORDER BY o_orderkey) AS r FROM j WHERE k IS NOT NULL OR id IS NOT NULL),
+l AS (SELECT c_custkey, string_agg(coalesce(k, '-') || ':' || coalesce(CAST(id AS varchar), '-'), ';' ORDER BY o_orderkey) AS s FROM e WHERE r = 1 GROUP BY 1),
+b AS (SELECT c_custkey, min(big) AS big FROM j GROUP BY 1)
+SELECT c_custkey, coalesce(s, '') AS elements, CAST(big AS bigint) AS first_big FROM customer LEFT JOIN l USING (c_custkey) LEFT JOIN b USING (c_custkey)""",
+)
+def m2_payload_then_key(spark, t):
+    """Rows that hold something, then of each key (null is one) the first; a single row from the first of all that hold it."""
+    price, id_ = F.col("o_totalprice"), F.col("o_orderkey").cast("long")
+    orders = t["orders"].select("o_custkey", id_.alias("place"), F.when(price > 200000, F.col("o_orderstatus")).alias("k"), F.when(id_ % 3 != 0, id_).alias("id"), F.when(price > 250000, id_).alias("big"))
+    joined = t["customer"].select("c_custkey").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").drop("o_custkey")
+    fields = [Nested("elements", "collection", {"k": "k", "id": "id"}, key="k"), Nested("first", "per_row", {"big": "big"})]
+    found = nest(joined, "c_custkey", fields, [F.col("place")], sort=False)
+    known = lambda name: lambda e: F.coalesce(e[name].cast("string"), F.lit("-"))
+    return found.select("c_custkey", _spelled("elements", known("k"), known("id")).alias("elements"), F.col("first.big").alias("first_big"))
+
+
+@query(
+    "l3_types",
+    """SELECT c_custkey, coalesce(string_agg(CAST((o_orderkey % 1000) * 2 AS varchar) || ':' || CAST(CAST(o_totalprice AS decimal(15,2)) AS varchar), ';' ORDER BY o_orderkey), '') AS orders
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
+)
+def l3_types(spark, t):
+    """A text column read as a number before its adapter, and the type of a whole collection."""
+    customers = tagged(t["customer"].select("c_custkey"), "c")
+    digits = t["orders"].select("o_orderkey", "o_custkey", F.format_string("%s", F.col("o_orderkey") % 1000).alias("digits"), "o_totalprice")
+    orders = tagged(digits, "o", {"digits": {"sql_type": "bigint", "adapter": "twice", "type": "string"}})
+    joined = attach(customers, orders, {"c_custkey": "o_custkey"}).drop("o_custkey").withColumn("place", F.col("o_orderkey") + 0)
+    spec = {"name": "orders", "mapping": "collection", "source": "o", "key": "o_orderkey", "type": f"array<struct<id: bigint, twice: string, price: {MONEY}>>"}
+    found = nest_noted(joined, [spec], [F.col("place")], key="c_custkey", adapters={"twice": lambda c: c * 2}, sort=False)
+    return found.select("c_custkey", _spelled("orders", _text("twice"), _text("price")).alias("orders"))
+
+
 @query(
     "a4_column_parameters",
     "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_totalprice > 200000 AND o_orderstatus IN ('F', 'P') AND o_custkey <> 7",

@@ -143,24 +143,35 @@ def y9_replay(spark, t):
     return changes.replay_plan(sent, _nothing_dirty(spark), live).drop("schema_name", "table_name")
 
 
-CELLS = ["INSERT", "UPDATE", "DELETE"]
-
-
 @query(
     "y10_conflicts",
-    """WITH c AS (SELECT o.op, s.state, r.result FROM (VALUES ('INSERT'), ('UPDATE'), ('DELETE')) o(op), (VALUES ('Missing'), ('Deleted'), ('Present')) s(state), (VALUES ('AcceptServer'), ('KeepLocal'), ('KeepMerged')) r(result)),
-e AS (SELECT *, CASE WHEN result = 'KeepMerged' AND op = 'DELETE' THEN 'bad' WHEN result <> 'AcceptServer' AND op = 'INSERT' AND state = 'Missing' THEN 'bad' WHEN result <> 'AcceptServer' AND op = 'UPDATE' AND state <> 'Present' THEN 'bad' END AS bad FROM c)
-SELECT op || '/' || state || '/' || result AS cell, CASE WHEN bad IS NULL THEN CASE WHEN result <> 'AcceptServer' AND op <> 'DELETE' THEN 'Upsert' WHEN result = 'AcceptServer' AND state = 'Present' THEN 'Upsert' ELSE 'Delete' END END AS local_action,
-CASE WHEN bad IS NULL THEN CASE WHEN result = 'KeepMerged' THEN '{"id":"m"}' WHEN result = 'KeepLocal' AND op <> 'DELETE' THEN '{"id":"l"}' WHEN result = 'AcceptServer' AND state = 'Present' THEN '{"id":"s"}' END END AS new_payload,
+    """WITH held AS (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS v FROM orders GROUP BY 1),
+c AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END AS op, CASE WHEN n IS NULL THEN 'Missing' WHEN n % 4 = 0 THEN 'Deleted' ELSE 'Present' END AS state,
+  CASE c_nationkey % 3 WHEN 0 THEN 'AcceptServer' WHEN 1 THEN 'KeepLocal' ELSE 'KeepMerged' END AS result, v FROM customer LEFT JOIN held ON o_custkey = c_custkey),
+e AS (SELECT *, CASE WHEN result = 'KeepMerged' AND (op = 'DELETE' OR c_custkey % 5 = 0) THEN 'bad' WHEN result <> 'AcceptServer' AND op = 'INSERT' AND state = 'Missing' THEN 'bad' WHEN result <> 'AcceptServer' AND op = 'UPDATE' AND state <> 'Present' THEN 'bad' END AS bad FROM c)
+SELECT '{"id":"' || c_custkey || '"}' AS key_json, CASE WHEN bad IS NULL THEN CASE WHEN result <> 'AcceptServer' AND op <> 'DELETE' THEN 'Upsert' WHEN result = 'AcceptServer' AND state = 'Present' THEN 'Upsert' ELSE 'Delete' END END AS local_action,
+CASE WHEN bad IS NULL THEN CASE WHEN result = 'KeepMerged' THEN '{"id":"m"}' WHEN result = 'KeepLocal' AND op <> 'DELETE' THEN '{"id":"l' || c_custkey || '"}' WHEN result = 'AcceptServer' AND state = 'Present' THEN '{"id":"s' || v || '"}' END END AS new_payload,
 CASE WHEN bad IS NULL THEN CASE WHEN result <> 'AcceptServer' AND op <> 'DELETE' THEN CASE WHEN state = 'Present' THEN 'UPDATE' ELSE 'INSERT' END WHEN result <> 'AcceptServer' AND state = 'Present' THEN 'DELETE' END END AS requeue_op,
-CASE WHEN bad IS NULL AND state <> 'Missing' THEN CAST(5 AS bigint) END AS state_version, bad IS NOT NULL AS invalid FROM e""",
+CASE WHEN bad IS NULL AND state <> 'Missing' THEN CAST(v AS bigint) END AS state_version, bad IS NOT NULL AS invalid FROM e""",
 )
 def y10_conflicts(spark, t):
-    """All cells of the decision table."""
-    cells = [("main", "users", f"{op}/{state}/{result}", op, '{"id":"l"}' if op != "DELETE" else None, state, 5, '{"id":"s"}', result, '{"id":"m"}') for op in CELLS for state in ("Missing", "Deleted", "Present") for result in ("AcceptServer", "KeepLocal", "KeepMerged")]
-    df = spark.createDataFrame(cells, "schema_name string, table_name string, key_json string, local_op string, local_payload string, server_state string, server_version long, server_payload string, result string, merged_payload string")
-    found = changes.resolve_conflicts(df, ["ID"])
-    return found.select(F.col("key_json").alias("cell"), "local_action", "new_payload", "requeue_op", "state_version", F.col("error").isNotNull().alias("invalid"))
+    """Customers as local rows against the server's, made of their orders; all cells of the decision table occur."""
+    choose = lambda n, names: F.element_at(F.array(*[F.lit(x) for x in names]), (n % 3 + 1).cast("int"))
+    held = t["orders"].groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").cast("long").alias("server_version"))
+    met = t["customer"].join(held, F.col("o_custkey") == F.col("c_custkey"), "left")
+    op = choose(F.col("c_custkey"), ["INSERT", "UPDATE", "DELETE"])
+    rows = met.select(
+        _key("c_custkey").alias("key_json"),
+        op.alias("local_op"),
+        F.when(op != "DELETE", F.format_string('{"id":"l%s"}', "c_custkey")).alias("local_payload"),
+        F.when(F.col("n").isNull(), "Missing").when(F.col("n") % 4 == 0, "Deleted").otherwise("Present").alias("server_state"),
+        "server_version",
+        F.format_string('{"id":"s%s"}', "server_version").alias("server_payload"),
+        choose(F.col("c_nationkey"), ["AcceptServer", "KeepLocal", "KeepMerged"]).alias("result"),
+        F.when(F.col("c_custkey") % 5 == 0, '{"other":"m"}').otherwise('{"id":"m"}').alias("merged_payload"),
+    )
+    found = changes.resolve_conflicts(_named(rows), ["ID"])
+    return found.select("key_json", "local_action", "new_payload", "requeue_op", "state_version", F.col("error").isNotNull().alias("invalid"))
 
 
 def _bundles(t) -> DataFrame:
@@ -202,12 +213,34 @@ def y12_snapshot(spark, t):
     return live.join(state, changes.KEY).select("key_json", "payload", "row_version")
 
 
-@query("o9_contract_diff", "SELECT * FROM (VALUES ('main.nation', 'client only'), ('main.part', 'server only'), ('main.region', 'key differs')) v(\"table\", problem)")
+@query(
+    "o9_contract_diff",
+    """WITH c AS (SELECT 'main.' || lower(c_name) AS t, 'k' || c_custkey % 7 AS k FROM customer),
+s AS (SELECT 'main.' || lower(c_name) AS t, 'k' || min(o_orderkey) % 7 AS k FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name UNION ALL SELECT 'main.part ' || p_partkey, 'p' FROM part)
+SELECT t AS "table", 'client only' AS problem FROM c WHERE t NOT IN (SELECT t FROM s) UNION ALL SELECT t, 'server only' FROM s WHERE t NOT IN (SELECT t FROM c)
+UNION ALL SELECT c.t, 'key differs' FROM c JOIN s ON s.t = c.t AND s.k <> c.k""",
+)
 def o9_contract_diff(spark, t):
-    kind = "schema_name string, table_name string, key_columns string"
-    client = spark.createDataFrame([("main", "Nation", "n_nationkey"), ("main", "region", "r_regionkey"), ("main", "customer", "C_CUSTKEY")], kind)
-    server = spark.createDataFrame([("main", "region", "id"), ("MAIN", "customer", "c_custkey"), ("main", "part", "p_partkey")], kind)
-    return changes.contract_diff(client, server)
+    """Each customer as a table that the client knows; the server knows those with orders, in capitals, and one for each part."""
+    held = t["orders"].groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"))
+    named = lambda df, schema, table, key: df.select(F.lit(schema).alias("schema_name"), table.alias("table_name"), key.alias("key_columns"))
+    client = named(t["customer"], "main", F.col("c_name"), F.format_string("k%s", F.col("c_custkey") % 7))
+    known = named(t["customer"].join(held, F.col("o_custkey") == F.col("c_custkey")), "MAIN", F.upper("c_name"), F.format_string("K%s", F.col("first") % 7))
+    return changes.contract_diff(client, known.unionByName(named(t["part"], "main", F.format_string("part %s", "p_partkey"), F.lit("p"))))
+
+
+@query(
+    "o9_spec_problems",
+    """WITH s AS (SELECT CASE WHEN o_custkey % 50 = 0 THEN '' ELSE 'main' END AS s, CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE 'c' || o_custkey END AS t, CASE o_orderkey % 11 WHEN 0 THEN 'a,b' WHEN 1 THEN 'a,' ELSE 'a' END AS k FROM orders),
+g AS (SELECT s, trim(t) AS t, count(*) AS n, count(*) FILTER (WHERE k <> 'a') AS several, count(*) FILTER (WHERE k = 'a,') AS blank FROM s GROUP BY 1, 2)
+SELECT s || '.' || t AS "table", problem FROM (SELECT s, t, unnest([CASE WHEN s = '' THEN 'schema is empty' END, CASE WHEN t = '' THEN 'table is empty' END, CASE WHEN blank > 0 THEN 'a key column is empty' END, CASE WHEN several > 0 THEN 'more than one key column' END, CASE WHEN n > 1 THEN 'given twice' END]) AS problem FROM g) WHERE problem IS NOT NULL""",
+)
+def o9_spec_problems(spark, t):
+    """Orders as table specs, some without a name, with two keys or given twice."""
+    schema = F.when(F.col("o_custkey") % 50 == 0, "").otherwise("MAIN")
+    table = F.when(F.col("o_orderkey") % 9 == 0, " ").otherwise(F.format_string("C%s", "o_custkey"))
+    keys = F.when(F.col("o_orderkey") % 11 == 0, "a,b").when(F.col("o_orderkey") % 11 == 1, "a,").otherwise("a")
+    return changes.spec_problems(t["orders"].select(schema.alias("schema_name"), table.alias("table_name"), keys.alias("key_columns")))
 
 
 def r3_stream_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,18 +315,27 @@ def y6_push_batches(spark, t):
     return batches.groupBy("batch").agg(F.count("*").alias("n"), F.min("row_ordinal").alias("first"))
 
 
+SYNCED = {"region": ["R_NAME"], "nation": ["n_name"], "customer": ["c_name"], "part": ["p_name"], "events": ["event_type"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"]}
+
+
 @query(
     "y17_synced_tables",
-    "SELECT * FROM (VALUES ('customer', 'c_name'), ('nation', 'n_name'), ('region', 'r_name')) v(name, key_column)",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, '{key}' AS key_column, CAST(coalesce(sum(n), 0) AS bigint) AS n_rows, CAST(coalesce(sum(n) FILTER (WHERE k IS NULL), 0) AS bigint) AS n_null, count(*) FILTER (WHERE n > 1 AND k IS NOT NULL) AS n_repeated FROM (SELECT {key} AS k, count(*) AS n FROM {name} GROUP BY 1)"
+        for name, key in (("region", "r_name"), ("nation", "n_name"), ("customer", "c_name"), ("part", "p_name"), ("events", "event_type"))
+    ),
 )
 def y17_synced_tables(spark, t):
-    found = []
-    for name, key in (("region", ["R_NAME"]), ("nation", ["n_name"]), ("customer", ["c_name"]), ("orders", ["o_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"])):
+    """Tables whose key is of a kind that may take part, and whether the values in it are a key."""
+    out = None
+    for name, key in SYNCED.items():
         try:
-            found.append((name, changes.check_synced(t[name], name, key)))
+            column = changes.check_synced(t[name], name, key)
         except ValueError:
             continue
-    return spark.createDataFrame(found, "name string, key_column string")
+        part = changes.key_state(t[name], column).select(F.lit(name).alias("name"), F.lit(column).alias("key_column"), "n_rows", "n_null", "n_repeated")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(
