@@ -184,3 +184,16 @@ def test_plans_have_no_python(spark):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|MapInArrow", plan)
     assert docs.select(F.lit(1)).count() == 1
+
+
+def test_a_slow_rule_comes_last_in_every_run(spark):
+    texts = [(i, ("#" if i % 4 == 0 else "word ") * 40 + "plain words follow here " * 30) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    quick = quality_rules.Rule("quick", lambda x: F.startswith(x.text, F.lit("#")))
+    slow = quality_rules.Rule("slow", lambda x: F.exists(F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.sha2(F.concat(x.text, i.cast("string")), 256)), lambda h: h == "") | F.startswith(x.text, F.lit("#")))
+    idle = quality_rules.Rule("idle", lambda x: x.text.isNull())
+    for ready in (False, True, False):
+        found = quality_rules.measure(docs, [slow, idle, quick], ready=ready)
+        assert [m.rule.name for m in found] == ["quick", "slow", "idle"]
+        assert found[1].seconds > 4 * found[0].seconds and found[0].rejected == found[1].rejected == 0.25
+    assert quality_rules.measure(docs.limit(0), [slow, quick])[0].rejected == 0
