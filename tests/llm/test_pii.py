@@ -56,6 +56,16 @@ def test_numbers_keep_their_length_however_many(spark):
     assert all(len(r.core) == len(r.norm) and r.core != r.norm for r in rows)
 
 
+def test_names_that_outlast_the_tries_of_numbers(spark, monkeypatch):
+    """Names still open when numbers are exchanged: the parts are joined with surrogates out of several rounds."""
+    monkeypatch.setattr(pii, "NUMBER_TRIES", 0)
+    names = [f"Mr. {a}{b}{c} Weber" for a in "BCDF" for b in "aeio" for c in "lmn"]
+    found = spark.createDataFrame([(x,) for x in names], "match string")
+    got = {r.match: r.surrogate for r in pii.replacements(found, "k").collect()}
+    assert set(got) == set(names) and len(set(got.values())) == len(names)
+    assert all(v.startswith("Mr. ") and v != k for k, v in got.items())
+
+
 def test_matches_against_a_second_reading(spark):
     """Each detected value is gone, each text between stays, equal values get equal surrogates over all texts."""
     rng = random.Random(4)
