@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import changes, dml, running
+from weftline.operators import changes, dml, intervals, running
 from weftline.operators.intervals import overlap_join
 
 
@@ -66,6 +66,26 @@ def test_overlaps_against_all_pairs(spark):
         overlap_join(left, left, (F.col("f"), F.col("t")), (F.col("f"), F.col("t")))
 
 
+@pytest.mark.parametrize("pairs", [intervals.PAIRS, 50])
+def test_short_intervals_do_not_meet_on_the_level_of_long_ones(spark, monkeypatch, pairs):
+    """Rows compared grow with the pairs that overlap: 400 short intervals, 4 long ones, and a crowd at one place."""
+    monkeypatch.setattr(intervals, "PAIRS", pairs)
+    spans = [(i, i * 10.0, i * 10.0 + 3) for i in range(400)] + [(1000 + i, i * 700.0, i * 700.0 + 2000) for i in range(4)] + [(2000 + i, 5000.0, 5001.0) for i in range(30)]
+    left = spark.createDataFrame(spans, "i long, f double, t double")
+    right = spark.createDataFrame(spans, "j long, g double, u double")
+    met = overlap_join(left, right, (F.col("f"), F.col("t")), (F.col("g"), F.col("u")))
+    want = sorted((x[0], y[0]) for x in spans for y in spans if x[1] <= y[2] and y[1] <= x[2])
+    assert sorted((r.i, r.j) for r in met.collect()) == want
+    # without the condition on ends: what a task has to compare
+    met_in_bins = []
+    join = type(left).join
+    monkeypatch.setattr(type(left), "join", lambda a, b, on=None, how=None: join(a, b, on, how) if "__a_from" not in a.columns or "__b_from" not in b.columns else met_in_bins.append((a, b)) or join(a, b, on, how))
+    overlap_join(left, right, (F.col("f"), F.col("t")), (F.col("g"), F.col("u")))
+    a, b = met_in_bins[0]
+    same = [F.col(f"__a_{c}") == F.col(f"__b_{c}") for c in ("level", "bin", "turn", "share") if f"__a_{c}" in a.columns]
+    assert join(a, b, same).count() < 4 * len(want)
+
+
 def _rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
