@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from weftline.operators import changes, dml, intervals, running
 from weftline.operators.intervals import overlap_join
+from weftline.queries import relational
+from weftline.queries.registry import QUERIES
 
 
 @pytest.fixture
@@ -86,6 +88,14 @@ def test_short_intervals_do_not_meet_on_the_level_of_long_ones(spark, monkeypatc
     assert join(a, b, same).count() < 4 * len(want)
 
 
+def test_orders_of_one_day_meet_offers_as_one_row(spark, monkeypatch):
+    """What meets the offers is one row a day, however many orders there are."""
+    met = []
+    monkeypatch.setattr(relational, "overlap_join", lambda left, *rest, **named: met.append(left) or overlap_join(left, *rest, **named))
+    QUERIES["j9_orders_in_offers"](spark, "/root/testdata/sf0.001")
+    assert met[0].count() == met[0].select("day").distinct().count()
+
+
 def _rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 

@@ -191,12 +191,13 @@ PLACED = "SELECT o_orderkey, date_diff('day', DATE '1995-01-01', CAST(o_orderdat
     f"SELECT s_suppkey, count(*) AS orders, CAST(sum(o_orderkey) AS bigint) AS keys, min(day) AS first_order, max(day) AS last_order FROM ({OFFERS}) s JOIN ({PLACED}) o ON day BETWEEN first_day AND last_day GROUP BY s_suppkey",
 )
 def j9_orders_in_offers(spark, t):
-    """Orders within the days of each offer, by bins of the days."""
+    """Orders within the days of each offer, by bins of the days: orders of one day are added up before they meet offers."""
     start = (F.col("s_suppkey") * 37) % 2400
     offers = t["supplier"].select("s_suppkey", start.alias("first_day"), (start + F.when(F.col("s_suppkey") % 20 == 0, 1500).otherwise(F.col("s_suppkey") % 6)).alias("last_day"))
     placed = t["orders"].select("o_orderkey", F.date_diff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long").alias("day"))
-    met = overlap_join(placed, offers, (F.col("day"), F.col("day")), (F.col("first_day"), F.col("last_day")))
-    return met.groupBy("s_suppkey").agg(F.count("*").alias("orders"), F.sum("o_orderkey").alias("keys"), F.min("day").alias("first_order"), F.max("day").alias("last_order"))
+    days = placed.groupBy("day").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("sum_of_keys"))
+    met = overlap_join(days, offers, (F.col("day"), F.col("day")), (F.col("first_day"), F.col("last_day")))
+    return met.groupBy("s_suppkey").agg(F.sum("n").alias("orders"), F.sum("sum_of_keys").alias("keys"), F.min("day").alias("first_order"), F.max("day").alias("last_order"))
 
 
 @query(
