@@ -428,4 +428,6 @@ def y9_typed_payloads(spark, t):
     # the same JSON in another order, and one whose number is a text
     nested = F.format_string('{"a":{"x":1,"y":[%d,"%s"]},"b":null}', "event_id", "event_type")
     turned = F.format_string('{"b":null,"a":{"y":[%s,"%s"],"x":1}}', F.when(other, F.format_string('"%d"', "event_id")).otherwise(F.col("event_id").cast("string")), F.when(kind == 0, F.col("event_type")).otherwise("none"))
-    return t["events"].select("event_id", changes.same_payload(local, wire, kinds, (False, True)).alias("typed"), changes.same_payload(nested, turned).alias("plain"))
+    # decoding costs much more than reading: rows are dealt to all tasks, in however few files they lie
+    dealt = t["events"].select("event_id", "event_type", "value").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id")
+    return dealt.select("event_id", changes.same_payload(local, wire, kinds, (False, True)).alias("typed"), changes.same_payload(nested, turned).alias("plain"))
