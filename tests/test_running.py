@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import changes, dml, intervals, running
+from weftline.operators import changes, dml, intervals, ordinals, running
 from weftline.operators.intervals import overlap_join
 from weftline.queries import relational
 from weftline.queries.registry import QUERIES
@@ -96,6 +96,22 @@ def test_orders_of_one_day_meet_offers_as_one_row(spark, monkeypatch):
     assert met[0].count() == met[0].select("day").distinct().count()
 
 
+def test_typed_payloads_are_decoded_in_all_tasks(spark):
+    """The table is one small file, which one task would read and decode."""
+    found = QUERIES["y9_typed_payloads"](spark, "/root/testdata/sf0.001")
+    n = found.withColumn("p", F.spark_partition_id()).filter("typed is not null").select("p").distinct().count()
+    assert n == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_ordinals_take_one_shuffle(spark, monkeypatch):
+    """Ranges are sorted where they lie: no shuffle of rows comes after the one that makes them."""
+    df = spark.range(1000, numPartitions=4).select(((F.col("id") * 7919) % 1000).alias("v"), F.lit("x").alias("w"))
+    numbered = ordinals.with_ordinals(df, [F.col("v").desc()], "n", 5)
+    assert sorted((r.n, r.v) for r in numbered.collect()) == [(5 + i, 999 - i) for i in range(1000)]
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1  # that over range sizes
+
+
 def _rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 

@@ -29,13 +29,15 @@ def with_ordinals(df: DataFrame, order: list[Column], name: str, start: int = 0)
 
     ``order`` should have no ties; rows that tie get numbers in any order.
     """
-    ranged = settled(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
+    # rows are sorted within their range before they are written; an id of Spark's then holds range and place, so no second shuffle is needed
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__ordinal_at", F.monotonically_increasing_id())
+    ranged = settled(ranged)
+    part, own = F.shiftright("__ordinal_at", 33), F.col("__ordinal_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     shifts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    numbered = ranged.withColumn("__own", own).join(F.broadcast(shifts), "__part")
-    return numbered.withColumn(name, (F.col("__own") + F.col("__shift") - 1 + start).cast("long")).drop("__part", "__own", "__shift")
+    numbered = ranged.join(F.broadcast(shifts), part == F.col("__part"))
+    return numbered.withColumn(name, (own + F.col("__shift") + start).cast("long")).drop("__part", "__ordinal_at", "__shift")
 
 
 def after_key(df: DataFrame, key: str, last: object | None, n: int) -> DataFrame:
