@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -87,3 +88,31 @@ def test_query_against_the_library(spark, library):
         ids = library.encode_ordinary(texts[row.doc_id])
         assert row.n_tokens == len(ids) and row.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].encode()).hexdigest()
+
+
+def test_folds_of_words_that_are_tokens_give_that_token(spark, coder, library):
+    words = [" ga", "fd", "th", " the", "a", "\n"]
+    frame = spark.createDataFrame([(w,) for w in words], "w string")
+    for row in frame.select("w", F.get(coder.folded(F.array("w")), F.lit(0)).alias("ids")).collect():
+        assert row.ids == " ".join(map(str, library.encode_ordinary(row.w))), row.w
+
+
+def test_columns_give_the_pieces_and_words_of_each_text(coder):
+    splitter = byte_pairs.Splitter(coder.pattern)
+    first, rest, n = splitter.columns(pa.array(texts(), pa.string()))
+    ends = n.cumsum().tolist()
+    for text, head, k, end in zip(texts(), first.to_pylist(), n.tolist(), ends):
+        assert (head, rest.to_pylist()[end - k : end]) == splitter.pieces(text or ""), text
+    distinct = rest.unique()
+    words, owners = splitter.words_of_each(distinct)
+    for i, piece in enumerate(distinct.to_pylist()):
+        assert [w for w, owner in zip(words, owners.tolist()) if owner == i] == splitter.words_of(piece), piece
+
+
+def test_pieces_are_read_once_for_all_texts_of_a_portion(coder):
+    writer = byte_pairs.Writer(pa.table({"w": pa.array([], pa.string()), "ids": pa.array([], pa.string())}), coder.whole, coder.pattern)
+    read, words = [], writer.splitter.words
+    writer.splitter.words = lambda text: read.append(text) or words(text)
+    ids, lacking = writer(pa.array(["the laou, the laou\nthe xqv", None, "the"] * 500))
+    assert ids.to_pylist()[:3] == ids.to_pylist()[3:6] and lacking.to_pylist()[1:3] == [[], []]
+    assert sum(map(len, read)) < 1500 * len("the") + 100  # first pieces, then each other piece once

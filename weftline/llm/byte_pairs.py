@@ -5,8 +5,8 @@ neighbouring pieces of a word whose joined bytes have a rank those of the lowest
 until no neighbours have one.  A word that is a token as it stands is that token.
 
 * The merges of a word are one ``aggregate``.  Its state is a string: a piece is one character, and between two
-  pieces stand the character of their joint rank and that of the piece they would become.  A step finds the least
-  rank, puts the joined piece in place and looks the two pairs beside it up again.  Characters of ranks lie below
+  pieces stands the character of their joint rank.  A step finds the least rank, puts the joined piece in place and
+  looks the two pairs beside it up again.  Characters of ranks lie below
   those of pieces, so the least character of the state is the least rank.
 * The ranks are a literal.  Spark searches a map from its start, so it is an array of short strings of entries, and
   the hash of a pair says in which one it is.
@@ -34,6 +34,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -46,16 +47,15 @@ from weftline.llm.common import cut, let
 LONG = 48
 #: Bounds of the dictionary: words, bytes of one, bytes of all.
 WORDS, WORD_BYTES, WORD_TOTAL = 1 << 20, 48, 16 << 20
-#: Pieces of text that a worker remembers with their ids before it starts anew (about 130 MB).
-REMEMBERED = 5 << 17
-#: Distinct pieces that a task counts before it passes them on (about 100 MB).
-COUNTED = 3 << 18
-#: Characters of texts written at a time.
-_CHARS = 4 << 20
+#: Pieces of text, distinct in a portion, that a task gathers before it adds them up; half as many distinct ones are passed on.
+COUNTED = 3 << 19
+#: Bytes of texts that are counted or decoded at a time, and that are written at a time: larger portions repeat fewer pieces.
+_CHARS, _WRITTEN = 4 << 20, 8 << 20
+#: What may be white space, in Arrow's spelling: texts with two of it in a row are split by the slower way, which holds for all.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 _RANK, _PIECE = 0x10000, 0x20000  # first characters of ranks and of pieces; ids stay below their distance
 _NONE, _END = chr(0x1FFFF), chr(0x10FFFF)
-_UNKNOWN = _NONE * 2  # in place of rank and piece where a pair has no rank
 _MISSING = "_"
 
 
@@ -66,7 +66,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Buckets:
-    """A literal from pairs of pieces to what they become, as an array of strings: the hash of a pair says which one may hold it.
+    """A literal from pairs of pieces to their ranks, as an array of strings: the hash of a pair says which one may hold it.
 
     A string begins with what holds for a pair that it lacks, and its entries are set apart by a character that is in
     none.  As one flat array it is cheap to send and to read with every task, which maps are not.
@@ -74,16 +74,16 @@ class Buckets:
 
     def __init__(self, entries: dict[str, str]):
         size = 1 << max(4, len(entries).bit_length() - 1)
-        parts = [_UNKNOWN] * size
+        parts = [_NONE] * size
         for pair, value in entries.items():
             parts[xxhash.xxh64_intdigest(pair.encode(), 42) & (size - 1)] += f";{pair}{value}"
         self.mask = size - 1
         self.column = F.split(F.lit(",".join(parts)), ",")  # folded when the query is planned
 
     def at(self, buckets: Column, pair: Column) -> Column:
-        """Rank and piece of a pair in ``buckets``, the bound literal; ``_UNKNOWN`` where it has none."""
+        """Rank of a pair in ``buckets``, the bound literal; ``_NONE`` where it has none."""
         bucket = F.get(buckets, F.xxhash64(pair).bitwiseAND(F.lit(self.mask)).cast("int"))
-        return F.left(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(2))
+        return F.left(F.call_function("substring_index", bucket, pair, F.lit(-1)), F.lit(1))
 
 
 class Coder:
@@ -105,49 +105,51 @@ class Coder:
         # a joined piece that may rank lower beside another, or whose pairs of several cuts can overlap
         alone = {part for pair, rank in pairs.items() for part in pair if rank < part}
         alone |= {rank for rank, piece in lefts & rights if (piece, piece) not in pairs or pairs[piece, piece] != rank}
-        self.pairs = Buckets({chr(_PIECE + a) + chr(_PIECE + b): chr(_RANK + rank) + chr(_PIECE + rank) for (a, b), rank in pairs.items()})
+        self.pairs = Buckets({chr(_PIECE + a) + chr(_PIECE + b): chr(_RANK + rank) for (a, b), rank in pairs.items()})
         self.whole = {token: rank for token, rank in ranks.items()}
         self.alone = F.split(F.lit(",".join("1" if i in alone else "0" for i in range(max(ranks.values()) + 1))), ",")
+        self.joined = F.split(F.lit(",".join(chr(_PIECE + i) for i in range(max(ranks.values()) + 1))), ",")
         self.bytes = "".join(chr(b) for b in range(256)), "".join(chr(_PIECE + ranks[bytes([b])]) for b in range(256))
 
-    def _merged(self, pieces: Column, buckets: Column) -> Column:
+    def _merged(self, pieces: Column, buckets: Column, joined: Column) -> Column:
         """Pieces of a word, one character each, after all merges one at a time."""
 
         def rank(pair: Column) -> Column:
-            return F.coalesce(self.pairs.at(buckets, pair), F.lit(_UNKNOWN))
+            return self.pairs.at(buckets, pair)
 
         def step(state: Column, _: Column) -> Column:
-            def joined(k: Column) -> Column:
-                # left piece, rank, new piece, right piece at k - 1 to k + 2; the pairs beside them from k - 3 to k + 4
-                return let(
-                    F.substr(state, k + 1, F.lit(1)),
-                    lambda new: F.overlay(state, F.concat(rank(F.concat(F.substr(state, k - 4, F.lit(1)), new)), new, rank(F.concat(new, F.substr(state, k + 5, F.lit(1))))), k - 3, F.lit(8)),
-                )
+            def with_joined(least: Column) -> Column:
+                def put(k: Column, new: Column) -> Column:
+                    # left piece, rank, right piece at k - 1 to k + 1; the pairs beside them from k - 3 to k + 3
+                    beside = F.concat(rank(F.concat(F.substr(state, k - 3, F.lit(1)), new)), new, rank(F.concat(new, F.substr(state, k + 3, F.lit(1)))))
+                    return F.overlay(state, beside, k - 2, F.lit(5))
 
-            return let(F.array_min(F.split(state, "")), lambda least: F.when(least == _NONE, state).otherwise(let(F.instr(state, least), joined)))
+                return let(F.instr(state, least), lambda k: let(F.get(joined, F.ascii(least) - _RANK), lambda new: put(k, new)))
 
-        def start(ended: Column) -> Column:
-            cells = F.transform(F.sequence(F.lit(1), F.length(ended) - 1), lambda i: F.concat(F.substr(ended, i, F.lit(1)), rank(F.substr(ended, i, F.lit(2)))))
-            state = F.concat(F.array_join(cells, ""), F.lit(_END))
-            return F.aggregate(F.slice(cells, F.lit(4), F.greatest(F.size(cells) - 3, F.lit(0))), state, step)
+            # a state that ends with the mark of no rank is done
+            least_of = let(F.array_min(F.split(state, "")), lambda least: F.when(least == _NONE, F.concat(state, F.lit(_NONE))).otherwise(with_joined(least)))
+            return F.when(F.endswith(state, F.lit(_NONE)), state).otherwise(least_of)
 
-        whole = let(F.concat(F.lit(_END), pieces, F.lit(_END)), start)
-        return F.translate(whole, _NONE + _END, "")
+        def start(n: Column) -> Column:
+            inner = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat(F.substr(pieces, i, F.lit(1)), rank(F.substr(pieces, i, F.lit(2)))))
+            state = F.concat(F.lit(_END + _NONE), F.array_join(inner, ""), F.substr(pieces, n, F.lit(1)), F.lit(_NONE + _END))
+            return F.aggregate(inner, state, step)
 
-    def _merged_long(self, pieces: Column, buckets: Column, alone: Column) -> Column:
+        return let(F.length(pieces), lambda n: F.when(n < 2, pieces).otherwise(F.translate(start(n), _NONE + _END, "")))
+
+    def _merged_long(self, pieces: Column, buckets: Column, joined: Column, alone: Column) -> Column:
         """The same for a long word, a pair at all of its places at a time."""
 
         def round_of(s: Column) -> Column:
-            def joined(p: Column, ranks: Column, least: Column) -> Column:
-                new = F.substr(least, F.lit(2), F.lit(1))
-
-                def at(k: Column) -> Column:
-                    single = F.get(alone, F.ascii(new) - _PIECE) == "1"
+            def put(p: Column, ranks: Column, least: Column) -> Column:
+                def at(k: Column, rank: Column) -> Column:
+                    single, new = F.get(alone, rank) == "1", F.get(joined, rank)
                     return F.when(single, F.overlay(s, new, k, F.lit(2))).otherwise(F.replace(s, F.concat(F.get(p, k - 1), F.get(p, k)), new))
 
-                return F.when(F.coalesce(least, F.lit(_UNKNOWN)) == _UNKNOWN, F.concat(s, F.lit(_END))).otherwise(let(F.array_position(ranks, least).cast("int"), at))
+                found = let(F.array_position(ranks, least).cast("int"), lambda k: let(F.ascii(least) - _RANK, lambda rank: at(k, rank)))
+                return F.when(F.coalesce(least, F.lit(_NONE)) == _NONE, F.concat(s, F.lit(_END))).otherwise(found)
 
-            return let(F.split(s, ""), lambda p: let(F.transform(p, lambda x, i: self.pairs.at(buckets, F.concat(x, F.get(p, i + 1)))), lambda r: let(F.array_min(r), lambda least: joined(p, r, least))))
+            return let(F.split(s, ""), lambda p: let(F.transform(p, lambda x, i: self.pairs.at(buckets, F.concat(x, F.get(p, i + 1)))), lambda r: let(F.array_min(r), lambda least: put(p, r, least))))
 
         # a state that ends with the end mark is done
         done = F.aggregate(F.split(pieces, ""), pieces, lambda s, _: F.when(F.endswith(s, F.lit(_END)), s).otherwise(round_of(s)))
@@ -156,12 +158,12 @@ class Coder:
     def folded(self, words: Column) -> Column:
         """Ids, in decimal and joined by a space, of each of an array of words; a word that is a token is not looked for here."""
 
-        def ids(word: Column, buckets: Column, alone: Column) -> Column:
+        def ids(word: Column, buckets: Column, joined: Column, alone: Column) -> Column:
             pieces = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), *self.bytes)
-            merged = let(pieces, lambda p: F.when(F.length(p) <= LONG, self._merged(p, buckets)).otherwise(self._merged_long(p, buckets, alone)))
+            merged = let(pieces, lambda p: F.when(F.length(p) <= LONG, self._merged(p, buckets, joined)).otherwise(self._merged_long(p, buckets, joined, alone)))
             return F.array_join(F.transform(F.split(merged, ""), lambda c: (F.ascii(c) - _PIECE).cast("string")), " ")
 
-        return let(self.pairs.column, lambda buckets: let(self.alone, lambda alone: F.transform(words, lambda w: ids(w, buckets, alone))))
+        return let(self.pairs.column, lambda buckets: let(self.joined, lambda joined: let(self.alone, lambda alone: F.transform(words, lambda w: ids(w, buckets, joined, alone)))))
 
 
 class Splitter:
@@ -184,31 +186,98 @@ class Splitter:
     def words_of(self, piece: str) -> list[str]:
         return self.words(piece if piece[:1] == "\n" else " " + piece)
 
+    def columns(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """The same for a column of texts (null: empty): first pieces, all other pieces, and how many of these each text has."""
+        texts = texts.cast(pa.string()).fill_null("")
+        wide = pc.match_substring_regex(texts, _WHITE + "{2}")
+        parts = pc.split_pattern(pc.replace_substring(texts.filter(pc.invert(wide)), "\n", " \n"), " ")
+        if any_wide := [[first, *rest] for first, rest in map(self.pieces, texts.filter(wide).to_pylist())]:
+            mask = wide.to_numpy(zero_copy_only=False)
+            place = np.empty(len(mask), np.int64)
+            place[~mask], place[mask] = np.arange(len(parts)), len(parts) + np.arange(len(any_wide))
+            parts = pa.concat_arrays([parts, pa.array(any_wide, parts.type)]).take(pa.array(place))
+        n, flat = pc.list_value_length(parts).to_numpy().astype(np.int64), parts.flatten()
+        first = np.zeros(len(flat), bool)
+        first[np.cumsum(n) - n] = True
+        return flat.filter(pa.array(first)), flat.filter(pa.array(~first)), n - 1
+
+    def words_of_each(self, pieces: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Words of all pieces and the place of the piece that each is of, those of a piece in their order.
+
+        Pieces without white space are read as one text, where a space begins each of them, and so are those of which
+        it is a line end that begins them.
+        """
+        whites, sizes = pc.count_substring_regex(pieces, _WHITE).to_numpy(), pc.binary_length(pieces).to_numpy()
+        plain = (whites == 0) & (sizes > 0)
+        lines = (whites == 1) & (sizes > 1) & pc.starts_with(pieces, "\n").to_numpy(zero_copy_only=False)
+        words, owners = [], [np.zeros(0, np.int64)]
+        for chosen, mark, between in ((plain, " ", " "), (lines, "\n", "")):
+            if len(own := np.flatnonzero(chosen)):
+                found = self.words(between + pc.binary_join(_lists(np.array([len(own)]), pieces.take(pa.array(own))), between)[0].as_py())
+                starts = pc.starts_with(pa.array(found, pa.string()), mark).to_numpy(zero_copy_only=False)
+                if starts.sum() != len(own):
+                    raise ValueError("by this pattern a space or line end between other characters does not always begin a word")
+                words += found
+                owners.append(own[np.cumsum(starts) - 1])
+        for i in np.flatnonzero(~plain & ~lines).tolist():
+            own = self.words_of(pieces[i].as_py())
+            words += own
+            owners.append(np.full(len(own), i))
+        return words, np.concatenate(owners)
+
+
+def _portions(column: pa.Array, size: int = _CHARS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of a column of strings, of at most ``size`` bytes each or one longer row.
+
+    What Arrow holds in reserve goes back to the system after each: workers stay alive between tasks.
+    """
+    at, ends = 0, np.cumsum(pc.binary_length(column).fill_null(0).to_numpy().astype(np.int64))
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield at, end
+        pa.default_memory_pool().release_unused()
+        at = end
+
+
+def _lists(n: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Values in lists of ``n`` each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32()), values)
+
+
+def _added_up(tables: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(tables).group_by("w", use_threads=False).aggregate([("n", "sum")]).rename_columns(["w", "n"])
+
 
 def count_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """Distinct words ``w`` of all texts and their counts ``n``: each task counts its own, Spark adds them up."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, pieces, words = Splitter(pattern), Counter(), Counter()
+        splitter, pieces, heads = Splitter(pattern), [], Counter()
 
         def out() -> Iterator[pa.RecordBatch]:
-            for piece, n in pieces.items():
-                for w in splitter.words_of(piece):
-                    words[w] += n
-            if words:
-                yield pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["w", "n"])
+            counted = _added_up(pieces)
+            words, owners = splitter.words_of_each(counted.column("w").combine_chunks())
+            own = pa.table({"w": pa.array(words, pa.string()), "n": counted.column("n").to_numpy()[owners]})
+            first = pa.table({"w": pa.array(heads.keys(), pa.string()), "n": pa.array(heads.values(), pa.int64())})
             pieces.clear()
-            words.clear()
+            heads.clear()
+            yield from _added_up([own, first]).combine_chunks().to_batches()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    first, rest = splitter.pieces(text)
-                    words.update(splitter.words(first))
-                    pieces.update(rest)
-                    if len(pieces) + len(words) > COUNTED:
+            for at, end in _portions(batch.column(0)):
+                first, rest, _ = splitter.columns(batch.column(0).slice(at, end - at))
+                for head in first.to_pylist():
+                    heads.update(splitter.words(head))
+                found = rest.value_counts()
+                pieces.append(pa.table({"w": found.field("values"), "n": found.field("counts")}))
+                if sum(map(len, pieces)) > COUNTED:
+                    pieces[:] = [_added_up(pieces)]
+                    if len(pieces[0]) > COUNTED // 2:
                         yield from out()
-        yield from out()
+        if pieces:
+            yield from out()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(text_col)).mapInArrow(each, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -230,7 +299,9 @@ def dictionary(docs: DataFrame, coder: Coder, text_col: str = "text") -> pa.Tabl
 class Writer:
     """Texts as ids, in a worker: known words by the dictionary, places of the others marked.
 
-    The dictionary stays in Arrow columns, found by the hash of a word and compared: a tenth of what a dict takes.
+    Each distinct piece of a portion of texts is written once; texts are put together from the places of their pieces.
+    The dictionary, with the words that are tokens, stays in Arrow columns, found by the hash of a word and compared:
+    a tenth of what a dict takes.
     """
 
     def __init__(self, table: pa.Table, whole: dict[bytes, int], pattern: str):
@@ -240,59 +311,57 @@ class Writer:
                 tokens[token.decode()] = str(rank)
             except UnicodeDecodeError:
                 pass  # no text on its own
-        self.tokens = tokens
-        self.known, self.ids = table.column("w").combine_chunks(), table.column("ids").combine_chunks()
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w.as_py()) for w in self.known), np.uint64, len(self.known))
+        names = pa.array(tokens.keys(), pa.string())
+        table = table.filter(pc.invert(pc.is_in(table.column("w"), value_set=names))).combine_chunks()
+        self.known = pa.concat_arrays([names, *table.column("w").chunks])
+        # the last one stands for a word that is lacking
+        self.ids = pa.concat_arrays([pa.array(tokens.values(), pa.string()), *table.column("ids").chunks, pa.array([_MISSING], pa.string())])
+        parts = (self.known.slice(at, 1 << 16).to_numpy(zero_copy_only=False) for at in range(0, len(self.known), 1 << 16))
+        hashes = np.concatenate([_hashes(part) for part in parts])
         self.order = np.argsort(hashes).astype(np.int32)
         self.hashes = hashes[self.order]
         self.splitter = Splitter(pattern)
-        self.seen: dict[str, str] = {}
-        self.lacks: dict[str, list[str]] = {}
-
-    def find(self, words: list[str]) -> dict[str, str]:
-        """Ids of those of the words that are known, the tokens aside."""
-        if not words or not len(self.hashes):
-            return {}
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """Places of words in the dictionary; that of the lacking mark for those that it lacks."""
+        hashes = _hashes(words)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = np.flatnonzero(self.hashes[at] == hashes)
-        rows = pa.array(self.order[at[hit]])
-        found = zip(hit.tolist(), self.known.take(rows).to_pylist(), self.ids.take(rows).to_pylist())
-        return {w: ids for i, w, ids in found if words[i] == w}
-
-    def words(self, words: list[str], known: dict[str, str]) -> tuple[str, list[str]]:
-        parts, lacking = [], []
-        for w in words:
-            ids = self.tokens.get(w) or known.get(w)
-            if ids is None:
-                ids = _MISSING
-                lacking.append(w)
-            parts.append(ids)
-        return " ".join(parts), lacking
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[str], list[list[str]]]:
+        rows = self.order[at]
+        same = pc.equal(self.known.take(pa.array(rows)), pa.array(words, pa.string())).to_numpy(zero_copy_only=False)
+        return np.where(same, rows, len(self.known))
+
+    def __call__(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Per text its ids joined by a space, with a mark for each word that is to be folded, and these words."""
-        split = [self.splitter.pieces(t) if t else ("", []) for t in texts]
-        if len(self.seen) > REMEMBERED:
-            self.seen, self.lacks = {}, {}
-        seen, lacks, tokens = self.seen, self.lacks, self.tokens
-        pieces = set().union(*(rest for _, rest in split))
-        fresh = {p: self.splitter.words_of(p) for p in pieces if p not in seen}
-        heads = [self.splitter.words(first) for first, _ in split]
-        known = self.find(list({w for words in (*fresh.values(), *heads) for w in words if w not in tokens}))
-        for piece, words in fresh.items():
-            seen[piece], lacking = self.words(words, known)
-            if lacking:
-                lacks[piece] = lacking
-        out, missing = [], []
-        for head, (_, rest) in zip(heads, split):
-            begun, lacking = self.words(head, known)
-            ids = " ".join(([begun] if begun else []) + list(map(seen.__getitem__, rest)))
-            if _MISSING in ids:
-                lacking = lacking + [w for p in rest if p in lacks for w in lacks[p]]
-            out.append(ids)
-            missing.append(lacking)
-        return out, missing
+        heads, rest, n_rest = self.splitter.columns(texts)
+        coded = rest.dictionary_encode()
+        n_distinct = len(coded.dictionary)
+        words, owners = self.splitter.words_of_each(coded.dictionary)
+        # what is written once: the distinct pieces, then the first piece of each text
+        of_heads = [self.splitter.words(head) for head in heads.to_pylist()]
+        words += [w for own in of_heads for w in own]
+        owners = np.concatenate((owners, np.repeat(n_distinct + np.arange(len(of_heads)), [len(own) for own in of_heads])))
+        by_owner = np.argsort(owners, kind="stable")
+        n = np.bincount(owners, minlength=n_distinct + len(of_heads))
+        rows = self.find(words)[by_owner]
+        written = pc.binary_join(_lists(n, self.ids.take(pa.array(rows))), " ")
+        lacks: dict[int, list[str]] = {}
+        for k in by_owner[rows == len(self.known)].tolist():
+            lacks.setdefault(int(owners[k]), []).append(words[k])
+        # texts by the places of what they are made of; an empty first piece is none
+        begun = n[n_distinct:] > 0
+        first = np.cumsum(n_rest) - n_rest
+        places = np.insert(coded.indices.to_numpy().astype(np.int64), first[begun], n_distinct + np.flatnonzero(begun))
+        sizes = n_rest + begun
+        ids = pc.binary_join(_lists(sizes, written.take(pa.array(places))), " ")
+        lacked = np.zeros(len(n), np.int64)
+        lacked[list(lacks)] = [len(own) for own in lacks.values()]
+        sums = np.concatenate(([0], np.cumsum(lacked[places])))[np.concatenate(([0], np.cumsum(sizes)))]
+        missing = [w for piece in places[lacked[places] > 0].tolist() for w in lacks[piece]]
+        return ids, _lists(np.diff(sums), pa.array(missing, pa.string()))
+
+
+def _hashes(words: list[str] | np.ndarray) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 _writers: dict[str, Writer] = {}
@@ -311,15 +380,9 @@ def encode(docs: DataFrame, coder: Coder, text_col: str = "text", ids_col: str =
             _writers[name] = Writer(*shared.value)
         writer = _writers[name]
         for batch in batches:
-            texts, at = batch.column(place), 0
-            while at < len(texts):
-                part, chars, first = [], 0, at
-                while at < len(texts) and chars < _CHARS:
-                    part.append(texts[at].as_py())
-                    chars += len(part[-1] or "")
-                    at += 1
-                ids, lacking = writer(part)
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, at - first).columns, pa.array(ids, pa.string()), pa.array(lacking, pa.list_(pa.string()))], names=[*batch.schema.names, "__ids", "__lacking"])
+            for at, end in _portions(batch.column(place), _WRITTEN):
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, *writer(part.column(place))], names=[*batch.schema.names, "__ids", "__lacking"])
 
     marked = docs.mapInArrow(each, kinds)
     # a mark stands at the place of each word that was folded here
@@ -341,23 +404,16 @@ def decode(rows: DataFrame, coder: Coder, ids_col: str = "ids", bytes_col: str =
     kinds = StructType([*rows.schema.fields, StructField(bytes_col, BinaryType())])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {str(rank): piece for piece, rank in shared.value.items()}.get
-
-        def joined(ids: str | None) -> bytes | None:
-            try:
-                return None if ids is None else b"".join(map(token, ids.split(" "))) if ids else b""
-            except TypeError:  # an id without a token
-                return None
-
+        names = pa.array(map(str, shared.value.values()), pa.string())
+        tokens = pa.array(shared.value.keys(), pa.binary())
         for batch in batches:
-            lists, at = batch.column(place), 0
-            while at < len(lists):
-                part, chars, first = [], 0, at
-                while at < len(lists) and chars < _CHARS:
-                    ids = lists[at].as_py()
-                    part.append(joined(ids))
-                    chars += len(ids or "")
-                    at += 1
-                yield pa.RecordBatch.from_arrays([*batch.slice(first, at - first).columns, pa.array(part, pa.binary())], names=[*batch.schema.names, bytes_col])
+            for at, end in _portions(batch.column(place)):
+                part = batch.slice(at, end - at)
+                ids = part.column(place).cast(pa.string())
+                lists = pc.split_pattern(ids, " ")
+                # a list with an id without a token gives null
+                joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, tokens.take(pc.index_in(lists.values, value_set=names))), b"")
+                joined = pc.if_else(pc.equal(ids, ""), pa.scalar(b"", pa.binary()), pc.if_else(ids.is_valid(), joined, pa.scalar(None, pa.binary())))
+                yield pa.RecordBatch.from_arrays([*part.columns, joined], names=[*batch.schema.names, bytes_col])
 
     return rows.mapInArrow(each, kinds)
