@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from weftline.llm import repeats
+from weftline.llm import queries, repeats
 from weftline.llm.suffix_groups import repeated_windows, suffix_array
 
 
@@ -68,3 +68,20 @@ def test_whole_length_and_odd_rows(spark):
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(docs).collect())
     assert got == sorted((i or -1, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 400)))
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_planted_passages_are_judged_by_bytes(spark, tmp_path):
+    # 51 words of these are under 400 bytes; a passage of over 50 words goes if, and only if, it has 400 bytes
+    rng = random.Random(9)
+    words = lambda n: [rng.choice("abcdefgh") + "".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 9))) for _ in range(n)]
+    short, long = " ".join(words(51)), " ".join(words(90))
+    assert len(short) < 398 and len(long) > 400  # with a byte at either end that may be alike
+    texts = {i: "\n".join((" ".join(words(60)), *([], [short], [long], [short, long])[i % 4], " ".join(words(60)))) for i in range(32)}
+    spark.createDataFrame(texts.items(), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op1_repeated_bytes(spark, str(tmp_path)).collect()}
+    assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in texts] == brute(texts.values(), 400)
+    for i, text in texts.items():
+        # size says nothing of what was removed
+        assert got[i].n_bytes == len(text.encode())
+        assert (got[i].n_removed > 0) == (i % 4 >= 2) and long not in got[i].text
+        assert i % 4 >= 2 or got[i].text == text
