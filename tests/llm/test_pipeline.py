@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 import corpus_pipeline
 from weftline.llm import mixing
 
@@ -142,3 +144,21 @@ def test_the_key_of_the_session(spark):
         assert pii.session_key(spark) == "own"
     finally:
         spark.conf.unset(pii.KEY_SETTING)
+
+
+def test_a_cluster_that_names_no_key():
+    """The job runs with a secret drawn for the application: the same for all its queries, no other application's and not the known one."""
+    from types import SimpleNamespace
+
+    from weftline.llm import pii
+
+    def session(application, named=None):
+        context = SimpleNamespace(master="spark://host:7077", applicationId=application)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: named or default))
+
+    with pytest.warns(UserWarning, match=pii.KEY_SETTING):
+        drawn = pii.session_key(session("app-1"))
+    assert pii.session_key(session("app-1")) == drawn and len(drawn) == 64
+    with pytest.warns(UserWarning):
+        assert pii.session_key(session("app-2")) not in (drawn, pii.DEFAULT_KEY)
+    assert pii.session_key(session("app-1", "own")) == "own"
