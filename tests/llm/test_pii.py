@@ -99,6 +99,16 @@ def test_a_very_long_text(spark):
     assert len(got[0]) > 4_000_000 and "ann@" not in got[0] and "Weber" not in got[0] and n == [3]
 
 
+def test_thousands_of_repetitions_in_one_match(spark):
+    """One match may have thousands of words, titles, particles, initials or labels: no stack grows with them."""
+    n = 6000
+    texts = ["Mr. " + "Anna " * n, "Mr. " * n + "Anna", "Mr. " + "van " * n + "Berg", "Mr. " + "A. " * n + "Berg", "x@" + "ab." * n + "com end"]
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", pii.matches(F.col("text")).alias("found"))
+    assert {r.doc_id: r.found for r in found.collect()} == {i: [t.strip().removesuffix(" end")] for i, t in enumerate(texts)}
+    got, counts = changed(spark, texts[:4])
+    assert counts == [1, 1, 1, 1] and not any(w in t for t in got for w in ("Anna", "Berg")) and got[2].count(" van") == n
+
+
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, "Mr. Paul Weber", 5, 6)], "doc_id long, text string, n_entities int, __map int").withColumn("kind", F.lit("x"))
     row = pii.pseudonymize(df.drop("__map")).first()
